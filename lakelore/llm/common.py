@@ -52,3 +52,25 @@ def shared_fs(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def with_row_id(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """``docs`` with a struct that names each row and stays the same whenever the rows are read again.
+
+    Rows of files have their file and place in it; any other rows are written to the shared folder first,
+    as a number given on the fly could change when a lost part is computed anew. Repeated rows stay apart.
+    """
+    from pyspark.errors import AnalysisException
+
+    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.select("*", at.alias(name))
+    except AnalysisException:
+        return settle(docs).select("*", at.alias(name))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, packing
+from . import bpe, chat, dac, exact_dedup, packing, syncmers
 from .common import documents
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -18,6 +18,23 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(documents(spark, sf_dir))
+
+
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(documents(spark, sf_dir))
+
+
+#: Conversation -1: its texts look like the template's own marks.
+_TRICKY = "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.read_chats(chat.format_chats(turns.unionByName(spark.sql(_TRICKY)))))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer(WORDS))
 
@@ -33,11 +50,44 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_syncmers": op3_syncmers,
+        "op5_chat": op5_chat,
         "op6_packing": op6_packing,
         "op9_token_files": op9_token_files,
         "op10_bpe": op10_bpe,
     }
 
 
+#: Null text is empty; the row with the most code points stays, then the smallest doc_id.
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS plain FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY plain ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM g
+"""
+
+#: Turn marks add 3 characters for <s>, 3 for a <t> between merged turns, the rest per stretch of one role; escaping adds one
+#: per control string.
+_OP5 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), m AS (
+  SELECT *, lag(role) OVER w AS before,
+    length(regexp_replace(text, '[<\[]\\*(?:/?s>|t>|/?INST\]|OUT\]|/?ROLE\]|END\])', '\0.', 'g')) AS body
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(body + CASE WHEN before = role THEN 3 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 9 ELSE 18 + length(role) END))::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": _OP2, "op5_chat": _OP5}

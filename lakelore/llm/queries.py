@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dac, exact_dedup, packing, syncmers
+from . import bpe, chat, dac, exact_dedup, line_dedup, packing, syncmers
 from .common import documents
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -39,6 +39,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer(WORDS))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    left = line_dedup.dedup_lines(docs)
+    return left.select("doc_id", "removed_lines", "removed_words", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read(spark, dac.write(documents(spark, sf_dir), _tokenizer(WORDS)))
 
@@ -54,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_syncmers": op3_syncmers,
         "op5_chat": op5_chat,
         "op6_packing": op6_packing,
+        "op8_line_dedup": op8_line_dedup,
         "op9_token_files": op9_token_files,
         "op10_bpe": op10_bpe,
     }
@@ -89,5 +96,34 @@ FROM m GROUP BY conv_id
 """
 
 
+#: Windows hold the lines themselves; a run of 50 words that stands earlier too is deleted.
+_OP8 = r"""
+WITH l AS (
+  SELECT doc_id, pos, line, trim(line, e' \t\n\x0b\x0c\r') AS t FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+), w AS (
+  SELECT *, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words FROM l WHERE t <> ''
+), c AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS since FROM w
+), r AS (
+  SELECT doc_id, list(t) OVER f AS run, min(pos) OVER f AS a, max(pos) OVER f AS b, sum(words) OVER f AS total FROM c
+  WINDOW f AS (PARTITION BY doc_id ORDER BY since RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, list(t) OVER g, min(pos) OVER g, max(pos) OVER g, sum(words) OVER g FROM c
+  WINDOW g AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), k AS (
+  SELECT doc_id, a, b, min((doc_id, a)) OVER (PARTITION BY run) AS earliest FROM r WHERE total >= 50
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS pos FROM k WHERE earliest < (doc_id, a)
+)
+SELECT d.doc_id, coalesce(n, 0) AS removed_lines, coalesce(words, 0)::BIGINT AS removed_words, length(kept) AS kept_chars, sha256(kept) AS kept_sha256
+FROM (
+  SELECT l.doc_id, count(gone.pos) FILTER (l.t <> '') AS n, sum(w.words) FILTER (gone.pos IS NOT NULL) AS words,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL OR l.t = ''), '') AS kept
+  FROM l LEFT JOIN gone USING (doc_id, pos) LEFT JOIN w USING (doc_id, pos) GROUP BY l.doc_id
+) d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op5_chat": _OP5}
+    return {"op2_exact_dedup": _OP2, "op5_chat": _OP5, "op8_line_dedup": _OP8}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dac, exact_dedup, langid, line_dedup, packing, quality, syncmers
+from . import bpe, chat, dac, exact_dedup, langid, line_dedup, ngram_join, packing, quality, syncmers
 from .common import documents
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -49,6 +49,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer(WORDS))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("__row")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     left = line_dedup.dedup_lines(docs)
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op5_chat": op5_chat,
         "op6_packing": op6_packing,
+        "op7_ngram_join": op7_ngram_join,
         "op8_line_dedup": op8_line_dedup,
         "op9_token_files": op9_token_files,
         "op10_bpe": op10_bpe,

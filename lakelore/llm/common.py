@@ -55,13 +55,15 @@ def shared_fs(uri: str):
 
 
 def with_row_id(docs: DataFrame, name: str = "__row") -> DataFrame:
-    """``docs`` with a struct that names each row and stays the same whenever the rows are read again.
+    """``docs`` with a struct that names each row and stays the same whenever the rows are read again; as it is, if it has one.
 
     Rows of files have their file and place in it; any other rows are written to the shared folder first,
     as a number given on the fly could change when a lost part is computed anew. Repeated rows stay apart.
     """
     from pyspark.errors import AnalysisException
 
+    if name in docs.columns:
+        return docs
     at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
         return docs.select("*", at.alias(name))

@@ -213,7 +213,7 @@ def _may_link(small: str, large: str, percent: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: __row (see with_row_id), doc_id, n_shingles, component_id.
+    """One row per row of ``docs``: __row (see with_row_id), doc_id, n_shingles, component_id, stays (once per component).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets; component_id is the least doc_id
     reachable by links, itself included. A null or empty text, or one of white space only, has an empty set and is linked
@@ -267,6 +267,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     roots = components(links).select(F.col("node").alias("id"), "root")
     ids = rows.select("__row", "doc_id").join(each, "__row").join(roots, "id", "left")
     ids = settle(ids.select("__row", "doc_id", "n", F.coalesce("root", "id").alias("root")))
-    least = ids.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = ids.where("n > 0").join(least, "root").select("__row", "doc_id", "n", "component_id")
-    return found.unionByName(ids.where("n = 0").select("__row", "doc_id", "n", F.col("doc_id").alias("component_id"))).withColumnRenamed("n", "n_shingles")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row")))
+    least = ids.where("n > 0").groupBy("root").agg(best.alias("best"))
+    found = ids.where("n > 0").join(least, "root")
+    found = found.select("__row", "doc_id", "n", F.col("best.doc_id").alias("component_id"), (F.col("__row") == F.col("best.row")).alias("stays"))
+    alone = ids.where("n = 0").select("__row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return found.unionByName(alone).withColumnRenamed("n", "n_shingles")

@@ -12,7 +12,7 @@ from .common import documents
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -46,11 +46,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _tokenizer(WORDS))
+    return packing.pack(documents(spark, sf_dir), tokenizer(WORDS))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("__row")
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("__row", "stays")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +60,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dac.read(spark, dac.write(documents(spark, sf_dir), _tokenizer(WORDS)))
+    return dac.read(spark, dac.write(documents(spark, sf_dir), tokenizer(WORDS)))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return bpe.encode_and_decode(docs, _tokenizer(BYTES), keep_ids=False)
+    return bpe.encode_and_decode(docs, tokenizer(BYTES), keep_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

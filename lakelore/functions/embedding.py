@@ -41,12 +41,14 @@ def embed_words(text: str, dimensions: int) -> list[float]:
 def embed(rows: DataFrame, text: str = "text", dimensions: int = 768) -> DataFrame:
     """``rows`` with embedding (array of float), embedding_provider and embedding_model; null text is embedded as empty."""
 
+    names = list(rows.columns)
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            vectors = [embed_words(t.as_py() or "", dimensions) for t in batch.column(rows.columns.index(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*rows.columns, "embedding"])
+            vectors = [embed_words(t.as_py() or "", dimensions) for t in batch.column(names.index(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*names, "embedding"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{schema}, embedding array<float>").withColumns({"embedding_provider": F.lit(PROVIDER), "embedding_model": F.lit(MODEL)})

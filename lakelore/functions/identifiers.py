@@ -31,7 +31,7 @@ _BARE = r"\b\d{9}\b"
 def luhn(digits: Column) -> Column:
     """Whether a number of 13 to 19 digits passes the Luhn check; spaces and dashes are left out."""
     plain = F.regexp_replace(digits, "[ -]", "")
-    return plain.rlike(r"^\d{13,19}$") & F.luhn_check(plain)
+    return plain.rlike(r"^\d{13,19}$") & F.call_function("luhn_check", plain)
 
 
 def aba(digits: Column) -> Column:

@@ -150,20 +150,29 @@ def run_counters(outcome: DataFrame) -> DataFrame:
 
 
 def gate_quarantines(log: DataFrame, newest: int = 20) -> DataFrame:
-    """external_id, latest_reason, n, last_at of documents quarantined because a scan failed, newest first."""
+    """Per source the ``newest`` documents blocked because a gate failed: source_id, external_id, latest_reason, attempts, last_at."""
     hits = log.where("action = 'blocked' and rejection_reason like 'gate:%'")
-    groups = hits.groupBy("external_id").agg(
-        F.max_by("rejection_reason", F.struct("created_at", "event_id")).alias("latest_reason"), F.count("*").alias("n"), F.max("created_at").alias("last_at")
+    groups = hits.groupBy("source_id", "external_id").agg(
+        F.max_by("rejection_reason", F.struct("created_at", "event_id")).alias("latest_reason"), F.count("*").alias("attempts"), F.max("created_at").alias("last_at")
     )
-    return groups.orderBy(F.desc("last_at"), "external_id").limit(newest)
+    return _first(groups, newest, F.desc("last_at"), "external_id")
 
 
 def retryable(log: DataFrame, attempts: int = 5, most: int = 50) -> DataFrame:
-    """external_id, failures, first_failed: documents that failed since they were last taken in, fewer than ``attempts`` times, oldest first."""
-    resolved = log.where("action in ('ingested', 'blocked')").groupBy("external_id").agg(F.max("created_at").alias("at"))
-    failed = log.where("action = 'failed'").join(resolved, "external_id", "left").where("at is null or created_at > at")
-    groups = failed.groupBy("external_id").agg(F.count("*").alias("failures"), F.min("created_at").alias("first_failed"))
-    return groups.where(F.col("failures") < attempts).orderBy("first_failed", "external_id").limit(most)
+    """Per source the ``most`` documents longest failing: source_id, external_id, failures, first_failed.
+
+    Failures count since the document was last ingested or blocked; at ``attempts`` of them it is given up.
+    """
+    key = ["source_id", "external_id"]
+    resolved = log.where("action in ('ingested', 'blocked')").groupBy(*key).agg(F.max("created_at").alias("at"))
+    failed = log.where("action = 'failed'").join(resolved, key, "left").where("at is null or created_at > at")
+    groups = failed.groupBy(*key).agg(F.count("*").alias("failures"), F.min("created_at").alias("first_failed"))
+    return _first(groups.where(F.col("failures") < attempts), most, "first_failed", "external_id")
+
+
+def _first(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy("source_id").orderBy(*order)))
+    return numbered.where(F.col("__n") <= n).drop("__n")
 
 
 def orphans(objects: DataFrame, sources: DataFrame) -> DataFrame:

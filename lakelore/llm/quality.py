@@ -70,52 +70,57 @@ class Model:
     targets: dict[str, tuple[float, float, dict[str, tuple[float, float]]]]
 
 
-def _fit(texts: list[tuple[Counter, int]], y: np.ndarray, keep: int) -> tuple[float, float, dict[str, tuple[float, float]]]:
+def _fit(names: list[str], texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, keep: int) -> tuple[float, float, dict[str, tuple[float, float]]]:
+    """texts: for each the places of its traits in ``names``, and their rates."""
     n, positive = len(y), float(y.sum())
     base = (positive + 0.5) / (n + 1)
     if not 0 < positive < n:
         return base, math.log(base / (1 - base)), {}
-    seen: Counter = Counter()
-    for found, _ in texts:
-        seen.update(found.keys())
-    common = {t: i for i, t in enumerate(sorted(t for t, k in seen.items() if k >= 5))}
-    sums = np.zeros((len(common), 6))  # of presence and of rate: sum among positives, sum, sum of squares
-    for (found, words), v in zip(texts, y, strict=True):
-        here = [(common[t], k) for t, k in found.items() if t in common]
-        rows = np.array([i for i, _ in here], int)
-        rate = np.minimum(1.0, np.array([k for _, k in here]) / max(1, words) / FULL_RATE)
-        sums[rows] += np.stack([np.full(len(rows), v), np.ones(len(rows)), np.ones(len(rows)), rate * v, rate, rate * rate], 1)
+    sums = np.zeros((len(names), 6))  # of presence and of rate: sum among positives, sum, sum of squares
+    for (at, rate), v in zip(texts, y, strict=True):
+        sums[at] += np.stack([np.full(len(at), v), np.ones(len(at)), np.ones(len(at)), rate * v, rate, rate * rate], 1)
     p, all_, square = (sums[:, [i, i + 3]] for i in range(3))
     variance = np.maximum(square / n - (all_ / n) ** 2, 1e-9)
-    z = (np.abs(p / positive - (all_ - p) / (n - positive)) / np.sqrt(variance * (1 / positive + 1 / (n - positive)))).max(1)
-    names = [t for _, t in sorted((-z[i], t) for t, i in common.items() if z[i] >= 4.5)[:keep]]
-    at = {t: i for i, t in enumerate(names)}
-    x = np.zeros((n, 2 * len(names)))
-    for i, (found, words) in enumerate(texts):
-        for t in found.keys() & at.keys():
-            x[i, 2 * at[t] : 2 * at[t] + 2] = _values(found[t], words)
-    w, offset, rate = np.zeros(x.shape[1]), math.log(base / (1 - base)), 0.5
-    speed, square = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    z = (np.abs(p / positive - (all_ - p) / (n - positive)) / np.sqrt(variance * (1 / positive + 1 / (n - positive)))).max(1, initial=0.0)
+    chosen = [i for i in np.argsort(-z, kind="stable")[:keep] if z[i] >= 4.5]
+    column = np.full(len(names), -1)
+    column[chosen] = np.arange(len(chosen))
+    x = np.zeros((n, 2 * len(chosen)))
+    for i, (at, rate) in enumerate(texts):
+        here = column[at] >= 0
+        x[i, 2 * column[at][here]] = 1.0
+        x[i, 2 * column[at][here] + 1] = rate[here]
+    w, offset = np.zeros(x.shape[1]), math.log(base / (1 - base))
+    speed, power = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for step in range(1, 301):  # Adam on the whole sample, penalised by 1e-4 |w|^2
-        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
-        g = np.append(x.T @ (p - y) / n + 1e-4 * w, (p - y).mean())
-        speed, square = 0.9 * speed + 0.1 * g, 0.99 * square + 0.01 * g * g
-        move = 0.2 * rate * speed / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        q = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
+        g = np.append(x.T @ (q - y) / n + 1e-4 * w, (q - y).mean())
+        speed, power = 0.9 * speed + 0.1 * g, 0.99 * power + 0.01 * g * g
+        move = 0.1 * speed / (1 - 0.9**step) / (np.sqrt(power / (1 - 0.99**step)) + 1e-8)
         w, offset = w - move[:-1], offset - move[-1]
-    return base, float(offset), {t: (float(w[2 * i]), float(w[2 * i + 1])) for t, i in at.items()}
+    return base, float(offset), {names[k]: (float(w[2 * i]), float(w[2 * i + 1])) for i, k in enumerate(chosen)}
 
 
 def train(rows: list[tuple[str, int, int]], keep: int = 200) -> Model:
     """A model of (text, quality 1 or 0, toxic 1 or 0) rows; keep: traits per target."""
     rows = sorted(rows)
     texts = [counts(t) for t, _, _ in rows]
+    seen: Counter = Counter()
+    for found, _ in texts:
+        seen.update(found.keys())
+    names = sorted(t for t, k in seen.items() if k >= 5)
+    place = {t: i for i, t in enumerate(names)}
+    known = []
+    for found, words in texts:
+        here = [(place[t], k) for t, k in found.items() if t in place]
+        known.append((np.array([i for i, _ in here], int), np.minimum(1.0, np.array([k for _, k in here], float) / max(1, words) / FULL_RATE)))
     return Model({
-        "low": _fit(texts, np.array([1.0 - q for _, q, _ in rows]), keep),
-        "toxic": _fit(texts, np.array([float(x) for _, _, x in rows]), keep),
+        "low": _fit(names, known, np.array([1.0 - q for _, q, _ in rows]), keep),
+        "toxic": _fit(names, known, np.array([float(x) for _, _, x in rows]), keep),
     })
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500) -> Model:
     """Train on at most ``sample`` labelled rows, spread by a hash of doc_id. Labels with nulls, and ones without a document, are left out."""
     usable = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic")
     chosen = usable.orderBy(F.xxhash64("doc_id", F.lit("labels")), "doc_id", "quality", "toxic").limit(sample)  # some kB: a row is three numbers
@@ -215,7 +220,7 @@ def posteriors(scored: DataFrame, host: str = "host", path: str = "path") -> Dat
     return out.drop("__host", "__path", "n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "rate", "weight")])
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: float = 0.5, host: str = "source", path: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 2500, threshold: float = 0.5, host: str = "source", path: str = "lang") -> DataFrame:
     """One row per row of ``docs``: __row (see with_row_id), doc_id, p_low, p_toxic, site_low, site_toxic, low, toxic, kept.
 
     kept is false where low or toxic is above ``threshold``. Null and empty texts are judged by their site alone; an

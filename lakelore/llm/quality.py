@@ -206,18 +206,17 @@ def posteriors(scored: DataFrame, host: str = "host", path: str = "path") -> Dat
     between = spread(hosts, "host_n", "host_")
     among = spread(paths, "n", "")
     sites = paths.join(hosts.withColumnRenamed(host, "__host"), F.col(host).eqNullSafe(F.col("__host"))).drop("__host")
+    sites = sites.select(F.col(host).alias("__host"), F.col(path).alias("__path"), "n", "host_n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "host_sum")])
+    out = scored.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")))
     for k in TARGETS:
         mean, variance = between[k]
         by_host, by_path = _strength(F.lit(mean), F.lit(variance)), _strength(F.lit(mean), F.lit(max(among[k][1] - variance, 0.0)))
-        sites = sites.withColumn(f"rate_{k}", (F.col(f"host_sum_{k}") + by_host * mean) / (F.col("host_n") + by_host)).withColumn(f"weight_{k}", by_path)
-    sites = sites.select(F.col(host).alias("__host"), F.col(path).alias("__path"), "n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "rate", "weight")])
-    out = scored.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")))
-    for k in TARGETS:
-        p, w = F.col(f"p_{k}"), F.col(f"weight_{k}")
-        prior = (F.col(f"sum_{k}") - p + w * F.col(f"rate_{k}")) / (F.col("n") - 1 + w)
-        odds = _logit(p) - _logit(F.lit(between[k][0])) + _logit(prior)
+        p = F.col(f"p_{k}")
+        rate = (F.col(f"host_sum_{k}") - p + by_host * mean) / (F.col("host_n") - 1 + by_host)
+        prior = (F.col(f"sum_{k}") - p + by_path * rate) / (F.col("n") - 1 + by_path)
+        odds = _logit(p) - _logit(F.lit(mean)) + _logit(prior)
         out = out.withColumn(k, F.round(1 / (1 + F.exp(-odds)), 6)).withColumn(f"site_{k}", F.round(prior, 6))
-    return out.drop("__host", "__path", "n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "rate", "weight")])
+    return out.drop("__host", "__path", "n", "host_n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "host_sum")])
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 2500, threshold: float = 0.5, host: str = "source", path: str = "lang") -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import answers, embedding, identifiers, text as T
-from ..operators import access, audit, evaluation, ingest, results, retrieval
+from ..functions.sheets import sheet_type
+from ..operators import access, audit, chunking, evaluation, ingest, redaction, results, retrieval
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -665,3 +666,95 @@ SELECT user_id AS id, round(count(*) FILTER (event_type = 'purchase')::DOUBLE /
 def faithfulness(spark: SparkSession, d: str) -> DataFrame:
     verdict = F.expr("case event_type when 'purchase' then 'supported' when 'error' then 'unsupported' else 'unclear' end")
     return evaluation.faithfulness(table(spark, d, "events").select(F.col("user_id").alias("id"), verdict.alias("verdict")))
+
+
+# ---- answers, sheets, chunks ----------------------------------------------------------------------------------------------
+
+_ANSWER = "concat(role, ' says [', turn + 1, '] and [2-', turn + 2, ']')"
+
+
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_append(range(2, turn + 3), turn + 1))), ',') AS cited FROM conversations")
+def citation_parse(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_ANSWER).alias("answer"))
+    return rows.select("conv_id", "turn", F.array_join(answers.cited(F.col("answer")), ",").alias("cited"))
+
+
+@query("""
+SELECT conv_id, turn, concat_ws(',', CASE WHEN turn > 0 THEN 'invalid_citation' END, CASE WHEN role = 'user' THEN 'uncited_answer' END) AS warnings FROM conversations""")
+def citation_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Sources 1 and 2 exist; a user's turn cites another one only."""
+    answer = F.when(F.col("role") == "user", F.when(F.col("turn") > 0, "see [9]").otherwise("see")).otherwise(F.expr(_ANSWER))
+    valid = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(answers.warnings(answer, valid), ",").alias("warnings"))
+
+
+@query("SELECT conv_id, turn, turn = 0 AS refused FROM conversations")
+def refusal_flag(spark: SparkSession, d: str) -> DataFrame:
+    answer = F.when(F.col("turn") == 0, F.concat(F.lit(answers.EMPTY_ANSWER + "\n"), F.lit("Closest related material: "), F.col("role"), F.lit(" [1]."))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", answers.is_refusal(answer).alias("refused"))
+
+
+def sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a sheet of its lines."""
+    line = F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("rows")).select(
+        "l_orderkey", F.array(F.lit("part"), F.lit("quantity")).alias("headers"), "rows"
+    )
+
+
+@query("SELECT l_orderkey, CASE WHEN count(*) >= 5 THEN 'tabular' ELSE 'freeform' END AS sheet_type FROM lineitem GROUP BY l_orderkey")
+def sheet_classify(spark: SparkSession, d: str) -> DataFrame:
+    return sheets(spark, d).select("l_orderkey", sheet_type(F.col("headers"), F.col("rows"), F.lit(0)).alias("sheet_type"))
+
+
+@query()
+def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), F.col("text").alias("markdown"))
+    return chunking.chunk_documents(docs)
+
+
+@query()
+def chunk_table(spark: SparkSession, d: str) -> DataFrame:
+    sheet = F.struct(F.lit("lines").alias("sheet_name"), sheet_type(F.col("headers"), F.col("rows"), F.lit(0)).alias("sheet_type"), "headers", "rows", T.markdown_table(F.col("headers"), F.col("rows")).alias("markdown"))
+    docs = sheets(spark, d).select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("Order "), F.col("l_orderkey")).alias("title"), F.lit("").alias("markdown"), F.array(sheet).alias("tables"))
+    return chunking.chunk_documents(docs, chunking.Budget(size=60, row_overlap=1))
+
+
+@query()
+def redact_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("markdown"))
+    return redaction.redact_documents(docs)
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '2-HIGH' THEN 'tax-form+amount' ELSE '' END AS labels FROM orders WHERE o_orderpriority <> '1-URGENT'")
+def generation_screen(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as passages: urgent ones hold an identifier, high ones name a tax form with an amount."""
+    text = F.expr("case o_orderpriority when '1-URGENT' then 'order 123-45-6789' when '2-HIGH' then 'Form 1040 shows $100' else 'an order' end")
+    kept = redaction.generation_screen(table(spark, d, "orders").select("o_orderkey", text.alias("text")))
+    return kept.select("o_orderkey", F.array_join("labels", ",").alias("labels"))
+
+
+@query("""
+SELECT count(*) AS measured, round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*), 6) AS invalid_citation_rate, round(count(*) FILTER (event_type = 'view')::DOUBLE / count(*), 6) AS refusal_rate,
+  round(count(*) FILTER (event_type = 'purchase')::DOUBLE / count(*), 6) AS self_retrieval_rate FROM events WHERE value > 50""")
+def grounding_scorecard(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(
+        F.when(F.col("value") > 50, "ok").otherwise("error").alias("status"), F.when(F.col("event_type") == "error", F.array(F.lit(9))).otherwise(F.array().cast("array<int>")).alias("invalid"),
+        (F.col("event_type") == "view").alias("refused"), (F.col("event_type") == "purchase").alias("self_retrieved"),
+    )
+    return evaluation.grounding_scorecard(rows)
+
+
+@query("SELECT doc_id FROM documents WHERE source <> 'src0'")
+def purge_source(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.concat_ws("/", "source", "doc_id").alias("storage_key"))
+    _, left, _, _ = ingest.purge_source("src0", docs.select("source_id").distinct(), docs, docs.select("document_id"))
+    return left.select("doc_id")
+
+
+@query("SELECT doc_id, lang IN ('en', 'de') AND n_chars >= 100 AS title_only FROM documents WHERE NOT (lang IN ('fr', 'es') AND n_chars < 100)")
+def exposed_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose metadata leaves without an address, by class."""
+    docs = table(spark, d, "documents").where("not (lang in ('fr', 'es') and n_chars < 100)")
+    m = F.create_map(F.lit("title"), F.col("source"), F.lit("path"), F.col("lang"), F.lit("url"), F.lit("u"), F.lit("docClass"), F.when(F.col("lang").isin("en", "de") & (F.col("n_chars") >= 100), "B").otherwise("A"))
+    return docs.select("doc_id", (~F.map_contains_key(results.exposed_metadata(m), "url")).alias("title_only"))

@@ -195,3 +195,37 @@ def test_extraction_gate(spark):
     for args in ((decide(), "me", "f", "f"), (decide(True, False), "me", "f", "f"), (decide(True), None, "f", "f"), (decide(True), "me", "g", "f")):
         with pytest.raises(ValueError):
             R.extraction_gate(docs, flags, *args)
+
+
+def test_prompt_and_citations(spark):
+    schema = "query_id long, citation int, document_id long, ordinal int, gap boolean, title string, text string, url string, doc_class string, modified_at string"
+    res = spark.createDataFrame([(1, 1, 7, 0, False, 'A "b"', "x </document> y", "u", "A", "2024-01-02T00:00"), (1, 1, 7, 2, True, 'A "b"', "z", "u", "A", "2024-01-02T00:00"), (1, 2, 8, 0, False, None, "w", "u", "B", "soon")], schema)
+    asked = spark.createDataFrame([(1, "why?")], "query_id long, question string")
+    assert results.prompt(res, asked).first().prompt == (
+        '<document index="1" title="A &quot;b&quot;">\nx  y\n[...]\nz\n</document>\n\n<document index="2" title="">\nw\n</document>\n\nQuestion: why?'
+    )
+    got = {r.citation: (r.title, r.url, r.date) for r in results.citations(res).collect()}
+    assert got == {1: ('A "b"', "u", "2024-01-02"), 2: (None, None, None)}
+
+
+def test_storage_and_cursors(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "document_id long, storage_key string")
+    new = spark.createDataFrame([(1, None), (3, "c")], "document_id long, storage_key string")
+    got = {r.document_id: (r.storage_key, r.previous_storage_key) for r in ingest.set_storage(docs, new).collect()}
+    assert got == {1: (None, "a"), 2: ("b", None), 3: ("c", None)}
+    sources = spark.createDataFrame([("s", "x", 1, 1), ("t", "y", 1, 1)], "source_id string, cursor string, last_synced_at int, updated_at int")
+    moved = spark.createDataFrame([("s", "z", 5)], "source_id string, cursor string, synced_at int")
+    assert {r.source_id: (r.cursor, r.last_synced_at, r.updated_at) for r in ingest.move_cursors(sources, moved).collect()} == {"s": ("z", 5, 5), "t": ("y", 1, 1)}
+
+
+def test_rerank_keeps_order_without_scores(spark):
+    res = spark.createDataFrame([(1, i, i) for i in (1, 2, 3)], "query_id long, chunk_id long, rank int")
+    scores = spark.createDataFrame([(1, 3, 0.9)], "query_id long, chunk_id long, rerank_score double")
+    assert [r.chunk_id for r in retrieval.rerank(res, scores, 2).orderBy("rank").collect()] == [3, 1]
+
+
+def test_windows_of_a_long_document_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "abcde"), (2, "")], "document_id long, target string")
+    assert [(r.document_id, r.text) for r in R.scan_windows(docs, chars=2).orderBy("document_id", "window").collect()] == [(1, "ab"), (1, "cd"), (1, "e"), (2, "")]
+    with pytest.raises(Exception, match="windows"):
+        R.scan_windows(docs, chars=2, most=2).collect()

@@ -5,15 +5,17 @@ pair. Two sets with Jaccard similarity t or more share a shingle among the first
 shingles (the prefix); rare ones first, few sets share one. Rarity is estimated by a table of 2**20 counters over all
 documents: a fixed size, merged in a tree.
 
-Candidates share a prefix shingle and pass the length filter and the positional filter; then the suffix filter and
-the count of common shingles on the whole sets, once per pair. To keep a large group of near copies from making a
-pair of each two, pairs are tried in two steps that lose no link between components:
+Candidates share a prefix shingle and pass the length filter and the positional filter. The suffix filter comes next, in
+the form that needs no set: how many shingles of each set fall in each of 256 ranges of the hash; no more can be common than
+the lesser number of each range. Only pairs that pass have their whole sets compared, once per pair. To keep a large group of
+near copies from making a pair of each two, pairs are tried in two steps that lose no link between components:
 
 1. In each shingle's group, sorted by size, each set with the one before it: as many pairs as rows.
 2. In groups that still span several components, the sets outside the group's largest component with all sets of other
    components. Pairs within a component are left out: their link would join nothing.
 
-Texts travel once, those of candidates only go further; sets are made again from them.
+Sets are made again from the texts of those pairs only; a list of them is broadcast to the scan if it is counted and short,
+else joined.
 """
 
 from __future__ import annotations
@@ -32,22 +34,42 @@ COUNTERS, SLOTS = 1 << 20, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; emptied at ``keep``."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Powers of an odd base modulo 2**64 and their inverses, as far as texts have needed them; longer texts go word by word.
+_BASE, _FAR, _LONG = 0xD1342543DE82EF95, 1 << 21, 512
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self, keep: int = 400_000):
-        self.keep = keep
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            some = np.full(size, base, np.uint64)
+            some[0] = 1
+            _POWERS[k] = np.multiply.accumulate(some)
+    return _POWERS
 
-        if len(self) >= self.keep:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+def _word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words between ASCII white space, in order: polynomials of their bytes, mixed with their length.
 
-_WORDS = _Hashes()
+    Words over 512 bytes, and all words of a text over 2 MB, get xxHash64 instead.
+    """
+    import xxhash
+
+    if len(data) > _FAR:
+        return np.array([xxhash.xxh64_intdigest(w) if len(w) > _LONG else int(_word_hashes(w)[0]) for w in data.split()], np.uint64)
+    codes = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[codes], [True]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = _powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+    out = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[2])
+    for i in np.flatnonzero(ends - starts > _LONG):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return out
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,12 +81,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingles(text: str, n: int = 5) -> np.ndarray:
     """The set of a text, ascending: hashes of n words in a row; of all words if they are fewer; none without words.
 
-    bytes.lower() lowers A-Z only, and bytes.split() cuts at the six ASCII white-space characters only.
+    bytes.lower() lowers A-Z only; words end at the six ASCII white-space characters only.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    h = _word_hashes(text.encode("utf-8", "surrogatepass").lower())
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
     width = min(n, len(h))
     total = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
@@ -72,26 +93,24 @@ def shingles(text: str, n: int = 5) -> np.ndarray:
     return np.unique(total)
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether 100 * |x & y| >= percent * |x | y|, after the suffix filter."""
-    need = -(-percent * (len(x) + len(y)) // (100 + percent))
-    if _most(x, y, 4) < need:
-        return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= need
+def least_common(n: int | np.ndarray, m: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """How many shingles sets of n and m must share."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def spread(s: np.ndarray) -> bytes:
+    """How many elements fall in each of 256 ranges of the hash; 255 stands for that many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
-def _most(x: np.ndarray, y: np.ndarray, depth: int) -> int:
-    """Suffix filter: no more than this many are common, by how a few elements part both sets."""
-    if not depth or not len(x) or not len(y):
-        return min(len(x), len(y))
-    middle = len(y) // 2
-    at = int(np.searchsorted(x, y[middle]))
-    has = int(at < len(x) and x[at] == y[middle])
-    return _most(x[:at], y[:middle], depth - 1) + has + _most(x[at + has :], y[middle + 1 :], depth - 1)
+def most_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Suffix filter: of rows of spreads, no more than this many elements are common."""
+    least = np.minimum(x, y)
+    return np.where((least == 255).any(axis=1), np.iinfo(np.int64).max, least.sum(axis=1, dtype=np.int64))
 
 
 def _profile(rows: DataFrame) -> DataFrame:
-    """Per document __row, n, id (digest) and short (64 bits of it); and per task the counters, in slots. One pass over the texts."""
+    """Per document __row, n, id (digest), short (64 bits of it) and spread; and per task the counters, in slots. One pass over the texts."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -100,23 +119,21 @@ def _profile(rows: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         counters = np.zeros(COUNTERS, np.uint32)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["file", "row", "n", "id", "short", "part", "slot", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["file", "row", "n", "id", "short", "spread", "part", "slot", "counts"]
         for batch in batches:
             files, places, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for f, r, t in zip(files, places, batch.column(2), strict=True):
                 s = shingles(t.as_py())
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                counters += np.bincount((s & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32) if len(s) > COUNTERS // 8 else 0
-                if len(s) <= COUNTERS // 8:
-                    np.add.at(counters, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                out.append((f, r, len(s), digest, int.from_bytes(digest[:8], "little", signed=True), None, None, None))
+                np.add.at(counters, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                out.append((f, r, len(s), digest, int.from_bytes(digest[:8], "little", signed=True), spread(s), None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
         part = TaskContext.get().partitionId()
-        blocks = [(None, None, None, None, None, part, i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(counters.reshape(SLOTS, -1))]
+        blocks = [(None, None, None, None, None, None, part, i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(counters.reshape(SLOTS, -1))]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in blocks], k) for i, k in enumerate(kinds)], names=names)
 
-    return rows.select("__row.file", "__row.row", "text").mapInArrow(run, "file long, row long, n long, id binary, short long, part long, slot long, counts binary")
+    return rows.select("__row.file", "__row.row", "text").mapInArrow(run, "file long, row long, n long, id binary, short long, spread binary, part long, slot long, counts binary")
 
 
 def _counters(blocks: DataFrame, fan: int = 256) -> np.ndarray:
@@ -178,31 +195,52 @@ def _prefixes(rows: DataFrame, counters: np.ndarray, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "shingle long, short long, n int, pos int")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
+#: Names, at most, that are broadcast to a scan: 24 bytes each.
+FEW = 200_000
+
+
+def _sets(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """id and set (ascending 64-bit hashes) of the rows named in ``chosen`` (__row, id)."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingles(t.as_py()).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["short", "id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "set"])
 
-    return texts.select("short", "id", "text").mapInArrow(run, "short long, id binary, set binary")
+    named = F.broadcast(chosen) if chosen.count() <= FEW else chosen
+    return rows.select("__row", "text").join(named, "__row").select("id", "text").mapInArrow(run, "id binary, set binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b (digests) among candidate pairs of shorts, each looked at once."""
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links a, b (digests) among candidate pairs x, y of shorts, each looked at once."""
 
-    def run(batches: Iterator) -> Iterator:
+    def near(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+            good = most_common(x, y) >= least_common(n, m, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    def same(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            good = [similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y, strict=True)]
+            good = []
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                good.append(len(np.intersect1d(x, y, assume_unique=True)) >= least_common(len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("short").alias("x"), F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("short").alias("y"), F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "x").join(right, "y").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    side = lambda old, k: nodes.select(F.col("short").alias(old), F.col("id").alias(k), F.col("spread").alias(f"spread_{k}"), F.col("n").alias(f"n_{k}"))
+    both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b", "spread_a", "spread_b", "n_a", "n_b")
+    left = settle(both.mapInArrow(near, "a binary, b binary"))
+    wanted = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+    sets = settle(_sets(rows, settle(nodes.select("__row", "id").join(wanted, "id", "left_semi"))))
+    of = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"))
+    return settle(left.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(same, "a binary, b binary"))
 
 
 def _may_link(small: str, large: str, percent: int) -> Column:
@@ -224,6 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     profile = settle(_profile(rows))
     counters = _counters(profile.where("counts is not null").select("part", "slot", "counts"))
     each = profile.where("file is not null").select(F.struct("file", "row").alias("__row"), "n", "id", "short")
+    named = profile.where("file is not null and n > 0").groupBy("short", "id").agg(F.min(F.struct(F.struct("file", "row").alias("__row"), "n", "spread")).alias("v"))
+    nodes = settle(named.select("short", "id", "v.*"))
 
     prefixes = _prefixes(rows, counters, percent)
     of_shingle = Window.partitionBy("shingle")
@@ -234,14 +274,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     before = live.select("shingle", "short", "n", "pos", *[F.lag(c).over(order).alias(f"b_{c}") for c in ("short", "n", "pos")])
     tried = settle(before.where(_may_link("b_", "", percent)).select(F.col("b_short").alias("x"), F.col("short").alias("y")).where("x <> y").distinct())
 
-    # Candidates' sets, made again from one text of each; all that step 2 may ask for.
-    wanted = live.select("short").distinct()
-    chosen = each.where("n > 0").groupBy("short", "id").agg(F.min("__row").alias("__row")).join(wanted, "short", "left_semi")
-    sets = settle(_sets(rows.select("__row", "text").join(chosen, "__row").select("short", "id", "text")))
-    links = settle(_verified(tried, sets, percent))
+    links = _links(tried, nodes, rows, percent)
 
     # Step 2: what is left between components.
-    same = sets.groupBy("short").agg(F.min("id").alias("id"), F.max("id").alias("most"))
+    same = nodes.groupBy("short").agg(F.min("id").alias("id"), F.max("id").alias("most"))
     roots = components(links)
     root = same.join(roots, same["id"] == roots["node"], "left").select("short", F.when(F.col("id") == F.col("most"), F.coalesce("root", "id")).alias("root"))
     rooted = settle(live.join(root, "short"))
@@ -261,7 +297,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     good = (up & _may_link("x_", "y_", percent) & indexed("x_")) | (~up & _may_link("y_", "x_", percent) & indexed("y_"))
     more = met.where(good).select(F.least("x_short", "y_short").alias("x"), F.greatest("x_short", "y_short").alias("y")).distinct()
     known = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    links = settle(links.unionByName(_verified(more.join(known, ["x", "y"], "left_anti"), sets, percent)))
+    links = links.unionByName(_links(settle(more.join(known, ["x", "y"], "left_anti")), nodes, rows, percent))
 
     # Components of sets, then the least doc_id of each.
     roots = components(links).select(F.col("node").alias("id"), "root")

@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
-    at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     spark.sparkContext.setCheckpointDir(at)
     return at
 

@@ -77,7 +77,7 @@ _DENSE = """, dense AS (
 )"""
 _SPARSE = """, sparse AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-    SELECT query_id, chunk_id, round(sum(places) * 0.1, 6) AS score FROM asked JOIN has USING (lexeme) JOIN seen USING (chunk_id) JOIN questions q USING (query_id)
+    SELECT query_id, chunk_id, round(sum(places) * 0.1::DOUBLE, 6) AS score FROM asked JOIN has USING (lexeme) JOIN seen USING (chunk_id) JOIN questions q USING (query_id)
     WHERE q.scope IS NULL OR list_contains(q.scope, seen.source_id) GROUP BY ALL)
   QUALIFY rank <= {pool}
 )"""

@@ -10,7 +10,8 @@ the form that needs no set: how many shingles of each set fall in each of 256 ra
 the lesser number of each range. Only pairs that pass have their whole sets compared, once per pair. To keep a large group of
 near copies from making a pair of each two, pairs are tried in two steps that lose no link between components:
 
-1. In each shingle's group, sorted by size, each set with the one before it: as many pairs as rows.
+1. In each shingle's group, each set with the first one of its size class (by a hash, so mostly the same one in all groups
+   of a family), and the first of each class with that of the class below: no more pairs than rows.
 2. In groups that still span several components, the sets outside the group's largest component with all sets of other
    components. Pairs within a component are left out: their link would join nothing.
 
@@ -269,10 +270,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     of_shingle = Window.partitionBy("shingle")
     live = settle(prefixes.withColumn("sharing", F.count("*").over(of_shingle)).where("sharing > 1").drop("sharing").distinct())
 
-    # Step 1: each set with the one before it in order of size.
-    order = of_shingle.orderBy("n", "short")
-    before = live.select("shingle", "short", "n", "pos", *[F.lag(c).over(order).alias(f"b_{c}") for c in ("short", "n", "pos")])
-    tried = settle(before.where(_may_link("b_", "", percent)).select(F.col("b_short").alias("x"), F.col("short").alias("y")).where("x <> y").distinct())
+    # Step 1: each set with the first of its shingle and size class, and those with the first of the class below.
+    live = live.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
+    first = F.min(F.struct("short", "n", "pos"))
+    firsts = live.groupBy("shingle", "size").agg(first.alias("f")).select("shingle", "size", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("short", "n", "pos")])
+    to_first = live.join(firsts, ["shingle", "size"]).select(*[c for x in ("", "f_") for c in (f"{x}short", f"{x}n", f"{x}pos")])
+    below = Window.partitionBy("shingle").orderBy("size")
+    ladder = firsts.select(*[F.lag(f"f_{c}").over(below).alias(c) for c in ("short", "n", "pos")], "f_short", "f_n", "f_pos").where("short is not null")
+    met = to_first.unionByName(ladder).where("short <> f_short")
+    fits = ((F.col("n") <= F.col("f_n")) & _may_link("", "f_", percent)) | ((F.col("n") > F.col("f_n")) & _may_link("f_", "", percent))
+    tried = settle(met.where(fits).select(F.least("short", "f_short").alias("x"), F.greatest("short", "f_short").alias("y")).distinct())
 
     links = _links(tried, nodes, rows, percent)
 
@@ -296,8 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     up = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_short") < F.col("y_short")))
     good = (up & _may_link("x_", "y_", percent) & indexed("x_")) | (~up & _may_link("y_", "x_", percent) & indexed("y_"))
     more = met.where(good).select(F.least("x_short", "y_short").alias("x"), F.greatest("x_short", "y_short").alias("y")).distinct()
-    known = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    links = links.unionByName(_links(settle(more.join(known, ["x", "y"], "left_anti")), nodes, rows, percent))
+    links = links.unionByName(_links(settle(more.join(tried, ["x", "y"], "left_anti")), nodes, rows, percent))
 
     # Components of sets, then the least doc_id of each.
     roots = components(links).select(F.col("node").alias("id"), "root")

@@ -5,15 +5,14 @@ loss-weighted: a language's distance is the exponential loss of its codeword aga
 bit weighted by how well its classifier does on that language; the nearest codeword wins, and a runner-up almost as
 near flags the text as ambiguous.
 
-A text's features are the hashed n-grams (1 to 3 letters, with the word's ends) of its words, as shares of all.
-The margins are linear in them, so a word's part is computed once and kept. Training is on the driver, on a sample of
+A text's features are the hashed n-grams (1 to 3 letters, with the word's ends) of its words, as shares of all, counted
+over the whole text at once. Training is on the driver, on a sample of
 bounded size per language (``per_lang``); everything else goes over all rows in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,47 +46,39 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return max(found, key=lambda x: x[:2])[2]
 
 
-def word_buckets(word: str, buckets: int) -> list[int]:
-    """N-gram buckets of a word's letters; none if it has no letter."""
-    letters = "".join(c for c in word.lower() if c.isalpha())
-    if not letters:
-        return []
-    marked = f"^{letters}$"
-    return [zlib.crc32(marked[i : i + n].encode()) % buckets for n in (1, 2, 3) for i in range(len(marked) - n + 1) if marked[i : i + n] not in "^$"]
+_LETTERS = None
+#: Code points looked at in one go, so that a very long text takes no more memory than a long one.
+BLOCK = 1 << 20
 
 
-class _Words(dict):
-    """What each word adds to the margins, as rows of a table; started anew when the table is full."""
+def counts(text: str, buckets: int) -> np.ndarray:
+    """Numbers of a text's n-grams per bucket: 1 to 3 letters in a row, anything else being an end of a word; all zeros without a letter."""
+    global _LETTERS
+    if _LETTERS is None:
+        _LETTERS = np.array([chr(i).isalpha() for i in range(0x110000)])
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.concatenate([np.zeros(1, np.uint32), np.where(_LETTERS[codes], codes, 0).astype(np.uint32), np.zeros(2, np.uint32)])
+    total = np.zeros(buckets, np.int64)
+    for at in range(0, len(codes) - 2, BLOCK):
+        a, b, c = (codes[at + i : min(at + i + BLOCK, len(codes) - 2 + i)] for i in range(3))
+        two = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)
+        three = two + c * np.uint32(0xC2B2AE35)
+        for grams in (b[b != 0] * np.uint32(0x27D4EB2F), two[(a | b) != 0], three[b != 0]):
+            grams = (grams ^ (grams >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            total += np.bincount((grams ^ (grams >> np.uint32(12))) % np.uint32(buckets), minlength=buckets)
+    return total
 
-    def __init__(self, model: Model, rows: int):
-        self.model, self.rows = model, rows
-        self.table = np.zeros((rows, model.weights.shape[1] + 1), np.float32)
 
-    def part(self, word: str) -> np.ndarray:
-        at = word_buckets(word, len(self.model.weights))
-        return np.append(self.model.weights[at].sum(0), len(at)) if at else np.zeros(self.table.shape[1])
+def margins(model: Model, text: str) -> np.ndarray | None:
+    """The classifiers' margins, or None for a text without a letter."""
+    found = counts(text, len(model.weights))
+    n = found.sum()
+    return (found @ model.weights) / n + model.offsets if n else None
 
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        self.table[k] = self.part(word)
-        self[word] = k
-        return k
 
-    def margins(self, text: str) -> np.ndarray | None:
-        """The classifiers' margins, or None for a text without a letter."""
-        words = text.split()
-        total = np.zeros(self.table.shape[1])
-        for a in range(0, len(words), self.rows // 4):
-            some = words[a : a + self.rows // 4]
-            if len(self) + len(some) > self.rows:
-                self.clear()
-            total += self.table[list(map(self.__getitem__, some))].sum(0, dtype=np.float64)
-        return total[:-1] / total[-1] + self.model.offsets if total[-1] else None
-
-
-def decode(model: Model, margins: np.ndarray) -> tuple[str, float, bool]:
+def decode(model: Model, margin: np.ndarray) -> tuple[str, float, bool]:
     """(language, score from 0 to 1, whether the runner-up is almost as near)."""
-    loss = (model.trust * np.exp(-np.clip(model.codes * margins, -4, 4))).sum(1)
+    loss = (model.trust * np.exp(-np.clip(model.codes * margin, -4, 4))).sum(1)
     near = np.exp(-4 * (loss - loss.min()))
     share = near / near.sum()
     best = int(loss.argmin())
@@ -100,7 +91,7 @@ def train(rows: list[tuple[str, str]], buckets: int = 4096, ridge: float = 1e-5)
     rows = sorted(rows)
     features = []
     for _, text in rows:
-        x = np.bincount([b for w in text.split() for b in word_buckets(w, buckets)], minlength=buckets).astype(np.float32)
+        x = counts(text, buckets).astype(np.float32)
         features.append(x / max(1.0, x.sum()))
     known = [i for i, x in enumerate(features) if x.any()]
     langs = sorted({rows[i][0] for i in known})
@@ -153,13 +144,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words = _Words(shared.value, 100_000)
+        model = shared.value
         for batch in batches:
             out = []
             for t in batch.column(kept.index(text)):
                 t = t.as_py()
-                margins = words.margins(t) if t is not None and shared.value.langs else None
-                out.append((UNDETERMINED, 0.0, False) if margins is None else decode(shared.value, margins))
+                margin = margins(model, t) if t is not None and model.langs else None
+                out.append((UNDETERMINED, 0.0, False) if margin is None else decode(model, margin))
             columns = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, names=kept + list(new))
 

@@ -2,7 +2,7 @@
 
 A document's set: its distinct 5-word shingles, as 64-bit hashes. Sets with the same 128-bit digest are one node; copies join no
 pair. Two sets with Jaccard similarity t or more share a shingle among the first few of each in any one order of
-shingles (the prefix); rare ones first, few sets share one. Rarity is estimated by a table of 2**20 counters over all
+shingles (the prefix); rare ones first, few sets share one. Rarity is estimated by a table of 2**23 counters over all
 documents: a fixed size, merged in a tree.
 
 Candidates share a prefix shingle and pass the length filter and the positional filter. The suffix filter comes next, in
@@ -10,8 +10,9 @@ the form that needs no set: how many shingles of each set fall in each of 256 ra
 the lesser number of each range. Only pairs that pass have their whole sets compared, once per pair. To keep a large group of
 near copies from making a pair of each two, pairs are tried in two steps that lose no link between components:
 
-1. In each shingle's group, each set with the first one of its size class (by a hash, so mostly the same one in all groups
-   of a family), and the first of each class with that of the class below: no more pairs than rows.
+1. In each shingle's group, each set with the first one of its size class, and that one with the first of the class below: no
+   more pairs than rows. First is where fewest rarer shingles stand before it: in a family of copies with changes of their
+   own, that is the one they were all made from.
 2. In groups that still span several components, the sets outside the group's largest component with all sets of other
    components. Pairs within a component are left out: their link would join nothing.
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import filled, settle, with_row_id
 from .components import components
 
-COUNTERS, SLOTS = 1 << 20, 64
+COUNTERS, SLOTS = 1 << 23, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -119,7 +120,7 @@ def _profile(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        counters = np.zeros(COUNTERS, np.uint32)
+        counters = np.zeros(COUNTERS, np.uint16)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         names = ["file", "row", "n", "id", "short", "spread", "part", "slot", "counts"]
         for batch in batches:
@@ -131,7 +132,7 @@ def _profile(rows: DataFrame) -> DataFrame:
                 out.append((f, r, len(s), digest, int.from_bytes(digest[:8], "little", signed=True), spread(s), None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
         part = TaskContext.get().partitionId()
-        blocks = [(None, None, None, None, None, None, part, i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(counters.reshape(SLOTS, -1))]
+        blocks = [(None, None, None, None, None, None, part, i, zlib.compress(b.astype(np.uint32).tobytes(), 1)) for i, b in enumerate(counters.reshape(SLOTS, -1))]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in blocks], k) for i, k in enumerate(kinds)], names=names)
 
     return rows.select("__row.file", "__row.row", "text").mapInArrow(run, "file long, row long, n long, id binary, short long, spread binary, part long, slot long, counts binary")
@@ -156,9 +157,9 @@ def _counters(blocks: DataFrame, fan: int = 256) -> np.ndarray:
         if tasks <= 1:
             break
     found = np.zeros((SLOTS, COUNTERS // SLOTS), np.uint32)
-    for r in blocks.collect():  # 64 rows, 4 MB in all at any size of the corpus
+    for r in blocks.collect():  # 64 rows, 32 MB in all at any size of the corpus
         found[r.slot] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
-    return found.reshape(-1)
+    return np.minimum(found, 65535).astype(np.uint16).reshape(-1)
 
 
 def _prefixes(rows: DataFrame, counters: np.ndarray, percent: int) -> DataFrame:
@@ -270,9 +271,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     of_shingle = Window.partitionBy("shingle")
     live = settle(prefixes.withColumn("sharing", F.count("*").over(of_shingle)).where("sharing > 1").drop("sharing").distinct())
 
-    # Step 1: each set with the first of its shingle and size class, and those with the first of the class below.
+    # Step 1: each set with the first of its shingle and size class, and that one with the first of the class below.
     live = live.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
-    first = F.min(F.struct("short", "n", "pos"))
+    first = F.min(F.struct("pos", "short", "n"))
     firsts = live.groupBy("shingle", "size").agg(first.alias("f")).select("shingle", "size", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("short", "n", "pos")])
     to_first = live.join(firsts, ["shingle", "size"]).select(*[c for x in ("", "f_") for c in (f"{x}short", f"{x}n", f"{x}pos")])
     below = Window.partitionBy("shingle").orderBy("size")

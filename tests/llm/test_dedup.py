@@ -75,6 +75,15 @@ def test_syncmers_are_context_free(spark):
     assert len(a) > 5 and a <= b
 
 
+def test_short_texts_have_fingerprints(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"s{rng.randrange(1000)}" for _ in range(n)) for n in (1, 4, 5, 6, 7) for _ in range(30)]
+    df = spark.createDataFrame([(t, "") for t in texts], "text string, other string")
+    df = syncmers.with_anchors(syncmers.with_anchors(df, "text", "a"), "other", "b")
+    got = syncmers.with_likeness(df, "a", "b", "near").collect()
+    assert all(len(r.a) > 0 and r.near == 0 for r in got) and all(r.b == [] for r in got)
+
+
 def test_odd_fingerprints(odd):
     assert syncmers.fingerprints(odd).count() == 11
 

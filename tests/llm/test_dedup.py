@@ -84,6 +84,23 @@ def test_short_texts_have_fingerprints(spark):
     assert all(len(r.a) > 0 and r.near == 0 for r in got) and all(r.b == [] for r in got)
 
 
+def test_likeness_of_long_texts_with_scattered_edits(spark):
+    rng = random.Random(12)
+    words = [f"l{i}" for i in range(20000)]
+    edited, cut = list(words), list(words)
+    for _ in range(300):
+        edited.insert(rng.randrange(len(edited)), "new")
+        del cut[rng.randrange(len(cut))]
+    mixed = [words[i : i + 10] for i in range(0, len(words), 10)]
+    rng.shuffle(mixed)
+    texts = [" ".join(x) for x in (edited, cut, sum(mixed, []))]
+    df = spark.createDataFrame([(" ".join(words), t) for t in texts], "text string, other string")
+    df = syncmers.with_anchors(syncmers.with_anchors(df, "text", "a"), "other", "b")
+    got = [r.near for r in syncmers.with_likeness(df, "a", "b", "near").collect()]
+    share = [len({x >> 24 for x in r.a} & {x >> 24 for x in r.b}) / 64 for r in df.collect()]
+    assert min(got[:2]) > 0.75 and got[2] < 0.25 < share[2], (got, share)
+
+
 def test_odd_fingerprints(odd):
     assert syncmers.fingerprints(odd).count() == 11
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UNDETERMINED = "und"
 
@@ -121,15 +121,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300) -> Model:
-    """Train on about ``per_lang`` rows of each language, spread by a hash of doc_id, outside the held-out part."""
+    """Train on the ``per_lang`` rows of least hash of each language (all, if it has fewer), outside the held-out part.
+
+    Two scans: the first ranks the hashes alone, the second reads the texts up to each language's last hash. Both are cut to
+    ``per_lang`` rows a language, in each task and then over all, so no number of rows makes the sample smaller or larger.
+    """
     usable = docs.where(~held_out(doc_id) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}  # one row per language
-    if not counts:
+    rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text), F.lit("train")).alias("hash"))
+    least = Window.partitionBy("lang").orderBy("hash")
+
+    def sample(of: DataFrame) -> DataFrame:
+        return of.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= per_lang)
+
+    upto = {r[0]: r[1] for r in sample(rows.select("lang", "hash")).groupBy("lang").agg(F.max("hash")).collect()}  # one row per language
+    if not upto:
         return train([])
-    million = 1_000_000
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * million))])
-    chosen = F.pmod(F.xxhash64(F.col(doc_id), F.lit("train")), F.lit(million)) < shares[F.col(lang)]
-    return train([(r[0], r[1]) for r in usable.where(chosen).select(lang, text).collect()])
+    last = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])
+    return train([(r[0], r[1]) for r in sample(rows.where(F.col("hash") <= last[F.col("lang")])).select("lang", "text").collect()])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

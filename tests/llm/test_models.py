@@ -41,6 +41,18 @@ def test_language_of_odd_texts(odd, none):
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def test_every_language_keeps_its_sample(spark, monkeypatch):
+    """The rows learned are those of least hash, as many as asked for, however many there are and whatever their ids."""
+    monkeypatch.setattr(langid, "train", lambda rows: rows)
+    many = spark.range(3000).select(F.when(F.col("id") < 2900, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 100 == 0, "few").when(F.col("id") > 2900, "no id").otherwise("hot").alias("lang"))
+    for per_lang in (7, 1):
+        got = langid.fit(many, per_lang=per_lang)
+        assert {k: sum(r[0] == k for r in got) for k in ("few", "no id", "hot")} == dict.fromkeys(("few", "no id", "hot"), per_lang)
+        assert sorted(got) == sorted(langid.fit(many.repartition(7), per_lang=per_lang))
+    same = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same").alias("text"), F.lit("en").alias("lang"))
+    assert langid.fit(same, per_lang=5) == [("en", "the same")] * 5
+
+
 def test_long_texts_are_counted_whole():
     text = "ab c" * 1000
     whole = langid.counts(text, 512)

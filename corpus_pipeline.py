@@ -18,9 +18,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go; an unknown lang is filled in with the one found."""
-    found = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    """Documents without a letter (or a text) go; an unknown lang is filled in with the one found, if any was learned."""
+    found = langid.identify(docs.select(*COLUMNS), langid.fit(docs)).where(F.col("text").rlike(r"\p{L}"))
+    return found.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(langid.UNDETERMINED)))).select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,11 @@ def test_stages(spark, data):
     assert {r.doc_id for r in b.collect()} == want
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_language_stage_without_a_language(spark, data):
+    """No language is known, so none is learned: documents with a letter stay all the same."""
+    rows = [(1, "clean words of a document", None, "s", 25), (2, None, None, "s", 0), (3, " 12 ", None, "s", 4), (None, "été", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language(spark, docs, data).collect()
+    assert sorted(map(tuple, got), key=str) == sorted((rows[0], rows[3]), key=str)

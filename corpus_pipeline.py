@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakelore.llm import langid, line_dedup, ngram_join, packing, quality
+from lakelore.llm import langid, line_dedup, ngram_join, packing, passage_dedup, quality
 from lakelore.llm.common import settle, with_row_id
 from lakelore.llm.queries import WORDS, tokenizer
 
@@ -43,6 +43,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(found.where("stays").select("__row"), "__row", "left_semi").select(*COLUMNS)
 
 
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of 50 words or more within lines are deleted too, once no near copies are left; documents of which nothing is left go."""
+    left = passage_dedup.dedup_passages(docs.select(*COLUMNS))
+    return left.where("removed_words = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 ids."""
     return packing.pack(docs, tokenizer(WORDS))
@@ -53,6 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality", clean),
     ("line_dedup", lines),
     ("near_duplicates", near),
+    ("passages", passages),
     ("packing", pack),
 ]
 

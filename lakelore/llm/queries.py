@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dac, exact_dedup, langid, line_dedup, ngram_join, packing, quality, syncmers
+from . import bpe, chat, dac, exact_dedup, langid, line_dedup, ngram_join, packing, passage_dedup, quality, syncmers
 from .common import documents
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -59,6 +59,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "removed_lines", "removed_words", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = passage_dedup.dedup_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", "removed_words", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read(spark, dac.write(documents(spark, sf_dir), tokenizer(WORDS)))
 
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_ngram_join": op7_ngram_join,
         "op8_line_dedup": op8_line_dedup,
+        "op8_passages": op8_passages,
         "op9_token_files": op9_token_files,
         "op10_bpe": op10_bpe,
     }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,10 +34,75 @@ def settle(df: DataFrame) -> DataFrame:
     A written table survives lost executors, is compressed, and can be column-pruned, unlike a
     checkpointed RDD. Names never clash.
     """
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lakelore-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+class Scratch:
+    """Tables and broadcasts of one piece of work, which go once its result is settled elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.shared = spark, [], []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        out, at = _written(df)
+        self.paths.append(at)
+        return out
+
+    def broadcast(self, value):
+        out = self.spark.sparkContext.broadcast(value)
+        self.shared.append(out)
+        return out
+
+    def drop(self) -> None:
+        """Nothing that is still to be read may depend on these."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for at in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)
+        for b in self.shared:
+            b.destroy()
+        self.paths, self.shared = [], []
+
+
+#: What operators keep in a Python worker from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+@contextmanager
+def worker_memory(operator: str) -> Iterator[dict]:
+    """A task's part in its Python worker's memory: what the operator keeps there from task to task, a dict.
+
+    What other operators kept goes first, and what the task has freed goes back to the system at its end, so a worker
+    that serves one operator after another never holds more than one of them needs.
+    """
+    for other in [k for k in _KEPT if k != operator]:
+        del _KEPT[other]
+    _released()
+    try:
+        yield _KEPT.setdefault(operator, {})
+    finally:
+        _released()
+
+
+def _released() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,16 +121,17 @@ def shared_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def with_row_id(docs: DataFrame, name: str = "__row") -> DataFrame:
-    """``docs`` with a struct that names each row and stays the same whenever the rows are read again; as it is, if it has one.
+def with_row_id(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a struct (file, row) that names each row and stays the same whenever the rows are read again.
 
-    Rows of files have their file and place in it; any other rows are written to the shared folder first,
-    as a number given on the fly could change when a lost part is computed anew. Repeated rows stay apart.
+    ``name`` is one that no column has (see free_name): a column of the user's is never taken for a row's id. Rows of files
+    have their file and place in it; any other rows are written to the shared folder first, as a number given on the fly could
+    change when a lost part is computed anew. Repeated rows stay apart.
     """
     from pyspark.errors import AnalysisException
 
-    if name in docs.columns:
-        return docs
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name}")
     at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
         return docs.select("*", at.alias(name))
@@ -71,6 +139,28 @@ def with_row_id(docs: DataFrame, name: str = "__row") -> DataFrame:
         return settle(docs).select("*", at.alias(name))
 
 
+def identified(docs: DataFrame, columns: dict[str, Column], row: str | None = None) -> DataFrame:
+    """__row and ``columns`` (name: expression) of each row. row: a column made by with_row_id(), else one is made here."""
+    at = row or free_name(docs, "__row")
+    source = docs if row else with_row_id(docs, at)
+    return source.select(F.col(f"`{at}`").alias("__row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def join_one(big: DataFrame, small: DataFrame, keys: list[str], count: str = "n", share: int = 1000) -> DataFrame:
+    """Inner join with a settled table of one row per key, of which ``count`` says how many rows of ``big`` have the key.
+
+    Keys that more than a ``share``-th of all rows have, ``share`` at most, are broadcast, so the rows of a hot key stay in
+    the tasks they are in. The others are dealt by key.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    least = max(total / share, 1000)
+    hot = small.where(F.col(count) > least).drop(count)
+    if not hot.limit(1).count():
+        return big.join(small.drop(count), keys)
+    dealt = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(count) <= least).drop(count), keys)
+    return big.join(F.broadcast(hot), keys).unionByName(dealt)
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, with underscores until no column has it."""
     while name.lower() in {c.lower() for c in docs.columns}:

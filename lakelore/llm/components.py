@@ -4,24 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import settle
+from .common import Scratch, settle
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (least node reachable) for every node of ``links`` (columns a, b).
 
     Each round gives a node the least label of itself and its neighbours, then the label of that label. Labels at least
-    halve their distance, so rounds grow with the logarithm of the longest path. Labels are written after each round; the
-    driver sees one count. Grouping sums up before it shuffles; a join has one row per node on one side.
+    halve their distance, so rounds grow with the logarithm of the longest path. Labels are written after each round, and those
+    of the round before dropped; the driver sees one count. Grouping sums up before it shuffles; a join has one row per node
+    on one side.
     """
-    both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    start = Scratch(links.sparkSession)
+    both = start.settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    held = Scratch(links.sparkSession)
+    labels = held.settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next"))
         jump = labels.select(F.col("node").alias("over"), F.col("root").alias("far"))
-        moved = settle(step.join(jump, step["next"] == jump["over"], "left").select("node", "root", F.least("next", "far").alias("next")))
-        changed = moved.where("next <> root").limit(1).count()
+        new = Scratch(links.sparkSession)
+        moved = new.settle(step.join(jump, step["next"] == jump["over"], "left").select("node", "root", F.least("next", "far").alias("next")))
+        held.drop()
+        held = new
+        if not moved.where("next <> root").limit(1).count():
+            out = settle(moved.select("node", F.col("next").alias("root")))
+            held.drop()
+            start.drop()
+            return out
         labels = moved.select("node", F.col("next").alias("root"))
-        if not changed:
-            return labels

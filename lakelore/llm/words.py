@@ -44,7 +44,7 @@ class _Pieces(dict):
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, vocabulary: str, keep: int = 400_000):
+    def __init__(self, vocabulary: str, keep: int = 150_000):
         """vocabulary: the tokenizer's JSON text, not a path, so executors need no file of their own."""
         from tokenizers import Tokenizer
 
@@ -61,17 +61,14 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
-def encoder(shared) -> WordEncoder:
-    """The worker's encoder for a broadcast vocabulary; kept from task to task."""
+def encoder(shared, memory: dict) -> WordEncoder:
+    """The worker's encoder for a broadcast vocabulary; kept in ``memory`` (see worker_memory) from task to task."""
     text = shared.value
     key = hash(text)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(text)
-    return _ENCODERS[key]
+    if key not in memory:
+        memory.clear()
+        memory[key] = WordEncoder(text)
+    return memory[key]
 
 
 def vocabulary(spark, path: str):

@@ -1,248 +1,262 @@
 """Operator 7: Jaccard self-join on word 5-grams, rare-first, and the components of its links.
 
-A document's set: its distinct 5-word shingles, as 64-bit hashes. Sets with the same 128-bit digest are one node; copies join no
-pair. Two sets with Jaccard similarity t or more share a shingle among the first few of each in any one order of
-shingles (the prefix); rare ones first, few sets share one. Rarity is estimated by a table of 2**23 counters over all
-documents: a fixed size, merged in a tree.
-
-Candidates share a prefix shingle and pass the length filter and the positional filter. The suffix filter comes next, in
-the form that needs no set: how many shingles of each set fall in each of 256 ranges of the hash; no more can be common than
-the lesser number of each range. Only pairs that pass have their whole sets compared, once per pair. To keep a large group of
-near copies from making a pair of each two, pairs are tried in two steps that lose no link between components:
-
-1. In each shingle's group, each set with the first one of its size class, and that one with the first of the class below: no
-   more pairs than rows. First is where fewest rarer shingles stand before it: in a family of copies with changes of their
+A document's set: its distinct 5-word shingles, each a token of 63 bits: how rare it is (5 bits), then 58 bits of hash. Tokens in
+order are thus rare first, the one order that all sets share. Rarity is estimated by a table of 2**23 counters over all
+documents, a fixed size that is merged in a tree; any order is right, a better one only saves candidates. Sets with the same
+128-bit digest are one node; copies join no pair. Two sets with Jaccard similarity t or more share a token among the first few
+of each (the prefix); rare ones first, few sets share one.
+
+Candidates share a prefix token and pass the length and the positional filter within the join. Each pair then meets once with
+its two sets and passes the suffix filter: what stands behind the prefix is parted by a middle token of one set, again and
+again, and the sizes of the parts bound how many tokens must differ. Only what is left is intersected. To keep a large group
+of near copies from making a pair of each two, pairs are tried in two steps that lose no link between components:
+
+1. In each token's group, each set with the first one of its size class, and that one with the first of the class below: no
+   more pairs than rows. First is where fewest rarer tokens stand before it: in a family of copies with changes of their
    own, that is the one they were all made from.
-2. In groups that still span several components, the sets outside the group's largest component with all sets of other
-   components. Pairs within a component are left out: their link would join nothing.
+2. In groups that still span several components, the sets outside the group's largest component with those sets of other
+   components whose size class is the same or next. Pairs within a component are left out: their link would join nothing.
 
-Sets are made again from the texts of those pairs only; a list of them is broadcast to the scan if it is counted and short,
-else joined.
+Groups are summed up, never gathered: a group's rows meet only in joins with one row per key on the other side (step 1), or
+in joins that Spark splits (step 2). Sets are made again from the texts of those pairs only; a list of them is broadcast to the
+scan if it is counted and short, else joined.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import filled, settle, with_row_id
+from .common import Scratch, filled, identified, join_one, settle, worker_memory
 from .components import components
+from .hashing import ODD, mixed, word_hashes
 
 COUNTERS, SLOTS = 1 << 23, 64
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Powers of an odd base modulo 2**64 and their inverses, as far as texts have needed them; longer texts go word by word.
-_BASE, _FAR, _LONG = 0xD1342543DE82EF95, 1 << 21, 512
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bits of a token's hash, and how many classes of rarity stand above them.
+_HASH_BITS, _CLASSES = 58, 32
 
+def shingles(text: str, n: int = 5) -> np.ndarray:
+    """The set of a text, ascending: 58-bit hashes of n words in a row; of all words if they are fewer; none without words.
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            some = np.full(size, base, np.uint64)
-            some[0] = 1
-            _POWERS[k] = np.multiply.accumulate(some)
-    return _POWERS
+    bytes.lower() lowers A-Z only; words end at the six ASCII white-space characters only.
+    """
+    h = word_hashes(text.encode("utf-8", "surrogatepass").lower())
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    width = min(n, len(h))
+    total = np.full(len(h) - width + 1, width, np.uint64)
+    for i in range(width):
+        total = mixed(total * ODD[0] + h[i : len(h) - width + 1 + i] * ODD[1 + i % 4])
+    return np.unique(total >> np.uint64(64 - _HASH_BITS))
 
 
-def _word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words between ASCII white space, in order: polynomials of their bytes, mixed with their length.
+def _digest(s: np.ndarray) -> bytes:
+    import hashlib
 
-    Words over 512 bytes, and all words of a text over 2 MB, get xxHash64 instead.
-    """
-    import xxhash
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-    if len(data) > _FAR:
-        return np.array([xxhash.xxh64_intdigest(w) if len(w) > _LONG else int(_word_hashes(w)[0]) for w in data.split()], np.uint64)
-    codes = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate([[True], _SPACE[codes], [True]]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-    out = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[2])
-    for i in np.flatnonzero(ends - starts > _LONG):
-        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
-    return out
 
+def _short(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
 
+def classes_of(counters: np.ndarray) -> np.ndarray:
+    """A class of rarity for each counter: two for each doubling."""
+    return np.minimum(_CLASSES - 1, 2 * np.log2(counters.astype(np.float32) + 1)).astype(np.uint8)
 
-def shingles(text: str, n: int = 5) -> np.ndarray:
-    """The set of a text, ascending: hashes of n words in a row; of all words if they are fewer; none without words.
 
-    bytes.lower() lowers A-Z only; words end at the six ASCII white-space characters only.
-    """
-    h = _word_hashes(text.encode("utf-8", "surrogatepass").lower())
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    width = min(n, len(h))
-    total = np.full(len(h) - width + 1, width, np.uint64)
-    for i in range(width):
-        total = _mixed(total * _ODD[0] + h[i : len(h) - width + 1 + i] * _ODD[1 + i % 4])
-    return np.unique(total)
+def tokens(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A set of shingles as tokens in their order, rare first."""
+    rarity = classes[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
+    return np.sort(rarity << np.uint64(_HASH_BITS) | s)
 
 
-def least_common(n: int | np.ndarray, m: int | np.ndarray, percent: int) -> int | np.ndarray:
-    """How many shingles sets of n and m must share."""
+def least_common(n: int, m: int, percent: int) -> int:
+    """How many tokens sets of n and m must share."""
     return -(-percent * (n + m) // (100 + percent))
 
 
-def spread(s: np.ndarray) -> bytes:
-    """How many elements fall in each of 256 ranges of the hash; 255 stands for that many or more."""
-    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+def prefix_length(n: int, percent: int) -> int:
+    """Sets that link share a token among so many first ones of a set of n."""
+    return n - -(-percent * n // 100) + 1
 
 
-def most_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Suffix filter: of rows of spreads, no more than this many elements are common."""
-    least = np.minimum(x, y)
-    return np.where((least == 255).any(axis=1), np.iinfo(np.int64).max, least.sum(axis=1, dtype=np.int64))
+def differing(x: np.ndarray, y: np.ndarray, most: int, depth: int = 4) -> int:
+    """Suffix filter: a lower bound of how many tokens stand in one of two ordered sets only; beyond ``most`` it may stop early.
+
+    The middle token of y parts both sets; tokens of one part can only be shared with the same part of the other.
+    """
+    if not depth or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    middle = len(y) // 2
+    at = int(np.searchsorted(x, y[middle]))
+    here = at < len(x) and x[at] == y[middle]
+    behind_x, behind_y = x[at + here :], y[middle + 1 :]
+    alone, behind = int(not here), abs(len(behind_x) - len(behind_y))
+    if alone + abs(at - middle) + behind > most:
+        return alone + abs(at - middle) + behind
+    before = differing(x[:at], y[:middle], most - alone - behind, depth - 1)
+    if alone + before + behind > most:
+        return alone + before + behind
+    return alone + before + differing(behind_x, behind_y, most - alone - before, depth - 1)
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ordered sets link: suffix filter behind their first common token, then their intersection."""
+    need = least_common(len(x), len(y), percent)
+    a, b = x[: prefix_length(len(x), percent)], y[: prefix_length(len(y), percent)]
+    both = a[np.isin(a, b, assume_unique=True)]
+    if not len(both):
+        return False
+    i, j = int(np.searchsorted(x, both[0])), int(np.searchsorted(y, both[0]))
+    # What stands before the first common token is not shared (a token before it that were is before it in the other too).
+    most = len(x) + len(y) - 2 * need
+    if i + j + differing(x[i + 1 :], y[j + 1 :], most - i - j) > most:
+        return False
+    return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
 def _profile(rows: DataFrame) -> DataFrame:
-    """Per document __row, n, id (digest), short (64 bits of it) and spread; and per task the counters, in slots. One pass over the texts."""
+    """Per document __row, n, id (digest) and short (64 bits of it); and per task the counters, in slots. One pass over the texts."""
 
     def run(batches: Iterator) -> Iterator:
-        import hashlib
-
         import pyarrow as pa
         from pyspark import TaskContext
 
-        counters = np.zeros(COUNTERS, np.uint16)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["file", "row", "n", "id", "short", "spread", "part", "slot", "counts"]
-        for batch in batches:
-            files, places, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for f, r, t in zip(files, places, batch.column(2), strict=True):
-                s = shingles(t.as_py())
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                np.add.at(counters, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                out.append((f, r, len(s), digest, int.from_bytes(digest[:8], "little", signed=True), spread(s), None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
-        part = TaskContext.get().partitionId()
-        blocks = [(None, None, None, None, None, None, part, i, zlib.compress(b.astype(np.uint32).tobytes(), 1)) for i, b in enumerate(counters.reshape(SLOTS, -1))]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in blocks], k) for i, k in enumerate(kinds)], names=names)
-
-    return rows.select("__row.file", "__row.row", "text").mapInArrow(run, "file long, row long, n long, id binary, short long, spread binary, part long, slot long, counts binary")
-
-
-def _counters(blocks: DataFrame, fan: int = 256) -> np.ndarray:
-    """The sum of all tasks' counters: at most ``fan`` of a slot meet in one group, in as many rounds as that takes."""
-
-    def add(frame):
-        import pandas as pd
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["file", "row", "n", "id", "short", "part", "slot", "counts"]
+        with worker_memory("ngram_join"):
+            counters = np.zeros(COUNTERS, np.uint32)
+            for batch in batches:
+                out = []
+                for f, r, t in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                    s = shingles(t.as_py())
+                    digest = _digest(s)
+                    np.add.at(counters, (s & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+                    out.append((f.as_py(), r.as_py(), len(s), digest, _short(digest), None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+            part = TaskContext.get().partitionId()
+            for i, b in enumerate(counters.reshape(SLOTS, -1)):
+                if b.any():
+                    block = (None, None, None, None, None, part, i, zlib.compress(b.tobytes(), 1))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(block, kinds, strict=True)], names=names)
+
+    return rows.select("__row.file", "__row.row", "text").mapInArrow(run, "file long, row long, n long, id binary, short long, part long, slot long, counts binary")
+
+
+def _counters(blocks: DataFrame, work: Scratch, fan: int = 256) -> np.ndarray:
+    """The sum of all tasks' counters, held at 2**32 - 1: at most ``fan`` of a slot meet in one group, in as many rounds as that takes."""
+
+    def add(some):
+        import pyarrow as pa
 
         total = np.zeros(COUNTERS // SLOTS, np.uint32)
-        for c in frame["counts"]:
-            more = np.frombuffer(zlib.decompress(c), np.uint32)
+        for c in some.column("counts"):
+            more = np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
             total = np.where(total > np.uint32(2**32 - 1) - more, np.uint32(2**32 - 1), total + more)
-        return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "slot": [int(frame["slot"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
+        return pa.table({"part": some.column("part")[:1], "slot": some.column("slot")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     tasks = (blocks.agg(F.max("part")).first()[0] or 0) + 1
     while True:
-        blocks = settle(blocks.withColumn("part", F.floor(F.col("part") / fan)).groupBy("slot", "part").applyInPandas(add, "part long, slot long, counts binary"))
+        blocks = work.settle(blocks.withColumn("part", F.floor(F.col("part") / fan)).groupBy("slot", "part").applyInArrow(add, "part long, slot long, counts binary"))
         tasks = -(-tasks // fan)
         if tasks <= 1:
             break
     found = np.zeros((SLOTS, COUNTERS // SLOTS), np.uint32)
-    for r in blocks.collect():  # 64 rows, 32 MB in all at any size of the corpus
+    for r in blocks.toLocalIterator():  # 64 rows, 32 MB in all at any size of the corpus
         found[r.slot] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
-    return np.minimum(found, 65535).astype(np.uint16).reshape(-1)
+    return found.reshape(-1)
 
 
-def _prefixes(rows: DataFrame, counters: np.ndarray, percent: int) -> DataFrame:
-    """shingle, short, n, pos of each set's prefix, rare shingles first; a set that a task has had already is left out."""
-    shared = rows.sparkSession.sparkContext.broadcast(counters)
+def _prefixes(rows: DataFrame, shared, percent: int) -> DataFrame:
+    """token, short, n, pos of each set's prefix, rare tokens first; a set that a task has had lately is left out."""
 
     def run(batches: Iterator) -> Iterator:
-        import hashlib
-
         import pyarrow as pa
 
-        rare, had = shared.value, set()
-        for batch in batches:
-            tokens, shorts, sizes, places, held = [], [], [], [], 0
-            for t in batch.column(0):
-                s = shingles(t.as_py())
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if not len(s) or digest in had:
-                    continue
-                had.add(digest)
-                n = len(s)
-                first = n - -(-percent * n // 100) + 1
-                order = np.argsort(rare[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:first]
-                tokens.append(s[order].view(np.int64))
-                shorts.append(np.full(first, int.from_bytes(digest[:8], "little", signed=True), np.int64))
-                sizes.append(np.full(first, n, np.int32))
-                places.append(np.arange(first, dtype=np.int32))
-                held += first
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, shorts, sizes, places)], names=["shingle", "short", "n", "pos"])
-                    tokens, shorts, sizes, places, held = [], [], [], [], 0
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["token", "short", "n", "pos"])
+
+        with worker_memory("ngram_join"):
+            classes, had = shared.value, set()
+            found, held = [[], [], [], []], 0
+            for batch in batches:
+                for t in batch.column(0):
+                    s = shingles(t.as_py())
+                    short = _short(_digest(s))
+                    if not len(s) or short in had:
+                        continue
+                    if len(had) >= 100_000:  # what is forgotten comes again and is dropped later
+                        had.clear()
+                    had.add(short)
+                    first = prefix_length(len(s), percent)
+                    values = tokens(s, classes)[:first].view(np.int64), np.full(first, short, np.int64), np.full(first, len(s), np.int32), np.arange(first, dtype=np.int32)
+                    for x, v in zip(found, values, strict=True):
+                        x.append(v)
+                    held += first
+                    if held > 200_000:
+                        yield out()
+                        found, held = [[], [], [], []], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, shorts, sizes, places)], names=["shingle", "short", "n", "pos"])
+                yield out()
 
-    return rows.select("text").mapInArrow(run, "shingle long, short long, n int, pos int")
+    return rows.select("text").mapInArrow(run, "token long, short long, n int, pos int")
 
 
 #: Names, at most, that are broadcast to a scan: 24 bytes each.
 FEW = 200_000
+#: Bytes of sets in a batch that a task sends on.
+_BATCH = 8 << 20
 
 
-def _sets(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """id and set (ascending 64-bit hashes) of the rows named in ``chosen`` (__row, id)."""
+def _sets(rows: DataFrame, chosen: DataFrame, shared) -> DataFrame:
+    """id and set (tokens in order) of the rows named in ``chosen`` (__row, id)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "set"])
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["id", "set"])
+
+        with worker_memory("ngram_join"):
+            classes, ids, sets, held = shared.value, [], [], 0
+            for batch in batches:
+                for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                    ids.append(i.as_py())
+                    sets.append(tokens(shingles(t.as_py()), classes).tobytes())
+                    held += len(sets[-1])
+                    if held > _BATCH:
+                        yield out()
+                        ids, sets, held = [], [], 0
+            if ids:
+                yield out()
 
     named = F.broadcast(chosen) if chosen.count() <= FEW else chosen
     return rows.select("__row", "text").join(named, "__row").select("id", "text").mapInArrow(run, "id binary, set binary")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, shared, work: Scratch) -> DataFrame:
     """Links a, b (digests) among candidate pairs x, y of shorts, each looked at once."""
 
-    def near(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
-            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-            good = most_common(x, y) >= least_common(n, m, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
-
     def same(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            good = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                good.append(len(np.intersect1d(x, y, assume_unique=True)) >= least_common(len(x), len(y), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    side = lambda old, k: nodes.select(F.col("short").alias(old), F.col("id").alias(k), F.col("spread").alias(f"spread_{k}"), F.col("n").alias(f"n_{k}"))
-    both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b", "spread_a", "spread_b", "n_a", "n_b")
-    left = settle(both.mapInArrow(near, "a binary, b binary"))
-    wanted = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    sets = settle(_sets(rows, settle(nodes.select("__row", "id").join(wanted, "id", "left_semi"))))
+        with worker_memory("ngram_join"):
+            for batch in batches:
+                good = [linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda old, k: nodes.select(F.col("short").alias(old), F.col("id").alias(k))
+    both = work.settle(pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b"))
+    wanted = both.select(F.col("a").alias("id")).union(both.select("b")).distinct()
+    sets = work.settle(_sets(rows, work.settle(nodes.select("__row", "id").join(wanted, "id", "left_semi")), shared))
     of = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"))
-    return settle(left.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(same, "a binary, b binary"))
+    return work.settle(both.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(same, "a binary, b binary"))
 
 
 def _may_link(small: str, large: str, percent: int) -> Column:
@@ -252,67 +266,80 @@ def _may_link(small: str, large: str, percent: int) -> Column:
     return (100 * n >= percent * m) & need
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: __row (see with_row_id), doc_id, n_shingles, component_id, stays (once per component).
+def _first_pairs(live: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """Step 1: pairs x, y (shorts) of each set with the first of its token and size class, and of firsts of neighbouring classes."""
+    groups = live.groupBy("token", "size").agg(F.min(F.struct("pos", "short", "n")).alias("f"), F.count("*").alias("sets"))
+    firsts = work.settle(groups.select("token", "size", "sets", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("short", "n", "pos")]))
+    to_first = join_one(live, firsts, ["token", "size"], "sets").select(*[c for x in ("", "f_") for c in (f"{x}short", f"{x}n", f"{x}pos")])
+    below = firsts.select("token", (F.col("size") + 1).alias("size"), *[F.col(f"f_{c}").alias(c) for c in ("short", "n", "pos")])
+    ladder = firsts.join(below, ["token", "size"]).select(*to_first.columns)
+    met = to_first.unionByName(ladder).where("short <> f_short")
+    fits = ((F.col("n") <= F.col("f_n")) & _may_link("", "f_", percent)) | ((F.col("n") > F.col("f_n")) & _may_link("f_", "", percent))
+    return work.settle(met.where(fits).select(F.least("short", "f_short").alias("x"), F.greatest("short", "f_short").alias("y")).distinct())
+
+
+def _left_pairs(live: DataFrame, root: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """Step 2: pairs x, y of sets of different components (root; null: unknown) that share a prefix token and may link."""
+    rooted = work.settle(live.join(root, "short"))
+    groups = rooted.groupBy("token", "root").agg(F.count("*").alias("sets")).groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("sets", "root")).alias("largest"))
+    several = groups.where("parts > 1 or largest.root is null").select("token", F.col("largest.root").alias("main"))
+    spread = work.settle(rooted.join(several, "token"))
+    rename = lambda d, p, size: d.select("token", size.alias("size"), *[F.col(c).alias(p + c) for c in ("short", "n", "pos", "root")])
+    classes = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
+    outside = rename(spread.where("not (root <=> main) or root is null"), "x_", classes)
+    met = outside.join(rename(spread, "y_", F.col("size")), ["token", "size"]).where("x_short <> y_short and (x_root <> y_root or x_root is null or y_root is null)")
+
+    def indexed(s: str) -> Column:
+        """The smaller one's shorter prefix is enough."""
+        n, share = F.col(f"{s}n"), Fraction(2 * percent, 100 + percent)
+        return F.col(f"{s}pos") < n - F.ceil(n * share.numerator / share.denominator - 1e-9) + 1
+
+    up = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_short") < F.col("y_short")))
+    good = (up & _may_link("x_", "y_", percent) & indexed("x_")) | (~up & _may_link("y_", "x_", percent) & indexed("y_"))
+    return met.where(good).select(F.least("x_short", "y_short").alias("x"), F.greatest("x_short", "y_short").alias("y")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, stays (once per component), and ``row`` if it is given.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets; component_id is the least doc_id
     reachable by links, itself included. A null or empty text, or one of white space only, has an empty set and is linked
     with nothing; null doc_ids count last, so a component has one only if all its doc_ids are null. Repeated rows are
-    copies; an empty table gives no rows; other columns don't matter.
+    copies, and one of them stays; very long texts are hashed in blocks; an empty table gives no rows; other columns don't
+    matter, whatever their names. ``row`` names a column made by with_row_id().
     """
-    rows = with_row_id(docs).select("__row", F.col(doc_id).alias("doc_id"), filled(F.col(text)).alias("text"))
-    profile = settle(_profile(rows))
-    counters = _counters(profile.where("counts is not null").select("part", "slot", "counts"))
+    rows = identified(docs, {"doc_id": F.col(f"`{doc_id}`"), "text": filled(F.col(f"`{text}`"))}, row)
+    work = Scratch(docs.sparkSession)
+    profile = work.settle(_profile(rows))
+    shared = work.broadcast(classes_of(_counters(profile.where("counts is not null").select("part", "slot", "counts"), work)))  # 8 MB at any size
     each = profile.where("file is not null").select(F.struct("file", "row").alias("__row"), "n", "id", "short")
-    named = profile.where("file is not null and n > 0").groupBy("short", "id").agg(F.min(F.struct(F.struct("file", "row").alias("__row"), "n", "spread")).alias("v"))
-    nodes = settle(named.select("short", "id", "v.*"))
-
-    prefixes = _prefixes(rows, counters, percent)
-    of_shingle = Window.partitionBy("shingle")
-    live = settle(prefixes.withColumn("sharing", F.count("*").over(of_shingle)).where("sharing > 1").drop("sharing").distinct())
-
-    # Step 1: each set with the first of its shingle and size class, and that one with the first of the class below.
-    live = live.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
-    first = F.min(F.struct("pos", "short", "n"))
-    firsts = live.groupBy("shingle", "size").agg(first.alias("f")).select("shingle", "size", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("short", "n", "pos")])
-    to_first = live.join(firsts, ["shingle", "size"]).select(*[c for x in ("", "f_") for c in (f"{x}short", f"{x}n", f"{x}pos")])
-    below = Window.partitionBy("shingle").orderBy("size")
-    ladder = firsts.select(*[F.lag(f"f_{c}").over(below).alias(c) for c in ("short", "n", "pos")], "f_short", "f_n", "f_pos").where("short is not null")
-    met = to_first.unionByName(ladder).where("short <> f_short")
-    fits = ((F.col("n") <= F.col("f_n")) & _may_link("", "f_", percent)) | ((F.col("n") > F.col("f_n")) & _may_link("f_", "", percent))
-    tried = settle(met.where(fits).select(F.least("short", "f_short").alias("x"), F.greatest("short", "f_short").alias("y")).distinct())
+    named = each.where("n > 0").groupBy("short", "id").agg(F.min("__row").alias("__row"))
+    nodes = work.settle(named)
 
-    links = _links(tried, nodes, rows, percent)
+    # Prefixes whose token another set has too. A class is a little wider than what may link, so classes of linked sets are neighbours.
+    prefixes = work.settle(_prefixes(rows, shared, percent))
+    several = prefixes.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a <> b").select("token")
+    size = F.floor(F.log("n") / F.lit(math.log(100 / percent * 1.000001))).cast("long")
+    live = work.settle(prefixes.join(several, "token", "left_semi").distinct().withColumn("size", size))
+
+    tried = _first_pairs(live, percent, work)
+    links = _links(tried, nodes, rows, percent, shared, work)
 
-    # Step 2: what is left between components.
     same = nodes.groupBy("short").agg(F.min("id").alias("id"), F.max("id").alias("most"))
     roots = components(links)
     root = same.join(roots, same["id"] == roots["node"], "left").select("short", F.when(F.col("id") == F.col("most"), F.coalesce("root", "id")).alias("root"))
-    rooted = settle(live.join(root, "short"))
-    groups = rooted.groupBy("shingle", "root").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("largest"))
-    several = groups.where("parts > 1 or largest.root is null").select("shingle", F.col("largest.root").alias("main"))
-    spread = rooted.join(several, "shingle")
-    outside = spread.where("not (root <=> main) or root is null")
-    rename = lambda d, p: d.select("shingle", *[F.col(c).alias(p + c) for c in ("short", "n", "pos", "root")])
-    met = rename(outside, "x_").join(rename(spread, "y_"), "shingle").where("x_short <> y_short and (x_root <> y_root or x_root is null or y_root is null)")
-    # The smaller one's shorter prefix is enough.
-    def indexed(s: str) -> Column:
-        n = F.col(f"{s}n")
-        share = Fraction(2 * percent, 100 + percent)
-        return F.col(f"{s}pos") < n - F.ceil(n * share.numerator / share.denominator - 1e-9) + 1
-
-    up = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_short") < F.col("y_short")))
-    good = (up & _may_link("x_", "y_", percent) & indexed("x_")) | (~up & _may_link("y_", "x_", percent) & indexed("y_"))
-    more = met.where(good).select(F.least("x_short", "y_short").alias("x"), F.greatest("x_short", "y_short").alias("y")).distinct()
-    links = links.unionByName(_links(settle(more.join(tried, ["x", "y"], "left_anti")), nodes, rows, percent))
+    more = work.settle(_left_pairs(live, root, percent, work).join(tried, ["x", "y"], "left_anti"))
+    links = links.unionByName(_links(more, nodes, rows, percent, shared, work))
 
     # Components of sets, then the least doc_id of each.
     roots = components(links).select(F.col("node").alias("id"), "root")
     ids = rows.select("__row", "doc_id").join(each, "__row").join(roots, "id", "left")
     ids = settle(ids.select("__row", "doc_id", "n", F.coalesce("root", "id").alias("root")))
+    work.drop()
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row")))
-    least = ids.where("n > 0").groupBy("root").agg(best.alias("best"))
-    found = ids.where("n > 0").join(least, "root")
+    least = settle(ids.where("n > 0").groupBy("root").agg(best.alias("best"), F.count("*").alias("docs")))
+    found = join_one(ids.where("n > 0"), least, ["root"], "docs")
     found = found.select("__row", "doc_id", "n", F.col("best.doc_id").alias("component_id"), (F.col("__row") == F.col("best.row")).alias("stays"))
     alone = ids.where("n = 0").select("__row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
-    return found.unionByName(alone).withColumnRenamed("n", "n_shingles")
+    out = found.unionByName(alone)
+    return out.select(*([F.col("__row").alias(row)] if row else []), "doc_id", F.col("n").alias("n_shingles"), "component_id", "stays")

@@ -7,8 +7,9 @@ posterior odds are its own evidence times the prior odds of its path, where the
 few documents thus says little.
 
 The classifier: logistic regression on traits that differ most between the classes: words, their beginnings and their
-shapes, by presence and by rate, and how often a word repeats the one before. It is trained on the driver with at most
-``sample`` labelled rows, a documented bound; every document is scored on its whole text, and every rate counts all documents.
+shapes (as hashes), by presence and by rate, and how often a word repeats the one before. It is trained with at most
+``sample`` labelled rows, a documented bound: their traits are counted on Spark, and the driver gets the numbers of the chosen
+traits only. Every document is scored on its whole text, and every rate counts all documents.
 Texts don't travel: scoring is one pass, and only its numbers are grouped, summed up before the shuffle. Hosts and paths have one
 row each, so a host with a third of all rows is no burden.
 """
@@ -16,80 +17,111 @@ row each, so a host with a third of all rows is no burden.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settle, with_row_id
+from .common import Scratch, identified, settle, worker_memory
+from .hashing import BLOCK, ODD, blocks, edges, mixed, stretches
 
-REPEATS = "=repeats"
+#: The trait of a word that repeats the one before.
+REPEATS = np.uint64(1)
 #: A rate of this share of words counts in full.
 FULL_RATE = 0.02
 TARGETS = ("low", "toxic")
 
+#: What a byte is in a word's shape: a lower-case letter or a byte beyond ASCII, an upper-case letter, a digit, or itself.
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[97:123] = _SHAPE[128:] = 97
+_SHAPE[65:91], _SHAPE[48:58] = 65, 57
+_LETTER = (_SHAPE == 97) | (_SHAPE == 65)
+
+
+def _of_block(codes: np.ndarray, lower: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """Traits of the words of a block, and their number."""
+    starts, ends = edges(codes)
+    if not len(starts):
+        return [], 0
+    whole = stretches(codes, starts, ends)
+    found = [np.full(int((whole[1:] == whole[:-1]).sum()), REPEATS)]
+    # Shapes: a run of bytes of one kind counts once.
+    shape = _SHAPE[codes]
+    turn = np.concatenate([[True], shape[1:] != shape[:-1]])
+    turn[starts] = True
+    before = np.concatenate([[0], np.cumsum(turn)])
+    found.append(mixed(stretches(shape[turn], before[starts], before[ends]) + ODD[0]))
+    # Letters: all of a word's, and the first 3, 4 and 5 of longer ones.
+    letter = _LETTER[codes]
+    before = np.concatenate([[0], np.cumsum(letter)])
+    first, last, letters = before[starts], before[ends], lower[letter]
+    some = last > first
+    found.append(mixed(stretches(letters, first[some], last[some]) + ODD[1]))
+    for n in (3, 4, 5):
+        longer = last - first > n
+        found.append(mixed(stretches(letters, first[longer], first[longer] + n) + ODD[3]))
+    return found, len(starts)
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Traits of a whole text in ascending order, how often it has each, and its number of words.
+
+    A word longer than a block (256 kB) counts as several.
+    """
+    found, words = [], 0
+    for block in blocks(text.encode("utf-8", "surrogatepass")):
+        for at in range(0, len(block), 2 * BLOCK):
+            some = block[at : at + 2 * BLOCK]
+            more, n = _of_block(np.frombuffer(some, np.uint8), np.frombuffer(some.lower(), np.uint8))
+            found += more
+            words += n
+    traits, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
+    return traits, n, words
 
-@lru_cache(200_000)
-def traits(token: str) -> tuple[str, ...]:
-    """What is looked at in a token: its letters, how they begin, and its shape."""
-    letters = "".join(c for c in token.lower() if c.isalpha())
-    shape = []
-    for c in token[:64]:
-        kind = "a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c
-        if not shape or shape[-1] != kind:
-            shape.append(kind)
-    out = ["s" + "".join(shape)]
-    if letters:
-        out += ["w" + letters[:64], *("b" + letters[:n] for n in (3, 4, 5) if len(letters) > n)]
-    return tuple(out)
 
+def rates(n: np.ndarray, words: int) -> np.ndarray:
+    return np.minimum(1.0, n / max(1, words) / FULL_RATE)
 
-def counts(text: str) -> tuple[Counter, int]:
-    """Traits of a text with their numbers, and its number of words."""
-    words = text.split()
-    found: Counter = Counter()
-    for w, n in Counter(words).items():
-        for t in traits(w):
-            found[t] += n
-    if repeats := sum(a == b for a, b in zip(words, words[1:], strict=False)):
-        found[REPEATS] = repeats
-    return found, len(words)
 
+@dataclass
+class Model:
+    """Traits that are looked at, in order; for each target its base rate, offset, and weights of presence and of rate."""
 
-def _values(n: int, words: int) -> tuple[float, float]:
-    return 1.0, min(1.0, n / words / FULL_RATE)
+    traits: np.ndarray
+    targets: dict[str, tuple[float, float, np.ndarray, np.ndarray]]
 
 
-@dataclass
-class Model:
-    """For each target: base rate, offset, and two weights (presence, rate) per trait."""
+def chosen_rates(traits: np.ndarray, text: str) -> tuple[np.ndarray, int]:
+    """A text's rate of each of ``traits`` (in order), and its number of words."""
+    found, n, words = counts(text)
+    out = np.zeros(len(traits))
+    if len(traits) and len(found):
+        at = np.minimum(np.searchsorted(traits, found), len(traits) - 1)
+        known = traits[at] == found
+        out[at[known]] = rates(n[known], words)
+    return out, words
+
 
-    targets: dict[str, tuple[float, float, dict[str, tuple[float, float]]]]
+def probabilities(model: Model, text: str) -> list[float]:
+    """For each target; a text without a word has the base rate."""
+    rate, words = chosen_rates(model.traits, text)
+    out = []
+    for k in TARGETS:
+        base, offset, presence, weight = model.targets[k]
+        total = offset + presence @ (rate > 0) + weight @ rate if words else math.log(base / (1 - base))
+        out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, total)))))
+    return out
 
 
-def _fit(names: list[str], texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, keep: int) -> tuple[float, float, dict[str, tuple[float, float]]]:
-    """texts: for each the places of its traits in ``names``, and their rates."""
+def train(rate: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """A target's part of the model. rate: rows x traits; y: 1 or 0 for each row; use: which traits it may weigh."""
     n, positive = len(y), float(y.sum())
     base = (positive + 0.5) / (n + 1)
-    if not 0 < positive < n:
-        return base, math.log(base / (1 - base)), {}
-    sums = np.zeros((len(names), 6))  # of presence and of rate: sum among positives, sum, sum of squares
-    for (at, rate), v in zip(texts, y, strict=True):
-        sums[at] += np.stack([np.full(len(at), v), np.ones(len(at)), np.ones(len(at)), rate * v, rate, rate * rate], 1)
-    p, all_, square = (sums[:, [i, i + 3]] for i in range(3))
-    variance = np.maximum(square / n - (all_ / n) ** 2, 1e-9)
-    z = (np.abs(p / positive - (all_ - p) / (n - positive)) / np.sqrt(variance * (1 / positive + 1 / (n - positive)))).max(1, initial=0.0)
-    chosen = [i for i in np.argsort(-z, kind="stable")[:keep] if z[i] >= 4.5]
-    column = np.full(len(names), -1)
-    column[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, 2 * len(chosen)))
-    for i, (at, rate) in enumerate(texts):
-        here = column[at] >= 0
-        x[i, 2 * column[at][here]] = 1.0
-        x[i, 2 * column[at][here] + 1] = rate[here]
+    none = np.zeros(rate.shape[1])
+    if not 0 < positive < n or not use.any():
+        return base, math.log(base / (1 - base)), none, none
+    x = np.concatenate([rate[:, use] > 0, rate[:, use]], 1).astype(float)
     w, offset = np.zeros(x.shape[1]), math.log(base / (1 - base))
     speed, power = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for step in range(1, 301):  # Adam on the whole sample, penalised by 1e-4 |w|^2
@@ -98,80 +130,102 @@ def _fit(names: list[str], texts: list[tuple[np.ndarray, np.ndarray]], y: np.nda
         speed, power = 0.9 * speed + 0.1 * g, 0.99 * power + 0.01 * g * g
         move = 0.1 * speed / (1 - 0.9**step) / (np.sqrt(power / (1 - 0.99**step)) + 1e-8)
         w, offset = w - move[:-1], offset - move[-1]
-    return base, float(offset), {names[k]: (float(w[2 * i]), float(w[2 * i + 1])) for i, k in enumerate(chosen)}
-
-
-def train(rows: list[tuple[str, int, int]], keep: int = 200) -> Model:
-    """A model of (text, quality 1 or 0, toxic 1 or 0) rows; keep: traits per target."""
-    rows = sorted(rows)
-    texts = [counts(t) for t, _, _ in rows]
-    seen: Counter = Counter()
-    for found, _ in texts:
-        seen.update(found.keys())
-    names = sorted(t for t, k in seen.items() if k >= 5)
-    place = {t: i for i, t in enumerate(names)}
-    known = []
-    for found, words in texts:
-        here = [(place[t], k) for t, k in found.items() if t in place]
-        known.append((np.array([i for i, _ in here], int), np.minimum(1.0, np.array([k for _, k in here], float) / max(1, words) / FULL_RATE)))
-    return Model({
-        "low": _fit(names, known, np.array([1.0 - q for _, q, _ in rows]), keep),
-        "toxic": _fit(names, known, np.array([float(x) for _, _, x in rows]), keep),
-    })
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500) -> Model:
-    """Train on at most ``sample`` labelled rows, spread by a hash of doc_id. Labels with nulls, and ones without a document, are left out."""
-    usable = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic")
-    chosen = usable.orderBy(F.xxhash64("doc_id", F.lit("labels")), "doc_id", "quality", "toxic").limit(sample)  # some kB: a row is three numbers
-    texts = docs.where("text is not null").select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id")
-    return train([(r.text, int(r.quality), int(r.toxic)) for r in texts.select("text", "quality", "toxic").collect()])
-
-
-class _Tokens(dict):
-    """Each token's traits that the model knows; emptied when full."""
-
-    def __init__(self, known: frozenset, keep: int = 400_000):
-        self.known, self.keep = known, keep
-
-    def __missing__(self, token: str) -> tuple[str, ...]:
-        out = tuple(t for t in traits(token) if t in self.known)
-        if len(self) >= self.keep:
-            self.clear()
-        self[token] = out
-        return out
-
-
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with p_low and p_toxic: the classifier's probabilities. No word: the base rates."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred traits
-    kept = [c for c in docs.columns if c != text]
+    presence, weight = none.copy(), none.copy()
+    presence[use], weight[use] = np.split(w, 2)
+    return base, float(offset), presence, weight
+
+
+def _sample(rows: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """text, low, toxic of at most ``sample`` labelled rows, spread by a hash; a repeated doc_id makes it no larger."""
+    usable = labels.where("doc_id is not null and quality is not null and toxic is not null")
+    usable = usable.select("doc_id", (1 - F.col("quality")).cast("int").alias("low"), F.col("toxic").cast("int").alias("toxic"))
+    some = usable.orderBy(F.xxhash64("doc_id", F.lit("labels")), "doc_id", "low", "toxic").limit(sample)  # some kB: a row is three numbers
+    named = rows.where("text is not null").select("__row", "doc_id").join(F.broadcast(some), "doc_id").select("__row", "low", "toxic")
+    named = named.orderBy(F.xxhash64("__row", F.lit("rows")), "__row", "low", "toxic").limit(sample)
+    return rows.select("__row", "text").join(F.broadcast(named), "__row").select("text", "low", "toxic")
+
+
+def fit(rows: DataFrame, labels: DataFrame, sample: int = 2500, keep: int = 200, least: float = 4.5, seen: int = 5) -> Model:
+    """Train on at most ``sample`` labelled rows of ``rows`` (__row, doc_id, text). Labels with nulls, and ones without a document, are left out.
+
+    For each target, the ``keep`` traits whose mean presence or rate differs most between its classes (by ``least`` standard
+    errors or more, in ``seen`` texts or more) are weighed.
+    """
+    work = Scratch(rows.sparkSession)
+    known = work.settle(_sample(rows, labels, sample))
+
+    def traits_of(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        with worker_memory("quality"):
+            for batch in batches:
+                for t, low, toxic in zip(*batch.columns, strict=True):
+                    traits, n, words = counts(t.as_py())
+                    same = lambda v, k: pa.array(np.full(k, v.as_py(), np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(traits.view(np.int64)), pa.array(rates(n, words)), same(low, len(n)), same(toxic, len(n))], names=["trait", "rate", *TARGETS])
+
+    size = {k: int(v or 0) for k, v in known.agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in TARGETS]).first().asDict().items()}
+    each = known.mapInArrow(traits_of, "trait long, rate double, low int, toxic int")
+    each = work.settle(
+        each.groupBy("trait")
+        .agg(F.count("*").alias("n"), F.sum("rate").alias("r"), F.sum(F.col("rate") ** 2).alias("rr"), *[F.sum(F.col(k) * v).alias(f"{k}_{x}") for k in TARGETS for x, v in (("n", F.lit(1)), ("r", F.col("rate")))])
+        .where(F.col("n") >= seen)
+    )
+    weighed: dict[str, list[int]] = {}
+    for k in TARGETS:
+        total, positive = size["n"], size[k]
+        if not 0 < positive < total:
+            weighed[k] = []
+            continue
+
+        def apart(all_: Column, square: Column, ours: Column, total=total, positive=positive) -> Column:
+            variance = F.greatest(square / total - (all_ / total) ** 2, F.lit(1e-9))
+            return F.abs(ours / positive - (all_ - ours) / (total - positive)) / F.sqrt(variance * (1 / positive + 1 / (total - positive)))
+
+        z = F.greatest(apart(F.col("n"), F.col("n"), F.col(f"{k}_n")), apart(F.col("r"), F.col("rr"), F.col(f"{k}_r")))
+        best = each.select("trait", F.round(z, 6).alias("z")).where(F.col("z") >= least).orderBy(F.desc("z"), "trait").limit(keep)
+        weighed[k] = [r[0] for r in best.collect()]
+    traits = np.unique(np.array(sorted({t for v in weighed.values() for t in v}), np.int64).view(np.uint64))
+
+    def matrix(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        with worker_memory("quality"):
+            for batch in batches:
+                found = [chosen_rates(traits, t.as_py())[0].tobytes() for t in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["rate", *TARGETS])
+
+    rows_ = sorted((bytes(r.rate), r.low, r.toxic) for r in known.mapInArrow(matrix, "rate binary, low int, toxic int").collect())  # sample x keep numbers
+    work.drop()
+    rate = np.array([np.frombuffer(r[0]) for r in rows_]).reshape(len(rows_), len(traits))
+    targets = {k: train(rate, np.array([float(r[1 + i]) for r in rows_]), np.isin(traits, np.array(weighed[k], np.int64).view(np.uint64))) for i, k in enumerate(TARGETS)}
+    return Model(traits, targets)
+
+
+def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``rows`` without its text, with p_low and p_toxic: the classifier's probabilities. No word: the base rates."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # a few hundred traits
+    kept = [c for c in rows.columns if c != text]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        targets = shared.value.targets
-        known = _Tokens(frozenset(t for _, _, w in targets.values() for t in w))
-        for batch in batches:
-            out: dict[str, list[float]] = {k: [] for k in TARGETS}
-            for t in batch.column(len(kept)):
-                words = (t.as_py() or "").split()
-                found: Counter = Counter()
-                for hit in filter(None, map(known.__getitem__, words)):
-                    found.update(hit)
-                found[REPEATS] = sum(map(str.__eq__, words, words[1:]))
-                for k in TARGETS:
-                    base, offset, weights = targets[k]
-                    total = offset if words else math.log(base / (1 - base))
-                    for name, n in found.items():
-                        if n and name in weights:
-                            a, b = _values(n, len(words))
-                            total += weights[name][0] * a + weights[name][1] * b
-                    out[k].append(1 / (1 + math.exp(-min(30.0, max(-30.0, total)))))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(out[k], pa.float64()) for k in TARGETS], names=kept + [f"p_{k}" for k in TARGETS])
-
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"p_{k} double" for k in TARGETS])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema)
+        with worker_memory("quality"):
+            model = shared.value
+            for batch in batches:
+                found = [probabilities(model, t.as_py() or "") for t in batch.column(len(kept))]
+                more = [pa.array([x[i] for x in found], pa.float64()) for i in range(len(TARGETS))]
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + more, names=kept + [f"p_{k}" for k in TARGETS])
+
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"p_{k} double" for k in TARGETS])
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema)
+
+
+def site(url: Column) -> tuple[Column, Column]:
+    """(host, first part of the path) of a URL; null if it has none. ``www.`` in front says nothing about a host."""
+    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
+    part = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+    return F.nullif(found, F.lit("")), F.nullif(part, F.lit(""))
 
 
 def _logit(p: Column) -> Column:
@@ -219,13 +273,19 @@ def posteriors(scored: DataFrame, host: str = "host", path: str = "path") -> Dat
     return out.drop("__host", "__path", "n", "host_n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "host_sum")])
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 2500, threshold: float = 0.5, host: str = "source", path: str = "lang") -> DataFrame:
-    """One row per row of ``docs``: __row (see with_row_id), doc_id, p_low, p_toxic, site_low, site_toxic, low, toxic, kept.
+def classify(
+    docs: DataFrame, labels: DataFrame, sample: int = 2500, threshold: float = 0.5, host: str = "source", path: str = "lang", url: str | None = None, row: str | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, p_low, p_toxic, site_low, site_toxic, low, toxic, kept, and ``row`` if it is given.
 
-    kept is false where low or toxic is above ``threshold``. Null and empty texts are judged by their site alone; an
-    empty table gives no rows; repeated rows count each. Without labels the classifier says nothing and all are kept.
+    ``host`` and ``path`` name the columns of a document's site; where documents have addresses, ``url`` names their column and
+    both come from it. kept is false where low or toxic is above ``threshold``. Null and empty texts are judged by their site
+    alone; an empty table gives no rows; repeated rows, and rows of one doc_id, count each; very long texts are read in
+    blocks; other columns don't matter, whatever their names. Without labels the classifier says nothing and all are kept.
+    ``row`` names a column made by with_row_id().
     """
-    model = fit(docs, labels, sample)
-    rows = with_row_id(docs).select("__row", "doc_id", F.col(host).alias("host"), F.col(path).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    found = posteriors(settle(score(rows, model)))
-    return found.withColumn("kept", (F.col("low") <= threshold) & (F.col("toxic") <= threshold)).drop("host", "path")
+    at = site(F.col(f"`{url}`")) if url else (F.col(f"`{host}`"), F.col(f"`{path}`"))
+    rows = identified(docs, {"doc_id": F.col("doc_id"), "host": at[0], "path": at[1], "text": F.coalesce("text", F.lit(""))}, row)
+    found = posteriors(settle(score(rows, fit(rows, labels, sample))))
+    out = found.withColumn("kept", (F.col("low") <= threshold) & (F.col("toxic") <= threshold)).drop("host", "path")
+    return out.withColumnRenamed("__row", row) if row else out.drop("__row")

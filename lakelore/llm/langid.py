@@ -6,8 +6,9 @@ bit weighted by how well its classifier does on that language; the nearest codew
 near flags the text as ambiguous.
 
 A text's features are the hashed n-grams (1 to 3 letters, with the word's ends) of its words, as shares of all, counted
-over the whole text at once. Training is on the driver, on a sample of
-bounded size per language (``per_lang``); everything else goes over all rows in one pass without a shuffle.
+over the whole text at once. Training takes a sample of bounded size per language (``per_lang``) and solves a ridge regression
+in feature space: tasks sum the products of features, so the driver gets matrices of a fixed size, no texts and no rows.
+Everything else goes over all rows in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from .common import Scratch, worker_memory
 
 UNDETERMINED = "und"
+#: Classes of hashed n-grams.
+BUCKETS = 2048
 
 
 @dataclass
@@ -86,33 +91,50 @@ def decode(model: Model, margin: np.ndarray) -> tuple[str, float, bool]:
     return model.langs[best], float(share[best]), bool(len(rest) and rest.max() > 0.5 * share[best])
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 4096, ridge: float = 1e-5) -> Model:
-    """A model of (lang, text) rows; rows without a letter teach nothing."""
-    rows = sorted(rows)
-    features = []
-    for _, text in rows:
-        x = counts(text, buckets).astype(np.float32)
-        features.append(x / max(1.0, x.sum()))
-    known = [i for i, x in enumerate(features) if x.any()]
-    langs = sorted({rows[i][0] for i in known})
-    codes = codewords(len(langs))
+def features(text: str, buckets: int = BUCKETS) -> np.ndarray | None:
+    """Shares of a text's n-grams, or None for a text without a letter."""
+    x = counts(text, buckets)
+    n = x.sum()
+    return x / n if n else None
+
+
+@dataclass
+class Sums:
+    """What rows teach, summed up: each language's rows and summed features, and products of features where a row weighs ``weight`` of its language."""
+
+    rows: dict[str, int]
+    features: dict[str, np.ndarray]
+    products: np.ndarray  # buckets x buckets
+
+
+def solve(sums: Sums, ridge: float = 1e-5) -> Model:
+    """A model of which the trust is still 1 for all bits. Every language counts the same, whatever its number of rows."""
+    langs = sorted(sums.rows)
+    codes, buckets = codewords(len(langs)), len(sums.products)
     if not langs:
         return Model([], codes, np.zeros((buckets, 1)), np.zeros(1), np.zeros((0, 1)))
-    x = np.array([features[i] for i in known])
-    of = np.array([langs.index(rows[i][0]) for i in known])
-    each = 1.0 / np.bincount(of)[of]  # every language counts the same
-    mean = (each[:, None] * x).sum(0) / each.sum()
-    centred = (x - mean).astype(np.float64)
-    root = np.sqrt(each / each.mean())[:, None]
-    gram = (root * centred) @ (root * centred).T
-    y = codes[of]
-    level = (each[:, None] * y).sum(0) / each.sum()
-    dual = np.linalg.solve(gram + ridge * len(known) * np.eye(len(known)), root * (y - level))
-    weights = (root * centred).T @ dual
-    offsets = level - mean @ weights
-    right = (np.sign(x @ weights + offsets) == y).astype(float)
-    trust = np.array([right[of == k].mean(0) for k in range(len(langs))]) + 1e-3
-    return Model(langs, codes, weights.astype(np.float32), offsets, trust / trust.sum(1, keepdims=True))
+    of_lang = np.array([sums.features[k] / sums.rows[k] for k in langs])
+    mean, level = of_lang.mean(0), codes.mean(0)
+    left = sums.products / len(langs) - np.outer(mean, mean)
+    left[np.diag_indices(buckets)] += ridge
+    weights = np.linalg.solve(left, of_lang.T @ codes / len(langs) - np.outer(mean, level))
+    return Model(langs, codes, weights.astype(np.float32), level - mean @ weights, np.ones_like(codes))
+
+
+def trusted(model: Model, right: dict[str, np.ndarray]) -> Model:
+    """The model, trusting each bit for each language as far as it was right. right: shares of rows by bit."""
+    trust = np.array([right[k] for k in model.langs]).reshape(len(model.langs), -1) + 1e-3
+    return Model(model.langs, model.codes, model.weights, model.offsets, trust / trust.sum(1, keepdims=True))
+
+
+def train(rows: list[tuple[str, str]], buckets: int = BUCKETS, ridge: float = 1e-5) -> Model:
+    """A model of (lang, text) rows on one machine; rows without a letter teach nothing."""
+    known = [(k, x) for k, t in sorted(rows) if (x := features(t, buckets)) is not None]
+    n = {k: sum(r[0] == k for r in known) for k, _ in known}
+    total = {k: sum(x for j, x in known if j == k) for k in n}
+    model = solve(Sums(n, total, sum((np.outer(x, x) / n[k] for k, x in known), np.zeros((buckets, buckets)))), ridge)
+    right = {k: np.mean([np.sign(x @ model.weights + model.offsets) == model.codes[i] for j, x in known if j == k], axis=0) for i, k in enumerate(model.langs)}
+    return trusted(model, right)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -120,8 +142,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300) -> Model:
-    """Train on the ``per_lang`` rows of least hash of each language (all, if it has fewer), outside the held-out part.
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300) -> DataFrame:
+    """lang, text of the ``per_lang`` rows of least hash of each language (all, if it has fewer), outside the held-out part.
 
     Two scans: the first ranks the hashes alone, the second reads the texts up to each language's last hash. Both are cut to
     ``per_lang`` rows a language, in each task and then over all, so no number of rows makes the sample smaller or larger.
@@ -130,14 +152,102 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text), F.lit("train")).alias("hash"))
     least = Window.partitionBy("lang").orderBy("hash")
 
-    def sample(of: DataFrame) -> DataFrame:
+    def cut(of: DataFrame) -> DataFrame:
         return of.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= per_lang)
 
-    upto = {r[0]: r[1] for r in sample(rows.select("lang", "hash")).groupBy("lang").agg(F.max("hash")).collect()}  # one row per language
-    if not upto:
-        return train([])
-    last = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])
-    return train([(r[0], r[1]) for r in sample(rows.where(F.col("hash") <= last[F.col("lang")])).select("lang", "text").collect()])
+    last = cut(rows.select("lang", "hash")).groupBy("lang").agg(F.max("hash").alias("last"))  # one row per language
+    return cut(rows.join(last, "lang").where("hash <= last")).select("lang", "text")
+
+
+def _with_letters(batches: Iterator) -> Iterator:
+    """The rows that teach something."""
+    import pyarrow as pa
+
+    with worker_memory("langid"):
+        for batch in batches:
+            yield batch.filter(pa.array([counts(t.as_py(), 1).any() for t in batch.column(1)], pa.bool_()))
+
+
+def _summed(known: DataFrame, buckets: int) -> Sums:
+    """Sums of the sample, made by tasks of some thousand rows each; the driver adds them up one at a time."""
+    n = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        with worker_memory("langid"):
+            total: dict[str, np.ndarray] = {}
+            products = np.zeros((buckets, buckets), np.float32)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    some = batch.slice(at, 500)
+                    x, w = np.zeros((some.num_rows, buckets), np.float32), np.zeros((some.num_rows, 1), np.float32)
+                    for i, (k, t) in enumerate(zip(some.column(0).to_pylist(), some.column(1), strict=True)):
+                        x[i], w[i] = features(t.as_py(), buckets), 1 / n[k]
+                        total[k] = total.get(k, 0.0) + x[i].astype(float)
+                    products += x.T @ (w * x)
+            for k, x in total.items():
+                yield pa.RecordBatch.from_pydict({"lang": [k], "sum": [x.tobytes()]})
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([products.tobytes()])], names=["lang", "sum"])
+
+    out = Sums(n, {k: np.zeros(buckets) for k in n}, np.zeros((buckets, buckets)))
+    tasks = max(1, -(-sum(n.values()) // 5000))
+    for r in known.repartition(tasks, F.xxhash64("text")).mapInArrow(run, "lang string, sum binary").toLocalIterator():
+        if r.lang is None:
+            out.products += np.frombuffer(r.sum, np.float32).reshape(buckets, buckets)
+        else:
+            out.features[r.lang] += np.frombuffer(r.sum)
+    return out
+
+
+def _solved(spark: SparkSession, sums: Sums, work: Scratch) -> Model:
+    """solve() in a task: of fixed size, and with the one thread that Spark gives a task's linear algebra."""
+    import pickle
+
+    shared = work.broadcast(sums)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        with worker_memory("langid"):
+            for _ in batches:
+                yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(solve(shared.value))]})
+
+    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "model binary").first().model)
+
+
+def _right(known: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """Each language's shares of rows that each bit's classifier gets right."""
+    place = {k: i for i, k in enumerate(model.langs)}
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        with worker_memory("langid"):
+            for batch in batches:
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    good = np.sign(margins(model, t.as_py())) == model.codes[place[k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(good)), pa.array(np.arange(len(good), dtype=np.int32)), pa.array(good.astype(np.int32))], names=["lang", "bit", "right"])
+
+    shares = known.mapInArrow(run, "lang string, bit int, right int").groupBy("lang", "bit").agg(F.avg("right").alias("share"))
+    out = {k: np.zeros(model.codes.shape[1]) for k in model.langs}
+    for r in shares.collect():  # languages x bits
+        out[r.lang][r.bit] = r.share
+    return out
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300, buckets: int = BUCKETS) -> Model:
+    """Train on a sample of ``per_lang`` rows a language (see sample()); rows without a letter teach nothing. No rows: no languages.
+
+    The driver gets languages x buckets and buckets x buckets numbers, whatever the number of rows.
+    """
+    work = Scratch(docs.sparkSession)
+    known = work.settle(sample(docs, doc_id, text, lang, per_lang).mapInArrow(_with_letters, "lang string, text string"))
+    model = _solved(docs.sparkSession, _summed(known, buckets), work)
+    out = trusted(model, _right(known, model)) if model.langs else model
+    work.drop()
+    return out
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -152,15 +262,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = shared.value
-        for batch in batches:
-            out = []
-            for t in batch.column(kept.index(text)):
-                t = t.as_py()
-                margin = margins(model, t) if t is not None and model.langs else None
-                out.append((UNDETERMINED, 0.0, False) if margin is None else decode(model, margin))
-            columns = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, names=kept + list(new))
+        with worker_memory("langid"):
+            model = shared.value
+            for batch in batches:
+                out = []
+                for t in batch.column(kept.index(text)):
+                    t = t.as_py()
+                    margin = margins(model, t) if t is not None and model.langs else None
+                    out.append((UNDETERMINED, 0.0, False) if margin is None else decode(model, margin))
+                columns = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, names=kept + list(new))
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{n} {k}" for n, k in new.items()])
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)

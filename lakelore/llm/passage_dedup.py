@@ -15,9 +15,10 @@ at an earlier place too (documents by doc_id, then by place) that they don't ove
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import filled, settle, with_row_id
+from .common import Scratch, filled, free_name, join_one, settle, with_row_id
+from .line_dedup import dedup_lines, stretches, with_gone, without
 
 _SPACE, _SPACES, _WORD = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Low bits of a packed run hold its place, the rest its hash, so the least goes by hash, then by place.
@@ -65,15 +66,16 @@ def later_passages(rows: DataFrame, min_words: int = 50) -> DataFrame:
         c1, c2 = _twice(F.slice(h, since + 1, at + min_words - since), at - since)
         return F.struct(at.alias("at"), F.get(g, at).alias("g"), since.alias("since"), F.least(at + min_words, F.size(h)).alias("end"), c1.alias("c1"), c2.alias("c2"))
 
-    anchors = settle(step.select("__row", "doc_id", F.inline(F.transform("m", anchor))))
-    several = lambda of, *key: of.groupBy(*key).count().where("count > 1").select(*key)
-    tried = settle(anchors.join(several(anchors, "g"), "g", "left_semi"))
-    earliest = tried.groupBy("c1", "c2").agg(F.min(place("at")).alias("earliest"))
-    told = settle(tried.join(earliest, ["c1", "c2"]).select("__row", "at", "g", "since", "end", apart.alias("whole")))
+    work = Scratch(rows.sparkSession)
+    anchors = work.settle(step.select("__row", "doc_id", F.inline(F.transform("m", anchor))))
+    several = lambda of: work.settle(of.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    tried = work.settle(join_one(anchors, several(anchors), ["g"]))
+    earliest = work.settle(tried.groupBy("c1", "c2").agg(F.min(place("at")).alias("earliest"), F.count("*").alias("n")))
+    told = work.settle(join_one(tried, earliest, ["c1", "c2"]).select("__row", "at", "g", "since", "end", apart.alias("whole")))
     whole = told.where("whole").select("__row", "since", (F.col("end") - 1).alias("to"))
 
     left = told.where("not whole")
-    edges = left.join(several(left, "g"), "g", "left_semi").groupBy("__row").agg(F.collect_set("at").alias("ats"))
+    edges = join_one(left, several(left), ["g"]).groupBy("__row").agg(F.collect_set("at").alias("ats"))
     near = rows.join(edges, "__row").select("__row", "doc_id", "ats", _hashes(filled(F.col("text"))).alias("h"))
     begins = F.flatten(F.transform("ats", lambda p: F.sequence(F.greatest(p - before, F.lit(0)), F.least(p, F.size(h) - min_words))))
     near = near.select("__row", "doc_id", "h", F.array_distinct(begins).alias("begins"))
@@ -82,33 +84,41 @@ def later_passages(rows: DataFrame, min_words: int = 50) -> DataFrame:
         k1, k2 = _twice(F.slice(h, s + 1, min_words))
         return F.struct(s.alias("at"), k1.alias("k1"), k2.alias("k2"))
 
-    windows = settle(near.select("__row", "doc_id", F.inline(F.transform("begins", window))))
-    first = windows.groupBy("k1", "k2").agg(F.min(place("at")).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = windows.join(first, ["k1", "k2"]).where(apart).select("__row", F.col("at").alias("since"), (F.col("at") + (min_words - 1)).alias("to"))
-
-    order = Window.partitionBy("__row").orderBy("since", "to")
-    spans = whole.unionByName(found).withColumn("upto", F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("stretch", F.sum(F.when(F.col("since") <= F.col("upto") + 1, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return spans.groupBy("__row", "stretch").agg(F.min("since").alias("since"), F.max("to").alias("to")).drop("stretch")
+    windows = work.settle(near.select("__row", "doc_id", F.inline(F.transform("begins", window))))
+    first = work.settle(windows.groupBy("k1", "k2").agg(F.min(place("at")).alias("earliest"), F.count("*").alias("n")).where("n > 1"))
+    found = join_one(windows, first, ["k1", "k2"]).where(apart).select("__row", F.col("at").alias("since"), (F.col("at") + (min_words - 1)).alias("to"))
+    out = settle(stretches(whole.unionByName(found), "since", "to"))
+    work.drop()
+    return out
 
 
 def dedup_passages(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with its text replaced by what is left of it, and a new column removed_words.
 
     White space goes with the word before it, but for that after a passage's last word if it holds a line break. Every row stays;
-    a null text stays null. Null doc_ids come first in the order. A column of ``docs`` with the new name is replaced.
+    a null text stays null. Null doc_ids come first in the order. A column of ``docs`` with the new name is replaced, others pass
+    through whatever their names; an empty table gives no rows.
     """
-    rows = with_row_id(docs)
-    gone = later_passages(rows.select("__row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), min_words)
-    gone = gone.groupBy("__row").agg(F.collect_list(F.struct("since", "to")).alias("__gone"), F.sum(F.col("to") - F.col("since") + 1).alias("removed_words"))
-    joined = rows.drop("removed_words").join(gone, "__row", "left")
-
-    def left(x: Column, i: Column) -> Column:
-        last = F.exists("__gone", lambda s: s["to"] == i)
-        within = F.exists("__gone", lambda s: (s["since"] <= i) & (i <= s["to"]))
-        return F.when(~within, x).when(last & F.contains(x, F.lit("\n")), F.regexp_replace(x, f"^{_WORD}+", "")).otherwise("")
-
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"{_WORD}+{_SPACES}*"), F.lit(0))
-    kept = F.concat(F.regexp_extract(F.col(text), f"^{_SPACES}*", 0), F.array_join(F.transform(pieces, left), ""))
-    keep = {c: F.col(f"`{c}`") for c in docs.columns if c != "removed_words"} | {text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(text)}
-    return joined.select(*keep.values(), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"))
+    row = free_name(docs, "__row")
+    rows = with_row_id(docs, row)
+    gone = later_passages(rows.select(F.col(row).alias("__row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), min_words)
+    name, parts = free_name(rows, "__gone"), free_name(rows, "__parts")
+    joined = with_gone(rows, row, gone, {"words": F.sum(F.col("to") - F.col("since") + 1)}, name)
+    pieces = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"{_WORD}+{_SPACES}*"), F.lit(0))
+    joined = joined.withColumn(parts, F.when(F.col(name).isNotNull(), pieces))
+    # What stays, each stretch followed by the line break, if any, behind the passage that comes next.
+    behind = F.transform(name, lambda g: F.get(parts, g["to"]))
+    breaks = F.concat(F.transform(behind, lambda x: F.array(F.when(F.contains(x, F.lit("\n")), F.regexp_replace(x, f"^{_WORD}+", "")).otherwise(""))), F.array(F.array(F.lit(""))))
+    kept = F.array_join(F.flatten(F.zip_with(without(F.col(parts), F.col(name)), breaks, lambda x, y: F.concat(x, y))), "")
+    left = F.concat(F.regexp_extract(F.col(f"`{text}`"), f"^{_SPACES}*", 0), kept)
+    keep = {c: F.col(f"`{c}`") for c in docs.columns if c != "removed_words"} | {text: F.when(F.col(name).isNull(), F.col(f"`{text}`")).otherwise(left).alias(text)}
+    return joined.select(*keep.values(), F.coalesce(name + "words", F.lit(0)).cast("long").alias("removed_words"))
+
+
+def dedup(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Operator 8 as a whole: dedup_lines(), then dedup_passages() over what it has left; ``docs`` with its text replaced and
+    new columns removed_lines, removed_words."""
+    lines = settle(dedup_lines(docs, min_words, doc_id, text))
+    was, kept = free_name(lines, "__was"), [c for c in lines.columns if c != "removed_words"]
+    found = dedup_passages(lines.withColumnRenamed("removed_words", was), min_words, doc_id, text)
+    return found.select(*[F.col(f"`{c}`") for c in kept], (F.col(was) + F.col("removed_words")).alias("removed_words"))

@@ -17,61 +17,63 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled
+from .common import filled, worker_memory
 from .words import encoder, vocabulary
 
 
 class Packer:
     """Feeds items in, gets sequences out: lists of (key, first, length) with key as it was given."""
 
-    def __init__(self, tokens: int = 4096, segments: int = 64, loss: int | None = None, window: int = 1024):
-        if min(tokens, segments, loss if loss is not None else 1, window) < 1:
+    def __init__(self, tokens: int = 4096, segments: int = 64, loss: int | None = None, window: int = 1024, most: int = 1 << 20):
+        """window, most: items and tokens that wait, at most, before sequences are made of them."""
+        if min(tokens, segments, loss if loss is not None else 1, window, most) < 1:
             raise ValueError("limits are positive")
         self.limits = np.array([tokens, segments, tokens if loss is None else loss], float)
-        self.window, self.waiting = window, []
+        self.window, self.most, self.waiting, self.held = window, most, [], 0
 
     def add(self, key, length: int, loss_from: int = 0) -> list:
         """An item; its tokens from position ``loss_from`` on bear loss. Returns the sequences now complete."""
         out, at = [], 0
-        while length - at >= self.limits[0]:  # whole sequences of one item
-            size = min(int(self.limits[0]), max(0, loss_from - at) + int(self.limits[2]))
-            out += self._cut([(key, at, size)])
-            at += size
+        while length - at >= self.limits[0] <= self.limits[2]:  # whole sequences of one item, where loss can't bind
+            out += self._cut([(key, at, int(self.limits[0]))])
+            at += int(self.limits[0])
         if length > at:
             self.waiting.append((key, at, length, loss_from))
-        return out + (self._pack(False) if len(self.waiting) >= self.window else [])
+            self.held += length - at
+        return out + (self._pack(False) if len(self.waiting) >= self.window or self.held >= self.most else [])
 
     def end(self) -> list:
         return self._pack(True)
 
     def _pack(self, last: bool) -> list:
+        """Sequences of what waits, until few tokens and no more than half a window of items are left (or nothing)."""
         items, out = self.waiting, []
         first = np.array([x[1] for x in items], float)
         size = np.array([x[2] - x[1] for x in items], float)
         free = np.array([max(0, x[3] - x[1]) for x in items], float)  # tokens before the loss begins
         demand = lambda k=slice(None): np.array([size[k], np.minimum(1.0, size[k]), np.maximum(0.0, size[k] - free[k])])
         need = demand()
-        while (total := need[0].sum()) > 0 and (last or total >= 4 * self.limits[0]):
+        while (total := need[0].sum()) > 0 and (last or total >= 4 * self.limits[0] or 2 * np.count_nonzero(size) > self.window):
             left, taken = self.limits.copy(), []
             while left[0] >= 1 and left[1] >= 1:
                 product = (left / self.limits**2) @ need
-                product[need[0] == 0] = -1.0
-                fits = np.where((need <= left[:, None]).all(axis=0), product, -1.0)
+                part = np.minimum(np.minimum(size, left[0]), free + left[2])  # what could be taken of each
+                fits = np.where((part >= 1) & (part == size), product, -1.0)
+                if fits.max(initial=-1.0) < 0:
+                    fits = np.where(part >= 1, product, -1.0)
                 k = int(fits.argmax())
-                part = size[k] if fits[k] > 0 else 0.0
-                if not part:
-                    k = int(product.argmax())
-                    part = min(size[k], left[0], free[k] + left[2]) if product[k] > 0 else 0.0
-                if part < 1:
+                if fits[k] < 0:
                     break
-                taken.append((items[k][0], int(first[k]), int(part)))
-                left -= [part, 1, max(0.0, part - free[k])]
-                first[k] += part
-                size[k] -= part
-                free[k] = max(0.0, free[k] - part)
+                now = part[k]
+                taken.append((items[k][0], int(first[k]), int(now)))
+                left -= [now, 1, max(0.0, now - free[k])]
+                first[k] += now
+                size[k] -= now
+                free[k] = max(0.0, free[k] - now)
                 need[:, k] = demand(k)
             out += self._cut(taken)
         self.waiting = [(x[0], int(first[i]), x[2], x[3]) for i, x in enumerate(items) if size[i] > 0]
+        self.held = int(size.sum())
         return out
 
     def _cut(self, taken: list) -> list:
@@ -95,60 +97,73 @@ class Packer:
 
 def pack(
     docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segments: int = 64, loss: int | None = None,
-    loss_from: str | None = None, window: int = 1024, with_ids: bool = False,
+    context: str | None = None, window: int = 1024, with_ids: bool = False,
 ) -> DataFrame:
     """Encode whole texts (null: empty), append ``end_id``, and pack every id into exactly one sequence.
 
-    Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids
-    (binary, little-endian unsigned 32-bit) on request. ``loss_from`` names a column with the position of the first
-    loss-bearing token (null or no column: 0). Null doc_ids and repeated rows are packed like any other.
+    Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, and ids
+    (binary, little-endian unsigned 32-bit) on request. ``context`` names a column with the part of the text, from its
+    beginning up to white space, that bears no loss (null or no column: all tokens do); ``loss`` is the limit of a sequence's
+    loss-bearing tokens (None: as many as tokens). Null doc_ids and repeated rows are packed like any other; an empty table
+    gives no rows; a text of any length is cut over as many sequences as it needs; other columns don't matter, whatever
+    their names.
     """
     shared = vocabulary(docs.sparkSession, path)
     end = np.array([end_id], "<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"] + ["ids"] * with_ids
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        code, packer = encoder(shared), Packer(tokens, segments, loss, window)
-        sequence, kept, rows = TaskContext.get().partitionId() << 32, {}, {n: [] for n in names}
+        packer = Packer(tokens, segments, loss, window)
+        sequence, kept, rows, held = TaskContext.get().partitionId() << 32, {}, {n: [] for n in names}, 0
 
         def emit(sequences):
-            nonlocal sequence
+            nonlocal sequence, held
             for s in sequences:
                 offset = 0
                 for key, at, n in s:
-                    entry = kept[key]
-                    piece = entry[1][4 * at : 4 * (at + n)]
-                    row = [entry[0], at, n, zlib.crc32(piece), len(entry[1]) // 4, sequence, offset] + [piece] * with_ids
+                    doc, ids, left, free = kept[key]
+                    piece = ids[4 * at : 4 * (at + n)]
+                    row = [doc, at, n, zlib.crc32(piece), len(ids) // 4, sequence, offset, max(0, at + n - max(at, free))] + [piece] * with_ids
                     for name, v in zip(names, row, strict=True):
                         rows[name].append(v)
+                    held += 1 + len(piece) * with_ids // 1000
                     offset += n
-                    entry[2] -= n
-                    if not entry[2]:
+                    kept[key][2] = left - n
+                    if left == n:
                         del kept[key]
                 sequence += 1
 
         def full(least):
-            if len(rows["doc_id"]) > least:
-                kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
+            nonlocal held
+            if held > least:
+                kinds = [pa.int64()] * 8 + [pa.binary()] * with_ids
                 batch = pa.RecordBatch.from_arrays([pa.array(rows[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
                 for n in names:
                     rows[n] = []
+                held = 0
                 yield batch
 
-        key = 0
-        for batch in batches:
-            for d, t, f in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = code.encode(t.as_py()) + end
-                key += 1
-                kept[key] = [d, ids, len(ids) // 4]
-                emit(packer.add(key, len(ids) // 4, f))
-                yield from full(5000)
-        emit(packer.end())
-        yield from full(0)
-
-    start = F.coalesce(F.col(loss_from).cast("int"), F.lit(0)) if loss_from else F.lit(0)
-    source = docs.select("doc_id", filled(F.col("text")).alias("text"), start.alias("loss_from"))
-    return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+        with worker_memory("words") as memory:
+            code, key = encoder(shared, memory), 0
+            for batch in batches:
+                for d, t, c in zip(*batch.columns, strict=True):
+                    ids = code.encode(t.as_py()) + end
+                    free = len(code.encode(c.as_py())) // 4 if c.is_valid else 0
+                    key += 1
+                    kept[key] = [d.as_py(), ids, len(ids) // 4, free]
+                    emit(packer.add(key, len(ids) // 4, free))
+                    yield from full(5000)
+            emit(packer.end())
+            yield from full(0)
+
+    before = F.col(f"`{context}`") if context else F.lit(None).cast("string")
+    source = docs.select("doc_id", filled(F.col("text")).alias("text"), before.alias("context"))
+    return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids binary" * with_ids)
+
+
+def first_line(text):
+    """The first line of a text of several, as its context; null if there is none."""
+    return F.when(F.contains(text, F.lit("\n")), F.substring_index(text, "\n", 1))

@@ -18,8 +18,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Loss-bearing tokens of a sequence, at most: a document's first line, if it has others, is context and bears none.
+LOSS = 3840
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents in sequences, under all three limits."""
+    docs = docs.select("doc_id", "text", packing.first_line(F.col("text")).alias("context"))
+    return packing.pack(docs, tokenizer(WORDS), loss=LOSS, context="context")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("__row")
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +56,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer(WORDS))
+    return packed(documents(spark, sf_dir))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("__row", "stays")
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("stays")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled
+from .common import filled, free_name, worker_memory
 from .words import vocabulary
 
 # Letters, numbers and white space below U+0250, and the vocabulary's splitting pattern.
@@ -29,7 +29,7 @@ _BEYOND = re.compile("[ɐ-\U0010ffff]")
 class PrefixBpe:
     """A byte-level BPE vocabulary: ``encode`` and ``decode`` as the tokenizers library does."""
 
-    def __init__(self, vocabulary: str, keep: int = 300_000):
+    def __init__(self, vocabulary: str, keep: int = 150_000):
         """vocabulary: the tokenizer's JSON text; keep: pieces whose ids are remembered."""
         import ahocorasick
         import regex
@@ -105,12 +105,14 @@ class PrefixBpe:
                 pair = (last[start], token)
                 good = memory.get(pair)
                 if good is None:
-                    if len(memory) > 1_000_000:
+                    if len(memory) > 300_000:
                         memory.clear()
                     good = memory[pair] = self.compatible(*pair)
                 if not good:
                     continue
             last[end], sizes[end], found = token, size, True
+        if not all(sizes):
+            raise ValueError("the vocabulary has no token for a byte of the text")
         out, at = [], len(data) - 1
         while at >= 0:
             out.append(last[at])
@@ -141,48 +143,56 @@ class PrefixBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_KEPT: dict[int, PrefixBpe] = {}
-
-
-def coder(shared) -> PrefixBpe:
+def coder(shared, memory: dict) -> PrefixBpe:
+    """The worker's coder for a broadcast vocabulary; kept in ``memory`` (see worker_memory) from task to task."""
     text = shared.value
     key = hash(text)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = PrefixBpe(text)
-    return _KEPT[key]
+    if key not in memory:
+        memory.clear()
+        memory[key] = PrefixBpe(text)
+    return memory[key]
 
 
 def encode_and_decode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """``docs`` with columns ids (array of int), n_tokens, ids_sha256 and decoded_sha256.
 
     Null and empty texts give no ids. One pass, no shuffle; every row is on its own, so a lost task is
-    just run again. Columns of ``docs`` with the new names are replaced. keep_ids=False leaves out ids.
+    just run again. Columns of ``docs`` with the new names are replaced, others pass through whatever their names; keep_ids=False
+    leaves out ids and the text. Repeated rows stay, an empty table gives no rows, and time grows with a text's length. A text
+    with a byte that the vocabulary lacks is an error.
     """
     import hashlib
 
     shared = vocabulary(docs.sparkSession, path)
     new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if keep_ids else {})
     kept = [c for c in docs.columns if c not in new and (keep_ids or c != text)]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], filled(F.col(f"`{text}`")).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], filled(F.col(f"`{text}`")).alias(free_name(docs, "__text")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = coder(shared)
-        for batch in batches:
-            rows = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-            for t in batch.column("__text"):
-                ids = bpe.encode(t.as_py())
-                rows["n_tokens"].append(len(ids))
-                rows["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                rows["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                if keep_ids:
-                    rows["ids"].append(ids)
-            types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [pa.array(rows[c], types[c]) for c in new], names=kept + list(new)
-            )
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__text"] + [f"{c} {k}" for c, k in new.items()])
+        types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32())}
+
+        def out(batch, rows):
+            return pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(rows[c], types[c]) for c in new], names=kept + list(new))
+
+        with worker_memory("bpe") as memory:
+            bpe = coder(shared, memory)
+            for batch in batches:
+                rows, began, held = {c: [] for c in types}, 0, 0
+                for i, t in enumerate(batch.column(len(kept))):
+                    ids = bpe.encode(t.as_py())
+                    rows["n_tokens"].append(len(ids))
+                    rows["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    rows["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                    if keep_ids:
+                        rows["ids"].append(ids)
+                        held += len(ids)
+                    if held > 500_000:  # a batch of bounded size, however long its texts
+                        yield out(batch.slice(began, i + 1 - began), rows)
+                        rows, began, held = {c: [] for c in types}, i + 1, 0
+                if began < batch.num_rows:
+                    yield out(batch.slice(began), rows)
+
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {k}" for c, k in new.items()])
     return source.mapInArrow(run, schema)

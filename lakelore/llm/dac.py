@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import filled, settle, shared_dir, shared_fs
+from .common import filled, settle, shared_dir, shared_fs, worker_memory
 from .words import encoder, vocabulary
 
 MAGIC = b"LKDAC\x001\n"
@@ -109,11 +109,12 @@ class DacFile:
         return self.stretch(int(self.firsts[k]), int(self.firsts[k + 1]))
 
 
-def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, ids_per_file: int = 4_000_000) -> DataFrame:
+def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, ids_per_file: int = 1_000_000) -> DataFrame:
     """Encode whole texts (null: empty), append ``end_id`` and write files in ascending doc_id order.
 
     Returns the manifest: part, seq, path, n_docs, n_ids, start (ids before the file). Null doc_ids come
-    first; rows of one doc_id in order of their text. No rows: no files, an empty manifest.
+    first; rows of one doc_id in order of their text, repeated rows each. No rows: no files, an empty manifest. A text of any
+    length lies in one file; other columns don't matter, whatever their names.
     """
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/dac-{uuid.uuid4().hex}"
@@ -126,7 +127,7 @@ def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        code, part, seq = encoder(shared), TaskContext.get().partitionId(), 0
+        part, seq = TaskContext.get().partitionId(), 0
         own, folder = shared_fs(out)
         ids, docs_, firsts, n = [], [], [0], 0
 
@@ -139,17 +140,19 @@ def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, i
             ids, docs_, firsts, n, seq = [], [], [0], 0, seq + 1
             return row
 
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = code.encode(t.as_py()) + end
-                n += len(got) // 4
-                ids.append(got)
-                docs_.append(d)
-                firsts.append(n)
-                if n >= ids_per_file:
-                    yield flush()
-        if docs_:
-            yield flush()
+        with worker_memory("words") as memory:
+            code = encoder(shared, memory)
+            for batch in batches:
+                for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    got = code.encode(t.as_py()) + end
+                    n += len(got) // 4
+                    ids.append(got)
+                    docs_.append(d)
+                    firsts.append(n)
+                    if n >= ids_per_file:
+                        yield flush()
+            if docs_:
+                yield flush()
 
     dealt = docs.select("doc_id", filled(F.col("text")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = settle(dealt.mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long"))
@@ -166,24 +169,25 @@ def read(spark: SparkSession, manifest: DataFrame, out: str | None = None, with_
         import pyarrow as pa
 
         own, _ = shared_fs(root)
-        for batch in batches:
-            for name, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                with own.open_input_stream(name) as f:
-                    file = DacFile(f.read())
-                step = 2000
-                for a in range(0, len(file.doc_ids), step):
-                    some = range(a, min(a + step, len(file.doc_ids)))
-                    ids = [file.document(k) for k in some]
-                    rows = {
-                        "doc_id": pa.array([file.doc_ids[k] for k in some], pa.int64()),
-                        "start": pa.array([start + int(file.firsts[k]) for k in some], pa.int64()),
-                        "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                    }
-                    if with_ids:
-                        rows["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_pydict(rows)
+        with worker_memory("dac"):
+            for batch in batches:
+                for name, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                    with own.open_input_stream(name) as f:
+                        file = DacFile(f.read())
+                    step = 2000
+                    for a in range(0, len(file.doc_ids), step):
+                        some = range(a, min(a + step, len(file.doc_ids)))
+                        ids = [file.document(k) for k in some]
+                        rows = {
+                            "doc_id": pa.array([file.doc_ids[k] for k in some], pa.int64()),
+                            "start": pa.array([start + int(file.firsts[k]) for k in some], pa.int64()),
+                            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                        }
+                        if with_ids:
+                            rows["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_pydict(rows)
 
     files = max(1, manifest.count())
-    dealt = manifest.select("path", "start").repartition(min(files, 4096), "path")
+    dealt = manifest.select("path", "start").repartition(files, "path")  # a file holds some MB, so a task for each is no burden
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakelore.llm import common, components, exact_dedup, line_dedup, ngram_join, syncmers
 
@@ -68,10 +69,71 @@ def test_next_document_over_many_stretches(spark):
     assert got == {3 * i: str((i + 1) % 101) for i in range(101)}
 
 
+def brute_anchors(spark, text, k=5, s=2):
+    """{hash of a closed syncmer: its first place} of a text, from the hashes of its words' runs."""
+    words = re.findall(r"[^\x20\x09-\x0d]{1,64}", text)
+    runs = [words[i : i + s] for i in range(len(words))]
+    inner = [r.h for r in spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, r array<string>").selectExpr("i", "xxhash64(r[0], get(r, 1)) as h").orderBy("i").collect()] if words else []
+    found = {}
+    for i in range(len(words) - k + 1):
+        some = inner[i : i + k - s + 1]
+        if min(some) in (some[0], some[-1]):
+            found.setdefault(tuple(some), i)
+    mask = (1 << 63 - syncmers._PLACE_BITS) - 1
+    keys = list(found)
+    hashes = [r[0] & mask for r in spark.createDataFrame([(i, *x) for i, x in enumerate(keys)], "i int, a long, b long, c long, d long").selectExpr("i", "xxhash64(a, b, c, d) as h").orderBy("i").select("h").collect()] if keys else []
+    return dict(sorted((h, found[key]) for h, key in zip(hashes, keys, strict=True)))
+
+
+def test_anchors_are_all_closed_syncmers(spark):
+    rng = random.Random(21)
+    text = " ".join(f"w{rng.randrange(40)}" for _ in range(900))
+    df = spark.createDataFrame([(text,)], "text string")
+    want = brute_anchors(spark, text)
+    got = [(x >> syncmers._PLACE_BITS, x & ((1 << syncmers._PLACE_BITS) - 1)) for x in syncmers.with_anchors(df, "text", "a", share=1).first().a]
+    assert got == list(want.items())
+    some = syncmers.with_anchors(df, "text", "a").first().a  # one in four, of least hash
+    assert [x >> syncmers._PLACE_BITS for x in some] == list(want)[: max(64, -(-len(want) // 4))]
+
+
+def brute_likeness(a, b, least=64):
+    """Of two anchor arrays: every pair of matches compared."""
+    split = lambda x: {v >> syncmers._PLACE_BITS: v & ((1 << syncmers._PLACE_BITS) - 1) for v in x}
+    a, b, sure = split(a), split(b), min(max(len(a), least), max(len(b), least))
+    total = sorted({*a, *b})[:sure]
+    if not total:
+        return 1.0
+    m = sorted((a[h], a[h] - b[h], h) for h in a if h in b and h <= total[-1])
+    good = 0
+    for i, (at, shift, _) in enumerate(m):
+        near = [m[j] for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(m)]
+        follows = any(abs(shift - s) <= 1 + max(abs(at - p), abs(at - shift - p + s)) / 4 for p, s, _ in near)
+        good += shift == 0 or follows or sum(s == shift for _, s, _ in m) > 1
+    return good / len(total)
+
+
+def test_likeness_is_the_plain_one(spark):
+    rng = random.Random(22)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([0, 3, 8, 80, 700]))]
+        other = list(words)
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.choice([0, 1, 1, 30])] = [f"n{rng.randrange(50)}"] * rng.randint(0, 2)
+        if rng.random() < 0.3:
+            other = other[len(other) // 2 :] + other[: len(other) // 2]
+        rows.append((" ".join(words), " ".join(other)))
+    df = spark.createDataFrame(rows, "text string, other string").repartition(3)
+    df = syncmers.with_likeness(syncmers.with_anchors(syncmers.with_anchors(df, "text", "a"), "other", "b"), "a", "b", "near")
+    for r in df.collect():
+        assert abs(r.near - brute_likeness(r.a, r.b)) < 1e-12
+
+
 def test_syncmers_are_context_free(spark):
     core = " ".join(f"c{i}" for i in range(40))
     df = spark.createDataFrame([(core,), ("x y z " + core + " q",)], "text string")
-    a, b = (set(x >> 24 for x in r.a) for r in syncmers.with_anchors(df, "text", "a", size=1000).collect())
+    a, b = (set(x >> syncmers._PLACE_BITS for x in r.a) for r in syncmers.with_anchors(df, "text", "a", share=1).collect())
     assert len(a) > 5 and a <= b
 
 
@@ -97,7 +159,7 @@ def test_likeness_of_long_texts_with_scattered_edits(spark):
     df = spark.createDataFrame([(" ".join(words), t) for t in texts], "text string, other string")
     df = syncmers.with_anchors(syncmers.with_anchors(df, "text", "a"), "other", "b")
     got = [r.near for r in syncmers.with_likeness(df, "a", "b", "near").collect()]
-    share = [len({x >> 24 for x in r.a} & {x >> 24 for x in r.b}) / 64 for r in df.collect()]
+    share = [len({x >> syncmers._PLACE_BITS for x in r.a} & {x >> syncmers._PLACE_BITS for x in r.b}) / len(r.a) for r in df.collect()]
     assert min(got[:2]) > 0.75 and got[2] < 0.25 < share[2], (got, share)
 
 
@@ -172,6 +234,53 @@ def test_near(spark, odd, none):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_suffix_filter_never_exceeds_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 200, rng.integers(0, 80)).astype(np.uint64)) for _ in range(2))
+        apart = len(np.setxor1d(x, y))
+        for most in (0, 5, 1000):
+            assert ngram_join.differing(x, y, most) <= apart or ngram_join.differing(x, y, most) > most >= 0 and apart > most
+        for percent in (50, 80, 100):
+            union = len(np.union1d(x, y))
+            assert not len(x) or not len(y) or ngram_join.linked(x, y, percent) == (100 * (len(x) + len(y) - union) >= percent * union)
+
+
+def test_templates_make_few_pairs(spark, monkeypatch):
+    """Many components that share most of their shingles with others: what they share is common, so it is in no prefix."""
+    tried = []
+    links = ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda pairs, *a: (tried.append(pairs.count()), links(pairs, *a))[1])
+    rng = random.Random(13)
+    frame_ = [f"t{i}" for i in range(150)]
+    texts = [" ".join(frame_[:75] + [f"d{i}x{j}" for j in range(60)] + frame_[75:]) for i in range(300)]
+    texts += [t.replace("x5 ", "y5 ") for t in rng.sample(texts, 40)]
+    got = ngram_join.near_duplicates(frame(spark, texts)).select("component_id").distinct().count()
+    assert got == 300 and sum(tried) < 300, tried
+
+
+def test_hot_keys_stay_where_they_are(spark):
+    big = spark.range(5000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as v")
+    small = common.settle(big.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")))
+    got = common.join_one(big, small, ["k"])
+    assert sorted(map(tuple, got.select("k", "v", "least").collect())) == sorted((0 if i % 3 == 0 else i, i, 0 if i % 3 == 0 else i) for i in range(5000))
+
+
+def test_names_do_not_depend_on_the_tasks(spark):
+    texts = [f"{i % 70} some text" * 5 for i in range(200)]
+    named = lambda n: sorted((r.doc_id, r.n_blocks, r.name) for r in exact_dedup.identities(common.identified(frame(spark, texts).repartition(n), {"doc_id": F.col("doc_id"), "text": F.col("text")}), block=16).collect())
+    assert named(2) == named(7)
+
+
+def test_lines_take_time_by_their_number(spark):
+    text = "\n".join(f"line {i} of a long text with some words" for i in range(20_000))
+    rows = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(rows).collect()}
+    assert got[1].text == text and got[2].text == "" and got[2].removed_lines == 20_000
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -179,6 +288,8 @@ def test_components(spark):
 
 
 def test_row_ids_are_stable(spark, odd):
-    rows = common.with_row_id(odd)
-    assert sorted(map(str, rows.select("__row").collect())) == sorted(map(str, rows.select("__row", "text").select("__row").collect()))
-    assert rows.select("__row").distinct().count() == 11
+    rows = common.with_row_id(odd, "at")
+    assert sorted(map(str, rows.select("at").collect())) == sorted(map(str, rows.select("at", "text").select("at").collect()))
+    assert rows.select("at").distinct().count() == 11
+    with pytest.raises(ValueError):
+        common.with_row_id(odd, "TEXT")

@@ -52,5 +52,5 @@ def test_passage_planted_within_lines(spark, data):
     rows = [(i, f"own{i} begin{i} {passage} end{i} own{i}\nlast{i}", "en", "s", 0) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert line_dedup.dedup_lines(docs).where("removed_lines > 0").count() == 0
-    got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, docs, data).collect()}
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, data).collect()}
     assert got == {0: rows[0][1], 1: "own1 begin1 end1 own1\nlast1", 2: "own2 begin2 end2 own2\nlast2"}

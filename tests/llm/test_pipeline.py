@@ -8,6 +8,7 @@ import corpus_pipeline
 from lakelore.llm.common import settle
 from lakelore.llm.queries import oracle_sql, queries
 from tests.llm.test_dedup import brute_lines, brute_near
+from tests.llm.test_passages import brute_passages
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -27,6 +28,7 @@ def test_sql(spark, data, name):
 def test_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     names = list(docs.columns)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "line_dedup", "near_duplicates", "packing"]
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = settle(stage(spark, docs, data))
@@ -40,7 +42,7 @@ def test_stages(spark, data):
     assert b.join(a, "doc_id", "left_semi").count() == b.count() < a.count()
     a, b = by["line_dedup"]
     rows = [(r.doc_id, r.text) for r in a.orderBy("doc_id").collect()]
-    want = {i: t for (i, was), t in zip(rows, brute_lines([t for _, t in rows], 50), strict=True) if t == was or t.strip()}
+    want = {i: t for (i, was), t in zip(rows, brute_passages(brute_lines([t for _, t in rows], 50), 50), strict=True) if t == was or t.strip()}
     assert {r.doc_id: r.text for r in b.collect()} == want
     a, b = by["near_duplicates"]
     rows = [(r.doc_id, r.text) for r in a.orderBy("doc_id").collect()]

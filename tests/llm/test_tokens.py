@@ -1,9 +1,12 @@
+import json
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lakelore.llm import bpe, dac, packing
@@ -120,6 +123,34 @@ def test_packing_keeps_all_three_limits():
         assert sorted(i for at, m in seen[k] for i in range(at, at + m)) == list(range(n))
 
 
+def test_many_tiny_items_take_time_by_their_number():
+    p = packing.Packer(loss=3840)
+    began = time.perf_counter()
+    out = [s for k in range(100_000) for s in p.add(k, 1)] + p.end()
+    assert time.perf_counter() - began < 60 and len(p.waiting) == 0
+    assert sum(len(s) for s in out) == 100_000 and max(map(len, out)) == 64
+
+
+def test_loss_limit_binds(spark, vocab):
+    """A limit below the tokens' is met by every sequence, and some are held back by it alone."""
+    rows = spark.createDataFrame([(i, "one two three four\n" + "word " * (300 + i)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    docs = rows.select("doc_id", "text", packing.first_line(F.col("text")).alias("context"))
+    loss = defaultdict(int)
+    total = 0
+    for r in packing.pack(docs, vocab("word_bpe_49k.json"), tokens=1024, loss=900, context="context").collect():
+        loss[r.sequence_id] += r.loss_tokens
+        total += r.loss_tokens
+    assert max(loss.values()) == 900 and total == sum(301 + i for i in range(40))
+
+
+def test_a_byte_that_the_vocabulary_lacks_is_an_error():
+    spec = {"added_tokens": [], "model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}}
+    coder = bpe.PrefixBpe(json.dumps(spec))
+    assert coder.encode("abab") == [2, 2]
+    with pytest.raises(ValueError):
+        coder.encode("abc")
+
+
 def test_packing_wastes_nothing_on_mixed_lengths():
     rng = random.Random(4)
     p = packing.Packer()

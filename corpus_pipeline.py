@@ -10,48 +10,69 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakelore.llm import langid, line_dedup, ngram_join, packing, passage_dedup, quality
-from lakelore.llm.common import settle, with_row_id
-from lakelore.llm.queries import WORDS, tokenizer
+from lakelore.llm import langid, ngram_join, passage_dedup, quality
+from lakelore.llm.common import free_name, settle, with_row_id
+from lakelore.llm.queries import packed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+_WORD = r"text rlike '[^\\x20\\x09-\\x0D]'"
+
+
+def _those(docs: DataFrame, judged: Callable[[DataFrame, str], DataFrame], stays: str) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (given them and the name of their row ids) marks by ``stays``."""
+    row = free_name(docs, "__row")
+    rows = with_row_id(docs, row)
+    return rows.join(judged(rows, row).where(stays).select(row), row, "left_semi").select(*COLUMNS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (or a text) go; an unknown lang is filled in with the one found, if any was learned."""
-    found = langid.identify(docs.select(*COLUMNS), langid.fit(docs)).where(F.col("text").rlike(r"\p{L}"))
+    """Documents without a letter (or a text) go; an unknown lang is filled in with the one found, if any was learned.
+
+    Repeated rows stay, each judged by its text alone; a text of any length is read whole; an empty table gives no rows; columns
+    beyond those of ``documents`` are left out, whatever their names.
+    """
+    found = langid.identify(docs.select(*COLUMNS), langid.fit(docs.select(*COLUMNS))).where(F.col("text").rlike(r"\p{L}"))
     return found.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(langid.UNDETERMINED)))).select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents judged toxic or of low quality go."""
-    rows = with_row_id(docs)
-    found = quality.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows.join(found.where("kept").select("__row"), "__row", "left_semi").select(*COLUMNS)
+    """Documents judged toxic or of low quality go.
+
+    Null and empty texts are judged by their site; null sources and langs are sites of their own; repeated rows are judged each;
+    a probability just at the threshold stays; an empty table gives no rows; other columns are left out, whatever their names.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _those(docs.select(*COLUMNS), lambda rows, row: quality.classify(rows, labels, row=row), "kept")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of 50 words or more are deleted; documents of which nothing is left go."""
-    left = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    return left.where("removed_lines = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Later repeats of 50 words or more are deleted: runs of lines first, then passages within lines. Documents of which nothing is left go.
 
+    Of equal runs the one of least doc_id stays (null first), then the earlier row, then the earlier place; repeated rows are copies.
+    Null and empty texts stay as they are; an empty table gives no rows; other columns are left out, whatever their names.
+    """
+    left = passage_dedup.dedup(docs.select(*COLUMNS))
+    return left.where(f"removed_words = 0 or {_WORD}").withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays: that of least doc_id."""
-    rows = with_row_id(docs)
-    found = ngram_join.near_duplicates(rows)
-    return rows.join(found.where("stays").select("__row"), "__row", "left_semi").select(*COLUMNS)
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays: that of least doc_id (null last), of repeated rows the first.
 
-def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of 50 words or more within lines are deleted too, once no near copies are left; documents of which nothing is left go."""
-    left = passage_dedup.dedup_passages(docs.select(*COLUMNS))
-    return left.where("removed_words = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    Texts without a word, null ones included, are linked with nothing and stay; an empty table gives no rows; other columns are
+    left out, whatever their names.
+    """
+    return _those(docs.select(*COLUMNS), lambda rows, row: ngram_join.near_duplicates(rows, row=row), "stays")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 ids."""
-    return packing.pack(docs, tokenizer(WORDS))
+    """Sequences of at most 4096 ids, 64 pieces and 3840 loss-bearing ids.
+
+    Null and empty texts are one id each; repeated rows and null doc_ids are packed like any other; an empty table gives no rows;
+    other columns are left out, whatever their names.
+    """
+    return packed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -59,7 +80,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality", clean),
     ("line_dedup", lines),
     ("near_duplicates", near),
-    ("passages", passages),
     ("packing", pack),
 ]
 

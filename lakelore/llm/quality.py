@@ -233,9 +233,9 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(mean: Column, spread: Column) -> Column:
-    """Of a Beta prior with that mean and variance between groups: its weight in documents, 1 to 1000."""
-    return F.coalesce(F.least(F.greatest(mean * (1 - mean) / F.nullif(spread, F.lit(0.0)) - 1, F.lit(1.0)), F.lit(1000.0)), F.lit(1000.0))
+def _strength(mean: float, spread: float) -> float:
+    """Of a Beta prior with that mean and variance between groups: its weight in documents, 1 to 1000; 1000 if groups don't differ."""
+    return min(max(mean * (1 - mean) / spread - 1, 1.0), 1000.0) if spread > 0 else 1000.0
 
 
 def posteriors(scored: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
@@ -264,7 +264,7 @@ def posteriors(scored: DataFrame, host: str = "host", path: str = "path") -> Dat
     out = scored.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")))
     for k in TARGETS:
         mean, variance = between[k]
-        by_host, by_path = _strength(F.lit(mean), F.lit(variance)), _strength(F.lit(mean), F.lit(max(among[k][1] - variance, 0.0)))
+        by_host, by_path = _strength(mean, variance), _strength(mean, max(among[k][1] - variance, 0.0))
         p = F.col(f"p_{k}")
         rate = (F.col(f"host_sum_{k}") - p + by_host * mean) / (F.col("host_n") - 1 + by_host)
         prior = (F.col(f"sum_{k}") - p + by_path * rate) / (F.col("n") - 1 + by_path)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The answer given when nothing was found, and the lines that may stand for it.
+# The answer given when nothing was found, and the lines that may stand for it or follow it.
 EMPTY_ANSWER = "The available documents do not contain enough information to answer that."
-_LABEL = r"(?i)^[^.!?\n]*\bdo not bear on the question(?: at all)?\.?$"
-_RELATED = r"(?i)^closest related material:(?:[^\[\]\n.!?]|[.!?](?!\s))*\[\d+\]\s*\.?$"
+_LABEL = r"(?i:[^.!?\n]*\bdo not bear on the question(?: at all)?\.?)"
+_RELATED = r"(?i:closest related material:(?:[^\[\]\n.!?]|[.!?](?!\s))*\[\d+\]\s*\.?)"
+#: The whole of an answer that refuses: one of the two openings, then a related line or nothing; lines may be padded and parted by blank ones.
+_REFUSAL = rf"^\s*(?:{EMPTY_ANSWER[:-1]}\.?|{_LABEL})[ \t\r]*(?:\n\s*{_RELATED})?\s*$"
 RANGE_SPAN, PLAUSIBLE = 50, 99
 
 
@@ -33,10 +35,7 @@ def invalid(answer: Column, valid: Column) -> Column:
 
 def is_refusal(answer: Column) -> Column:
     """The empty answer or its label on the first line, then at most one line of related material."""
-    lines = F.filter(F.transform(F.split(F.trim(answer), "\n"), F.trim), lambda x: x != "")
-    opening = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    opens = opening.isin(EMPTY_ANSWER, EMPTY_ANSWER[:-1]) | opening.rlike(_LABEL)
-    return opens & ((F.size(lines) == 1) | ((F.size(lines) == 2) & F.coalesce(F.get(lines, F.lit(1)), F.lit("")).rlike(_RELATED)))
+    return answer.rlike(_REFUSAL)
 
 
 def warnings(answer: Column, valid: Column) -> Column:

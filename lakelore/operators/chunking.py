@@ -62,20 +62,16 @@ def _fenced(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
 
 def sections(markdown: str) -> list[tuple[list[str], str]]:
     """(headings above, body) of each stretch between headings; headings in code don't count; empty bodies are left out."""
-    found: list[tuple[list[str], list[str]]] = [([], [])]
-    levels: list[tuple[int, str]] = []
-    for line, code in _fenced(markdown.split("\n")):
-        hit = None if code else _HEADING.match(line)
-        if hit:
-            level = len(hit[1])
-            while levels and levels[-1][0] >= level:
-                levels.pop()
-            levels.append((level, hit[2]))
-            found.append(([t for _, t in levels], []))
-        else:
-            found[-1][1].append(line)
-    whole = [(path, body) for path, lines in found if (body := "\n".join(lines).strip())]
-    return whole or [([], markdown.strip())]
+    lines = markdown.split("\n")
+    marks = [(i, hit) for i, (line, code) in enumerate(_fenced(lines)) if not code and (hit := _HEADING.match(line))]
+    ends = [i for i, _ in marks] + [len(lines)]
+    above: dict[int, str] = {}  # the heading of each depth that a line stands under; a new one ends those of its depth and deeper
+    out = [([], "\n".join(lines[: ends[0]]).strip())]
+    for (i, hit), end in zip(marks, ends[1:], strict=True):
+        depth = len(hit[1])
+        above = {d: title for d, title in above.items() if d < depth} | {depth: hit[2]}
+        out.append((list(above.values()), "\n".join(lines[i + 1 : end]).strip()))
+    return [x for x in out if x[1]] or [([], markdown.strip())]
 
 
 def paragraphs(body: str) -> list[str]:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Common English words that an analysed text leaves out.
-STOPWORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "do", "does", "for", "from", "had", "has", "have", "how", "i", "if", "in", "into", "is",
-    "it", "its", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "we", "were",
-    "what", "when", "which", "who", "will", "with", "you",
-)
+#: The English stop list of PostgreSQL's text search.
+STOPWORDS = tuple(
+    """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their
+    theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and
+    but if or because as until while of at by for with about against between into through during before after above below to from up down in out on
+    off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so
+    than too very s t can will just don should now
+    """.split()
+)
 
 
 def tokens(text: Column) -> Column:

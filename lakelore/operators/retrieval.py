@@ -3,21 +3,27 @@
 ``queries``: query_id, text, embedding, and scope (array of source ids; null: unrestricted, empty: nothing).
 ``chunks``: chunk_id, document_id, source_id, text, embedding, lifecycle_status, embedding_provider, embedding_model.
 Mandatory filters (scope, lifecycle, model) come before any limit, so what may not be seen takes no place in a pool.
-Equal scores are ordered by chunk_id.
+Equal scores are ordered by chunk_id. Texts are analysed as English (stop words left out, Porter2 stems) unless ``analyse`` says
+otherwise; queries and chunks must be analysed alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..functions.english import english_tokens
+from ..session import settled
 
 #: Bytes of query vectors, at most, that are sent to every task at once; more queries go in blocks of that size.
 QUERY_BYTES = 32 << 20
+#: Text to its tokens in order.
+Analysis = Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -57,71 +63,103 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best chunks of each query among those seen so far, by score, then chunk_id."""
+
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k = queries, k
+        self.query, self.chunk, self.score = np.zeros(0, np.int64), None, np.zeros(0)
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, scores: np.ndarray, chunks: np.ndarray) -> None:
+        """scores: queries x chunks, minus infinity where a chunk doesn't count."""
+        least = self.least
+        if scores.shape[1] > self.k:  # of this batch alone, none below its k-th best counts
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        query, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        query, score = np.concatenate([self.query, query]), np.concatenate([self.score, scores[query, at]])
+        chunk = chunks[at] if self.chunk is None else np.concatenate([self.chunk, chunks[at]])
+        order = np.lexsort((chunk, -score, query))
+        query, chunk, score = query[order], chunk[order], score[order]
+        begins = np.searchsorted(query, np.arange(self.queries))
+        place = np.arange(len(query)) - begins[query]
+        kept = place < self.k
+        self.query, self.chunk, self.score = query[kept], chunk[kept], score[kept]
+        last = place[kept] == self.k - 1
+        self.least[self.query[last]] = self.score[last]
+
+
+def _in_scope(scopes: list[frozenset | None], sources: list) -> np.ndarray:
+    """queries x chunks: whether a query may see a chunk; each different scope meets each different source once."""
+    kinds = {s: i for i, s in enumerate(dict.fromkeys(scopes))}
+    places = {s: i for i, s in enumerate(dict.fromkeys(sources))}
+    seen = np.array([[scope is None or source in scope for source in places] for scope in kinds]).reshape(len(kinds), len(places))
+    return seen[np.array([kinds[s] for s in scopes])][:, np.array([places[s] for s in sources])]
+
+
 def dense_top(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """query_id, chunk_id, score (cosine similarity, rounded), rank: the k nearest chunks in scope, exactly.
 
-    Blocks of chunks are multiplied with the queries' matrix; a task keeps k rows per query. A query vector that isn't
-    finite is an error; vectors of zeros, and chunks of another length or with nulls, match nothing.
+    Blocks of chunks are multiplied with the queries' matrix; a task keeps k rows per query. The driver reads the batch of queries
+    a block at a time. A query vector that isn't finite is an error; vectors of zeros, and chunks of another length or with nulls,
+    match nothing.
     """
     spark = chunks.sparkSession
-    rows = queries.where("embedding is not null").select("query_id", "embedding", "scope").collect()  # the stated batch of queries
-    if any(not np.isfinite(np.array(r.embedding, float)).all() for r in rows):
-        raise ValueError("query vector is not finite")
-    kind = dict(queries.dtypes)["query_id"]
-    chunk_kind = dict(chunks.dtypes)["chunk_id"]
-    schema = f"query_id {kind}, chunk_id {chunk_kind}, score double"
-    each = max(1, QUERY_BYTES // (8 * max([1, *(len(r.embedding) for r in rows)])))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
+    rows = iter(queries.where("embedding is not null").select("query_id", "embedding", "scope").toLocalIterator())
     source = chunks.where("embedding is not null").select("chunk_id", "source_id", "embedding")
     found = None
-    for a in range(0, len(rows), each):
-        some = rows[a : a + each]
-        shared = spark.sparkContext.broadcast((
-            [r.query_id for r in some], np.array([r.embedding for r in some], float), [None if r.scope is None else frozenset(r.scope) for r in some]
-        ))
+    while first := next(rows, None):
+        some = [first, *islice(rows, max(1, QUERY_BYTES // (8 * len(first.embedding))) - 1)]
+        matrix = np.array([r.embedding for r in some], float)
+        if not np.isfinite(matrix).all():
+            raise ValueError("query vector is not finite")
+        shared = spark.sparkContext.broadcast(([r.query_id for r in some], matrix, [None if r.scope is None else frozenset(r.scope) for r in some]))
 
         def run(batches: Iterator, shared=shared) -> Iterator:
             import pyarrow as pa
 
             ids, q, scopes = shared.value
-            norm = np.linalg.norm(q, axis=1)
-            best: list[list] = [[] for _ in ids]
-            types = None
+            norm, best, types = np.linalg.norm(q, axis=1), _Best(len(ids), k), None
             for batch in batches:
                 types = batch.schema.field(0).type
-                vectors, chunk_ids, sources = batch.column(2), batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                good = [i for i, v in enumerate(vectors) if len(v) == q.shape[1] and not v.values.null_count]
-                if not good:
+                good = pa.array([len(v) == q.shape[1] and not v.values.null_count for v in batch.column(2)], pa.bool_())
+                batch = batch.filter(good)
+                if not batch.num_rows:
                     continue
-                taken = vectors.take(pa.array(good))
-                x = taken.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(good), -1)
-                lengths = np.linalg.norm(x, axis=1)
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.round((x @ q.T) / (lengths[:, None] * norm[None, :]), digits)
-                for j, scope in enumerate(scopes):
-                    ok = [i for i in range(len(good)) if np.isfinite(scores[i, j]) and (scope is None or sources[good[i]] in scope)]
-                    new = [(-scores[i, j], chunk_ids[good[i]]) for i in ok]
-                    best[j] = sorted(best[j] + new)[:k]
-            flat = [(ids[j], c, -s) for j, b in enumerate(best) for s, c in b]
-            if flat:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in flat]), pa.array([x[1] for x in flat], types), pa.array([float(x[2]) + 0.0 for x in flat], pa.float64())], names=["query_id", "chunk_id", "score"]
-                )
+                    scores = np.round((q @ x.T) / (norm[:, None] * np.linalg.norm(x, axis=1)[None, :]), digits) + 0.0
+                seen = np.isfinite(scores) & _in_scope(scopes, batch.column(1).to_pylist())
+                best.add(np.where(seen, scores, -np.inf), np.array(batch.column(0).to_pylist()))
+            if len(best.query):
+                columns = [pa.array([ids[i] for i in best.query]), pa.array(best.chunk.tolist(), types), pa.array(best.score)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
 
         part = source.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     return _ranked(found if found is not None else spark.createDataFrame([], schema), k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """lexeme, chunk_id, source_id, places: how often a chunk has each token."""
-    words = chunks.select("chunk_id", "source_id", F.explode(T.tokens(F.col("text"))).alias("lexeme"))
+def postings(chunks: DataFrame, analyse: Analysis = english_tokens, wanted: DataFrame | None = None) -> DataFrame:
+    """lexeme, chunk_id, source_id, places: how often a chunk has each token. Write it as a table where many batches are asked.
+
+    wanted: only these lexemes (one column), as one batch of queries needs; the others go before anything is grouped.
+    """
+    words = chunks.select("chunk_id", "source_id", F.explode(analyse(F.col("text"))).alias("lexeme"))
+    if wanted is not None:
+        words = words.join(wanted, "lexeme", "left_semi")
     return words.groupBy("lexeme", "chunk_id", "source_id").agg(F.count("*").alias("places"))
 
 
-def sparse_top(queries: DataFrame, posted: DataFrame, k: int) -> DataFrame:
+def asked_lexemes(queries: DataFrame, analyse: Analysis = english_tokens) -> DataFrame:
+    """query_id, scope, lexeme: each query's different lexemes; a query of stop words alone has none and matches nothing."""
+    return queries.select("query_id", "scope", F.explode(F.array_distinct(analyse(F.col("text")))).alias("lexeme"))
+
+
+def sparse_top(queries: DataFrame, posted: DataFrame, k: int, analyse: Analysis = english_tokens) -> DataFrame:
     """query_id, chunk_id, score, rank: chunks with any of a query's lexemes, by a tenth of the places they match."""
-    wanted = queries.select("query_id", "scope", F.explode(T.lexemes(F.col("text"))).alias("lexeme"))
-    hits = posted.join(wanted, "lexeme").where(in_scope(F.col("scope"), F.col("source_id")))
+    hits = posted.join(asked_lexemes(queries, analyse), "lexeme").where(in_scope(F.col("scope"), F.col("source_id")))
     return _ranked(hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("places") * 0.1, 6).alias("score")), k)
 
 
@@ -144,31 +182,41 @@ def best_per_query(fused: DataFrame, k: int) -> DataFrame:
     return top.withColumn("score", F.round(F.col("rrf") / F.greatest(most, F.lit(1e-9)), 6))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, options: Fusion | None = None, keep: Column | None = None, optional: str = "pre", model: tuple[str, str] | None = None) -> DataFrame:
+def hybrid(
+    queries: DataFrame, chunks: DataFrame, options: Fusion | None = None, keep: Column | None = None, optional: str = "pre", model: tuple[str, str] | None = None,
+    analyse: Analysis = english_tokens, posted: DataFrame | None = None,
+) -> DataFrame:
     """Fused search: query_id, rank, chunk_id, document_id, source_id, score, dense_score, sparse_score, keyword_coverage.
 
     ``keep`` is an optional filter over columns of ``chunks``. optional="pre" applies it before the pools are cut (whole
     results); "post" applies it to the fused pools, and for queries left with fewer than top_k rows again to the largest pools.
+    ``posted``: stored postings of the chunks that may be seen, analysed alike; else the batch's lexemes are posted here.
     """
     options = options or Fusion()
     seen = visible(chunks, *(model or ()))
     if keep is not None and optional == "pre":
         seen = seen.where(keep)
+        posted = None if posted is None else posted.join(seen.select("chunk_id"), "chunk_id", "left_semi")
 
     def search(some: DataFrame, pool: int) -> DataFrame:
-        fused = fuse(dense_top(some, seen, pool), sparse_top(some, postings(seen), pool), options)
+        lexical = posted if posted is not None else postings(seen, analyse, asked_lexemes(some, analyse).select("lexeme").distinct())
+        fused = fuse(dense_top(some, seen, pool), sparse_top(some, lexical, pool, analyse), options)
         if keep is not None and optional == "post":
             fused = fused.join(seen.where(keep).select("chunk_id"), "chunk_id", "left_semi")
         return best_per_query(fused, options.top_k)
 
     top = search(queries, options.pool)
     if keep is not None and optional == "post" and options.pool < options.most:
+        top = settled(top)
         enough = top.groupBy("query_id").count().where(F.col("count") >= options.top_k).select("query_id")
-        again = search(queries.join(enough, "query_id", "left_anti"), options.most)
-        top = top.join(enough, "query_id", "left_semi").unionByName(again)
-    words = chunks.select("chunk_id", "document_id", "source_id", T.lexemes(F.col("text")).alias("has"))
-    asked = queries.select("query_id", T.lexemes(F.col("text")).alias("asked"))
-    return top.join(words, "chunk_id").join(asked, "query_id").select(
+        short = queries.join(enough, "query_id", "left_anti")
+        if short.limit(1).count():
+            top = top.join(enough, "query_id", "left_semi").unionByName(search(short, options.most))
+    # Coverage analyses the texts found, not those of all chunks.
+    asked = queries.select("query_id", F.array_distinct(analyse(F.col("text"))).alias("asked"))
+    found = top.join(chunks.select("chunk_id", "document_id", "source_id", "text"), "chunk_id").join(asked, "query_id")
+    found = found.withColumn("has", F.array_distinct(analyse(F.col("text"))))
+    return found.select(
         "query_id", "rank", "chunk_id", "document_id", "source_id", "score", "dense_score", "sparse_score", F.round(T.coverage(F.col("asked"), F.col("has")), 6).alias("keyword_coverage")
     )
 

@@ -45,7 +45,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def questions(spark: SparkSession, d: str, scope: str = "cast(null as array<string>)") -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.expr(scope).alias("scope"))
-    return items.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    return items.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -54,7 +54,7 @@ chunks AS (
   SELECT d.doc_id AS chunk_id, d.source AS source_id, d.lang, d.text, CAST(e.embedding AS DOUBLE[]) AS embedding, coalesce(l.toxic, 0) = 0 AS active
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
 ), questions AS (
-  SELECT b.item_id AS query_id, b.text, CAST(e.embedding AS DOUBLE[]) AS embedding, {scope} AS scope FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id
+  SELECT b.item_id AS query_id, b.text, CAST(e.embedding AS DOUBLE[]) AS embedding, {scope} AS scope FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id
 ), seen AS (SELECT * FROM chunks WHERE active {keep}),
 has AS (
   SELECT chunk_id, t AS lexeme, count(*) AS places FROM (SELECT chunk_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM {of})
@@ -72,7 +72,7 @@ def _parts(scope: str = "CAST(NULL AS VARCHAR[])", keep: str = "", of: str = "ch
 _DENSE = """, dense AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
     SELECT query_id, chunk_id, round(list_cosine_similarity(c.embedding, q.embedding), 6) AS score
-    FROM questions q JOIN seen c ON c.embedding IS NOT NULL AND (q.scope IS NULL OR list_contains(q.scope, c.source_id)))
+    FROM questions q JOIN seen c ON c.embedding IS NOT NULL AND q.embedding IS NOT NULL AND (q.scope IS NULL OR list_contains(q.scope, c.source_id)))
   QUALIFY rank <= {pool}
 )"""
 _SPARSE = """, sparse AS (
@@ -110,27 +110,40 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_parts() + _SPARSE.format(pool=12) + "SELECT * FROM sparse")
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.sparse_top(questions(spark, d), retrieval.postings(retrieval.visible(chunks(spark, d))), 12)
+    return retrieval.sparse_top(questions(spark, d), retrieval.postings(retrieval.visible(chunks(spark, d)), T.tokens), 12, T.tokens)
+
+
+@query()
+def sparse_english(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical search with English stems; DuckDB has no stemmer here, so tests hold it against a plain version."""
+    asked = questions(spark, d)
+    wanted = retrieval.asked_lexemes(asked).select("lexeme").distinct()
+    return retrieval.sparse_top(asked, retrieval.postings(retrieval.visible(chunks(spark, d)), wanted=wanted), 12)
+
+
+@query()
+def hybrid_english(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.hybrid(questions(spark, d), chunks(spark, d))
 
 
 @query(_hybrid_sql())
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(questions(spark, d), chunks(spark, d))
+    return retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens)
 
 
 @query(_hybrid_sql("['src0', concat('src', b.item_id % 20)]"))
 def hybrid_scoped(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(questions(spark, d, "array('src0', concat('src', item_id % 20))"), chunks(spark, d))
+    return retrieval.hybrid(questions(spark, d, "array('src0', concat('src', item_id % 20))"), chunks(spark, d), analyse=T.tokens)
 
 
 @query(_hybrid_sql("CAST([] AS VARCHAR[])"))
 def hybrid_deny_all(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(questions(spark, d, "cast(array() as array<string>)"), chunks(spark, d))
+    return retrieval.hybrid(questions(spark, d, "cast(array() as array<string>)"), chunks(spark, d), analyse=T.tokens)
 
 
 @query(_hybrid_sql(keep="AND lang = 'en'"))
 def hybrid_optional_pre(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(questions(spark, d), chunks(spark, d), keep=F.col("lang") == "en")
+    return retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens, keep=F.col("lang") == "en")
 
 
 _EN = "WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE lang = 'en')"
@@ -146,26 +159,26 @@ _EN = "WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE lang = 'en')"
     + _FUSED.format(filter=_EN) + _RESULT
 )
 def hybrid_optional_post(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(questions(spark, d), chunks(spark, d), keep=F.col("lang") == "en", optional="post")
+    return retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens, keep=F.col("lang") == "en", optional="post")
 
 
 @query(_parts() + "SELECT query_id, chunk_id, round(count(*)::DOUBLE / n, 6) AS keyword_coverage FROM asked JOIN has USING (lexeme) JOIN (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id) USING (query_id) GROUP BY query_id, chunk_id, n")
 def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "benchmark").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id")), "item_id").select(F.col("item_id").alias("query_id"), T.lexemes(F.col("text")).alias("q"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.lexemes(F.col("text")).alias("q"))
     lexemes = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("lexeme"))
-    has = retrieval.postings(chunks(spark, d)).select("lexeme", "chunk_id")
+    has = retrieval.postings(chunks(spark, d), T.tokens, lexemes.select("lexeme").distinct()).select("lexeme", "chunk_id")
     return has.join(lexemes, "lexeme").groupBy("query_id", "chunk_id", "n").agg(F.count("*").alias("k")).select("query_id", "chunk_id", F.round(F.col("k") / F.col("n"), 6).alias("keyword_coverage"))
 
 
 @query(_hybrid_sql().replace("SELECT b.query_id, b.rank", "SELECT * FROM (SELECT b.query_id, b.rank") + ") WHERE dense_score >= 0.3 OR keyword_coverage >= 0.5")
 def relevance_floor(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.hybrid(questions(spark, d), chunks(spark, d))
+    found = retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens)
     return found.where(retrieval.passes_floor(F.col("dense_score"), F.col("keyword_coverage"), F.col("sparse_score"), 0.3))
 
 
 @query("SELECT query_id, max(dense_score) AS top_score FROM (" + _hybrid_sql() + ") GROUP BY query_id")
 def top_relevance(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_relevance(retrieval.hybrid(questions(spark, d), chunks(spark, d)))
+    return retrieval.top_relevance(retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens))
 
 
 @query("SELECT event_id FROM events WHERE coalesce(json_extract_string(props, '$.k') IN ('7', '69', '89'), false)")
@@ -173,10 +186,14 @@ def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where(retrieval.json_filter(F.col("props"), {"k": ["7", "69", "89"]})).select("event_id")
 
 
-@query("SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS length FROM embeddings")
+@query("""
+SELECT vec_id, round(u[1], 6) AS first, round(u[len(u)], 6) AS last, round(list_sum(list_transform(u, lambda x, i: x * i)), 4) AS weighted, round(list_sum(list_transform(u, lambda x: abs(x))), 4) AS total
+FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))""")
 def normalise_vectors(spark: SparkSession, d: str) -> DataFrame:
     unit = table(spark, d, "embeddings").select("vec_id", embedding.normalised(F.col("embedding")).alias("u"))
-    return unit.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
+    weighted = F.aggregate(F.transform("u", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate("u", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return unit.select("vec_id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.element_at("u", -1), 6).alias("last"), F.round(weighted, 4).alias("weighted"), F.round(total, 4).alias("total"))
 
 
 @query()
@@ -520,16 +537,10 @@ def aba_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", identifiers.aba(digits).alias("valid"))
 
 
-@query(r"""
-SELECT doc_id, array_to_string(list_filter([
-  CASE WHEN regexp_matches(text, '\b[0-9]{3}[-\s][0-9]{2}[-\s][0-9]{4}\b') THEN 'SSN' END,
-  CASE WHEN regexp_matches(text, '(?is)\b(?:SSN|SSNs|social\s+security|TIN|ITIN)\b.{0,40}?\b[0-9]{9}\b') THEN 'SSN-unformatted' END,
-  CASE WHEN regexp_matches(text, '\b[0-9]{2}[-\s][0-9]{7}\b') THEN 'EIN' END,
-  CASE WHEN regexp_matches(text, '(?is)taxpayer.{0,30}\$[0-9,]+') THEN 'taxpayer+amount' END,
-  CASE WHEN regexp_matches(text, '(?is)\b(Form\s+)?(1040|1065|1041|1120)[A-Z-]*.{0,50}\$[0-9,]+') THEN 'tax-form+amount' END,
-  CASE WHEN regexp_matches(text, '(?is)\b1099[-–—\s]{1,3}[A-Z]{1,4}.{0,50}\$[0-9,]+') THEN '1099+amount' END,
-  CASE WHEN regexp_matches(text, '(?is)\bW\s*[-–—]?\s*2\b.{0,50}\$[0-9,]+') THEN 'W2+amount' END,
-  CASE WHEN regexp_matches(text, '(?is)\b(?:Schedule|Sch\.?)[-–—\s]+[A-Z]{1,2}\b.{0,50}\$[0-9,]+') THEN 'schedule+amount' END], lambda x: x IS NOT NULL), ',') AS labels FROM documents""")
+_LABELS = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{label}' END" for label, p in identifiers.TAXPAYER_PATTERNS)
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{_LABELS}], lambda x: x IS NOT NULL), ',') AS labels FROM documents")
 def taxpayer_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(identifiers.taxpayer_labels(F.col("text")), ",").alias("labels"))
 
@@ -578,7 +589,8 @@ def quote_ladder(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def english_analysis(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.array_join(english.english_tokens(F.col("text")), " ").alias("stems"))
+    """Every document's stems in order."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(english.english_tokens(F.col("text")), " ").alias("stems"))
 
 
 # ---- logs ---------------------------------------------------------------------------------------------------------------
@@ -640,7 +652,7 @@ def audit_worksheet(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT query_id, sha256(text) AS question_hash, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS chunk_ids, count(*)::INT AS retrieved_count, max(dense_score)::FLOAT AS top_score FROM (" + _hybrid_sql() + ") JOIN benchmark ON item_id = query_id GROUP BY query_id, text")
 def audit_projection(spark: SparkSession, d: str) -> DataFrame:
     asked = questions(spark, d)
-    rows = audit.audit_rows(retrieval.hybrid(asked, chunks(spark, d)), asked.select("query_id", F.col("text").alias("question")), "search")
+    rows = audit.audit_rows(retrieval.hybrid(asked, chunks(spark, d), analyse=T.tokens), asked.select("query_id", F.col("text").alias("question")), "search")
     return rows.select("query_id", "question_hash", F.array_join("chunk_ids", ",").alias("chunk_ids"), "retrieved_count", "top_score")
 
 
@@ -676,28 +688,48 @@ def faithfulness(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- answers, sheets, chunks ----------------------------------------------------------------------------------------------
 
-_ANSWER = "concat(role, ' says [', turn + 1, '] and [2-', turn + 2, ']')"
+#: Turns as answers: a list, a range and something in brackets, made of the turn's own numbers, behind its text; each fifth says that nothing was found.
+_ANSWER = f"""CASE WHEN (conv_id + turn) % 5 = 0 THEN '{answers.EMPTY_ANSWER}'
+  ELSE concat(coalesce(text, ''), ' [', turn, ', ', conv_id % 120, '] and [', conv_id % 7, '-', conv_id % 90, '] or [', role, ']') END"""
+_CITED = f"""
+WITH a AS (SELECT conv_id, turn, {_ANSWER} AS answer FROM conversations),
+p AS (SELECT conv_id, turn, unnest(string_split(g, ',')) AS p FROM (SELECT conv_id, turn, unnest(regexp_extract_all(answer, '\\[([0-9 ,\\t\\n–—-]+)\\]', 1)) AS g FROM a)),
+r AS (SELECT *, TRY_CAST(regexp_extract(p, '^\\s*([0-9]+)', 1) AS BIGINT) AS first, TRY_CAST(regexp_extract(p, '([0-9]+)\\s*$', 1) AS BIGINT) AS last FROM p WHERE regexp_matches(p, '^\\s*[0-9]+\\s*([–—-]\\s*[0-9]+\\s*)?$')),
+c AS (SELECT DISTINCT conv_id, turn, unnest(range(first, last + 1)) AS id FROM r WHERE last - first BETWEEN 0 AND 50)"""
 
 
-@query("SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_append(range(2, turn + 3), turn + 1))), ',') AS cited FROM conversations")
+@query(_CITED + """
+SELECT conv_id, turn, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id), '') AS cited FROM a LEFT JOIN c USING (conv_id, turn) GROUP BY conv_id, turn""")
 def citation_parse(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_ANSWER).alias("answer"))
     return rows.select("conv_id", "turn", F.array_join(answers.cited(F.col("answer")), ",").alias("cited"))
 
 
-@query("""
-SELECT conv_id, turn, concat_ws(',', CASE WHEN turn > 0 THEN 'invalid_citation' END, CASE WHEN role = 'user' THEN 'uncited_answer' END) AS warnings FROM conversations""")
+@query(_CITED + f"""
+SELECT conv_id, turn, concat_ws(',', CASE WHEN count(*) FILTER (id NOT IN (1, 2) AND id <= 99) > 0 THEN 'invalid_citation' END,
+  CASE WHEN count(*) FILTER (id IN (1, 2)) = 0 AND any_value(answer) <> '{answers.EMPTY_ANSWER}' THEN 'uncited_answer' END) AS warnings FROM a LEFT JOIN c USING (conv_id, turn) GROUP BY conv_id, turn""")
 def citation_warnings(spark: SparkSession, d: str) -> DataFrame:
-    """Sources 1 and 2 exist; a user's turn cites another one only."""
-    answer = F.when(F.col("role") == "user", F.when(F.col("turn") > 0, "see [9]").otherwise("see")).otherwise(F.expr(_ANSWER))
+    """Sources 1 and 2 exist."""
     valid = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(answers.warnings(answer, valid), ",").alias("warnings"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_ANSWER).alias("answer"))
+    return rows.select("conv_id", "turn", F.array_join(answers.warnings(F.col("answer"), valid), ",").alias("warnings"))
+
 
+#: Turns as answers that refuse, nearly refuse, or don't.
+_REFUSING = f"""CASE (conv_id + turn) % 6 WHEN 0 THEN ' {answers.EMPTY_ANSWER} '
+  WHEN 1 THEN concat('{answers.EMPTY_ANSWER[:-1]}', chr(10), chr(10), 'closest related material: v1.', turn, ' of ', role, ' [', conv_id, '].')
+  WHEN 2 THEN concat('{answers.EMPTY_ANSWER}', chr(10), coalesce(text, ''))
+  WHEN 3 THEN concat('These ', role, ' notes do not bear on the question at all.', CASE WHEN turn % 2 = 0 THEN concat(chr(10), 'Closest related material: one. Two [1].') ELSE '' END)
+  WHEN 4 THEN concat('Yes. They do not bear on the question.', role) ELSE coalesce(text, '') END"""
 
-@query("SELECT conv_id, turn, turn = 0 AS refused FROM conversations")
+
+@query(f"""
+WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split({_REFUSING}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM conversations)
+SELECT conv_id, turn, coalesce((l[1] IN ('{answers.EMPTY_ANSWER}', '{answers.EMPTY_ANSWER[:-1]}') OR regexp_matches(l[1], '(?i)^[^.!?]*\\bdo not bear on the question( at all)?\\.?$'))
+  AND (len(l) = 1 OR len(l) = 2 AND regexp_matches(l[2], '(?i)^closest related material:([^\\[\\].!?]|[.!?]+[^\\s\\[\\].!?])*\\[\\d+\\]\\s*\\.?$')), false) AS refused FROM l""")
 def refusal_flag(spark: SparkSession, d: str) -> DataFrame:
-    answer = F.when(F.col("turn") == 0, F.concat(F.lit(answers.EMPTY_ANSWER + "\n"), F.lit("Closest related material: "), F.col("role"), F.lit(" [1]."))).otherwise(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", answers.is_refusal(answer).alias("refused"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_REFUSING.replace("chr(10)", "char(10)")).alias("answer"))
+    return rows.select("conv_id", "turn", answers.is_refusal(F.col("answer")).alias("refused"))
 
 
 def sheets(spark: SparkSession, d: str) -> DataFrame:
@@ -732,12 +764,13 @@ def redact_text(spark: SparkSession, d: str) -> DataFrame:
     return redaction.redact_documents(docs)
 
 
-@query("SELECT o_orderkey, CASE o_orderpriority WHEN '2-HIGH' THEN 'tax-form+amount' ELSE '' END AS labels FROM orders WHERE o_orderpriority <> '1-URGENT'")
+@query(f"""
+SELECT doc_id, array_to_string(labels, ',') AS labels FROM (SELECT doc_id, list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS labels FROM documents)
+WHERE NOT list_has_any(labels, [{", ".join(f"'{x}'" for x in identifiers.IDENTIFYING)}])""")
 def generation_screen(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as passages: urgent ones hold an identifier, high ones name a tax form with an amount."""
-    text = F.expr("case o_orderpriority when '1-URGENT' then 'order 123-45-6789' when '2-HIGH' then 'Form 1040 shows $100' else 'an order' end")
-    kept = redaction.generation_screen(table(spark, d, "orders").select("o_orderkey", text.alias("text")))
-    return kept.select("o_orderkey", F.array_join("labels", ",").alias("labels"))
+    """Documents as passages: those that hold an identifier are dropped, the rest keep their labels."""
+    kept = redaction.generation_screen(table(spark, d, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 
 @query("""
@@ -751,16 +784,30 @@ def grounding_scorecard(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.grounding_scorecard(rows)
 
 
-@query("SELECT doc_id FROM documents WHERE source <> 'src0'")
+@query("""
+SELECT 'source' AS kind, source AS id FROM (SELECT DISTINCT source FROM documents WHERE source <> 'src0')
+UNION ALL SELECT 'document', doc_id::VARCHAR FROM documents WHERE source IS DISTINCT FROM 'src0'
+UNION ALL SELECT 'chunk', item_id::VARCHAR FROM benchmark ANTI JOIN (SELECT doc_id AS item_id FROM documents WHERE source = 'src0') USING (item_id)
+UNION ALL SELECT 'key', source || '/' || doc_id FROM documents WHERE source = 'src0'""")
 def purge_source(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.concat_ws("/", "source", "doc_id").alias("storage_key"))
-    _, left, _, _ = ingest.purge_source("src0", docs.select("source_id").distinct(), docs, docs.select("document_id"))
-    return left.select("doc_id")
+    """What is left of sources, documents and chunks (the benchmark's items), and the keys of the originals to delete."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.concat_ws("/", "source", "doc_id").alias("storage_key"))
+    parts = ingest.purge_source("src0", docs.select("source_id").distinct(), docs, table(spark, d, "benchmark").select(F.col("item_id").alias("document_id")))
+    named = [p.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id")) for p, kind, c in zip(parts, ("source", "document", "chunk", "key"), ("source_id", "document_id", "document_id", "storage_key"), strict=True)]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
 
 
-@query("SELECT doc_id, lang IN ('en', 'de') AND n_chars >= 100 AS title_only FROM documents WHERE NOT (lang IN ('fr', 'es') AND n_chars < 100)")
+@query("""
+SELECT doc_id, concat_ws(',', CASE WHEN n_chars % 2 = 0 THEN 'createdAt=' || n_chars END, CASE WHEN lang <> 'es' THEN 'docClass=' || doc_class END, 'mimeType=text', CASE WHEN source IS NOT NULL THEN 'title=' || source END,
+  CASE WHEN lang <> 'es' AND doc_class = 'A' THEN 'url=u' || doc_id END) AS fields
+FROM (SELECT *, CASE WHEN lang IN ('en', 'de') AND n_chars >= 1000 THEN 'B' WHEN lang = 'fr' THEN 'C' ELSE 'A' END AS doc_class FROM documents)""")
 def exposed_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose metadata leaves without an address, by class."""
-    docs = table(spark, d, "documents").where("not (lang in ('fr', 'es') and n_chars < 100)")
-    m = F.create_map(F.lit("title"), F.col("source"), F.lit("path"), F.col("lang"), F.lit("url"), F.lit("u"), F.lit("docClass"), F.when(F.col("lang").isin("en", "de") & (F.col("n_chars") >= 100), "B").otherwise("A"))
-    return docs.select("doc_id", (~F.map_contains_key(results.exposed_metadata(m), "url")).alias("title_only"))
+    """Each document's metadata as it leaves: listed fields that have a value, the address for class A only."""
+    kind = F.when(F.col("lang").isin("en", "de") & (F.col("n_chars") >= 1000), "B").when(F.col("lang") == "fr", "C").otherwise("A")
+    m = {
+        "path": F.col("lang"), "secret": F.lit("x"), "title": F.col("source"), "mimeType": F.lit("text"), "url": F.concat(F.lit("u"), F.col("doc_id")),
+        "createdAt": F.when(F.col("n_chars") % 2 == 0, F.col("n_chars").cast("string")), "docClass": F.when(F.col("lang") != "es", kind),
+    }
+    left = results.exposed_metadata(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v)]))
+    fields = F.array_sort(F.transform(F.map_entries(left), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return table(spark, d, "documents").select("doc_id", F.array_join(fields, ",").alias("fields"))

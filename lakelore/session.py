@@ -23,3 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"no table {name}")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder that driver and executors share (``spark.checkpoint.dir``): lineage ends there.
+
+    Only where a session has no such folder (unit tests in local mode) one under the warehouse is set.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.sparkContext.setCheckpointDir(at)
+    return df.checkpoint()

@@ -67,7 +67,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 ids, 64 pieces and 3840 loss-bearing ids.
+    """Sequences of at most 4096 ids, 64 pieces and 4032 loss-bearing ids.
 
     Null and empty texts are one id each; repeated rows and null doc_ids are packed like any other; an empty table gives no rows;
     other columns are left out, whatever their names.

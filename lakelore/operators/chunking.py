@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,6 +35,45 @@ class Pieces:
         return text[: ends[n - 1]] if n < len(ends) else text
 
 
+class Bpe(Pieces):
+    """Tokens of a byte-level BPE vocabulary: the content of a file of ranks (a token in base64 and its rank a line) and the pattern
+    that cuts texts into pieces. The content travels with the measure, about 1 MB, so executors need no file of their own."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        self.ranks, self.pattern = ranks, pattern
+
+    @classmethod
+    def read(cls, path: str, pattern: str) -> Bpe:
+        with open(path, "rb") as f:
+            return cls(f.read(), pattern)
+
+    def _ids(self, text: str) -> list[int]:
+        return _encoding(self.ranks, self.pattern).encode_ordinary(text)
+
+    def _text(self, ids: list[int]) -> str:
+        """Bytes of a character that is cut in two are left out."""
+        return _encoding(self.ranks, self.pattern).decode(ids, errors="ignore")
+
+    def count(self, text: str) -> int:
+        return len(self._ids(text))
+
+    def tail(self, text: str, n: int) -> str:
+        ids = self._ids(text)
+        return self._text(ids[-n:]) if n < len(ids) else text
+
+    def head(self, text: str, n: int) -> str:
+        ids = self._ids(text)
+        return self._text(ids[:n]) if n < len(ids) else text
+
+
+@lru_cache(1)
+def _encoding(ranks: bytes, pattern: str):
+    import tiktoken
+
+    pairs = dict((base64.b64decode(token), int(rank)) for token, rank in map(bytes.split, ranks.splitlines()))
+    return tiktoken.Encoding("measure", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
+
+
 @dataclass(frozen=True)
 class Budget:
     size: int = 800

@@ -751,6 +751,16 @@ def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(docs)
 
 
+@query()
+def chunk_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks within a budget of BPE tokens."""
+    import public_tokenizers
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), F.col("text").alias("markdown"))
+    measure = chunking.Bpe.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return chunking.chunk_documents(docs, measure=measure)
+
+
 @query()
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:
     sheet = F.struct(F.lit("lines").alias("sheet_name"), sheet_type(F.col("headers"), F.col("rows"), F.lit(0)).alias("sheet_type"), "headers", "rows", T.markdown_table(F.col("headers"), F.col("rows")).alias("markdown"))

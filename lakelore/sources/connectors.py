@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-DOCUMENTS = "external_id string, title string, modified_at string, mime_type string, content binary, metadata string, change string"
+DOCUMENTS = "external_id string, title string, modified_at string, mime_type string, content binary, metadata string, change string, position long"
 
 
 def _fs(path: str):
@@ -38,17 +38,18 @@ def _items(path: str, name: str) -> list[dict]:
         return json.loads(f.read())["items"]
 
 
-def _row(item: dict, limit: int) -> tuple:
+def _row(item: dict, limit: int, page: int, place: int) -> tuple:
     content = item.get("content")
     data = content.encode() if content is not None else None
     change = "deleted" if item.get("deleted") else "skipped" if item.get("skipped") or data is not None and len(data) > limit else "upserted"
     keep = change == "upserted"
-    return (item["external_id"], item.get("title"), item.get("modified_at"), item.get("mime_type"), data if keep else None, json.dumps(item.get("metadata") or {}, sort_keys=True), change)
+    return (item["external_id"], item.get("title"), item.get("modified_at"), item.get("mime_type"), data if keep else None, json.dumps(item.get("metadata") or {}, sort_keys=True), change, page << 32 | place)
 
 
 @dataclass
 class _Page(InputPartition):
     name: str
+    number: int
 
 
 class _Batch(DataSourceReader):
@@ -56,11 +57,11 @@ class _Batch(DataSourceReader):
         self.path, self.limit = path, limit
 
     def partitions(self) -> list[_Page]:
-        return [_Page(p) for p in _pages(self.path)] or [_Page("")]
+        return [_Page(p, i) for i, p in enumerate(_pages(self.path))] or [_Page("", 0)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        for item in _items(self.path, partition.name) if partition.name else ():
-            yield _row(item, self.limit)
+        for i, item in enumerate(_items(self.path, partition.name) if partition.name else ()):
+            yield _row(item, self.limit, partition.number, i)
 
 
 class _Stream(SimpleDataSourceStreamReader):
@@ -77,7 +78,7 @@ class _Stream(SimpleDataSourceStreamReader):
             items = _items(self.path, names[page])
             stop = len(items) if end is None or page < end["page"] else end["item"]
             stop = stop if most is None else min(stop, item + most - len(rows))
-            rows += [_row(x, self.limit) for x in items[item:stop]]
+            rows += [_row(items[i], self.limit, page, i) for i in range(item, stop)]
             page, item = (page + 1, 0) if stop >= len(items) else (page, stop)
         return rows, {"page": page, "item": item}
 

@@ -25,55 +25,77 @@ def ship_audit_log(log: DataFrame, sink: Callable[[DataFrame, int], None], check
 
 
 def json_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Writes batch n to its own folder, so shipping it twice changes nothing."""
-    return lambda batch, n: batch.coalesce(1).write.mode("overwrite").json(f"{path}/batch={n}")
+    """Writes batch n to its own folder, so shipping it twice changes nothing; its files, by name, follow the batch's order."""
+    return lambda batch, n: batch.write.mode("overwrite").json(f"{path}/batch={n}")
 
 
 class DocumentTable:
-    """Documents in versioned folders: version n is written whole by batch n and then counts; an unfinished one never does."""
+    """Documents as a base and what has changed since: batch n writes its changes to a folder of its own, which counts once it is
+    finished; an unfinished one never does. Once the changes since a base are half as many as its rows, the next base is
+    written, so taking in a feed costs in proportion to it, whatever the size of its batches."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
+        self.columns = list(spark.createDataFrame([], schema).columns)
 
-    def _folder(self):
+    def _finished(self, kind: str, upto: int | None = None) -> list[int]:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def version(self, below: int | None = None) -> int | None:
-        """The newest finished version (before a batch)."""
-        fs, path = self._folder()
-        if not fs.exists(path(self.path)):
-            return None
-        found = [s.getPath() for s in fs.listStatus(path(self.path))]
-        done = [int(p.getName()[1:]) for p in found if p.getName()[0] == "v" and fs.exists(path(p, "_SUCCESS"))]
-        return max((v for v in done if below is None or v < below), default=None)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        found = [s.getPath() for s in fs.listStatus(at)]
+        done = [int(p.getName().removeprefix(kind)) for p in found if p.getName().startswith(kind) and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(v for v in done if upto is None or v <= upto)
+
+    def version(self, upto: int | None = None) -> int | None:
+        """The newest finished version."""
+        return max(self._finished("changes-", upto) + self._finished("base-", upto), default=None)
+
+    def _base(self, upto: int | None) -> tuple[int, DataFrame]:
+        found = self._finished("base-", upto)
+        at = found[-1] if found else -1
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/base-{at:08d}") if found else self.spark.createDataFrame([], self.schema)
+        return at, rows
+
+    def _changes(self, after: int, upto: int | None) -> DataFrame | None:
+        folders = [f"{self.path}/changes-{v:08d}" for v in self._finished("changes-", upto) if v > after]
+        return self.spark.read.schema(f"{self.schema}, deleted boolean, version long").parquet(*folders) if folders else None
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        return self.spark.createDataFrame([], self.schema) if version is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version:08d}")
-
-    def write(self, documents: DataFrame, version: int) -> None:
-        documents.write.mode("overwrite").parquet(f"{self.path}/v{version:08d}")
+        """The documents as of a version: of each the newest change, or the base. A document keeps its lifecycle until it is deleted."""
+        at, base = self._base(version)
+        changes = self._changes(at, version)
+        if changes is None:
+            return base
+        key = ["source_id", "external_id"]
+        newest = changes.groupBy(*key).agg(F.max_by(F.struct("deleted", *[c for c in self.columns if c not in key]), "version").alias("new"), F.bool_or("deleted").alias("was_deleted"), F.min_by("lifecycle_status", "version").alias("first"))
+        kept = base.join(newest.select(*key), key, "left_anti")
+        before = newest.join(base.select(*key, F.col("lifecycle_status").alias("before")), key, "left").where("not new.deleted")
+        lifecycle = F.coalesce(F.when(~F.col("was_deleted"), F.coalesce("before", "first")), F.col("new.lifecycle_status")).alias("lifecycle_status")
+        return kept.unionByName(before.select(*[lifecycle if c == "lifecycle_status" else F.col(c) if c in key else F.col(f"new.{c}") for c in self.columns]))
+
+    def append(self, changes: DataFrame, version: int) -> None:
+        """changes: the table's columns and deleted, one row per document."""
+        changes.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{self.path}/changes-{version:08d}")
+        at, base = self._base(version - 1)
+        if 2 * self._changes(at, version).count() >= base.count():  # counts come from the files' footers
+            self.read(version).write.mode("overwrite").parquet(f"{self.path}/base-{version:08d}")
 
 
 def take_in(feed: DataFrame, table: DocumentTable, source_id: str, checkpoint: str) -> StreamingQuery:
-    """Merge a streamed change feed into a table: the last change of a document in a batch counts, deletions take it out,
-    skipped ones leave what is there. The offset is kept only once the batch is written."""
-    columns = ["source_id", "external_id", "title", "content_hash", "markdown", "lifecycle_status"]
+    """Merge a streamed change feed into a table: the last change of a document in a batch counts (by its position in the feed),
+    deletions take it out, skipped ones leave what is there. The offset is kept only once the batch is written."""
 
     def merge(batch: DataFrame, n: int) -> None:
-        before = table.version(n)
-        current = table.read(before) if before is not None else table.spark.createDataFrame([], table.schema)
         text = F.decode("content", "utf-8")
-        rows = batch.where("change <> 'skipped'").withColumn("__seq", F.monotonically_increasing_id())
-        last = rows.groupBy("external_id").agg(F.max_by(F.struct("change", "title", text.alias("markdown")), "__seq").alias("r"))
-        last = last.select(F.lit(source_id).alias("source_id"), "external_id", "r.*")
-        new = last.where("change = 'upserted'").select(
-            "source_id", "external_id", "title", ingest.content_hash(F.col("markdown")).alias("content_hash"), "markdown", F.lit("active").alias("lifecycle_status")
-        )
-        merged = ingest.upsert(ingest.delete_documents(current, last.where("change = 'deleted'")), new)
-        table.write(merged.select(*columns), n)
+        last = batch.where("change <> 'skipped'").groupBy("external_id").agg(F.max_by(F.struct("change", "title", text.alias("markdown")), "position").alias("r"))
+        table.append(
+            last.select(
+                F.lit(source_id).alias("source_id"), "external_id", "r.title", ingest.content_hash(F.col("r.markdown")).alias("content_hash"), "r.markdown",
+                F.lit("active").alias("lifecycle_status"), (F.col("r.change") == "deleted").alias("deleted"),
+            ), n,
+        )
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

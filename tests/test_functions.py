@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,8 +123,18 @@ def test_separated():
 
 def test_embedding(spark):
     v = E.embed_words("cat dog cat", 768)
-    assert abs(sum(x * x for x in v) - 1) < 1e-9 and v == E.embed_words("CAT dog, cat", 768)
-    assert not any(E.embed_words("", 768))
+    assert abs(sum(x * x for x in v) - 1) < 1e-9 and v.tolist() == E.embed_words("CAT dog, cat", 768).tolist()
+    assert not E.embed_words("a \u00e9 !", 768).any()
+    # The fixed algorithm, step by step.
+    want = [0.0] * 768
+    for word in ["cat", "dog", "cat", "x1"]:
+        d = hashlib.sha256(word.encode()).digest()
+        want[int.from_bytes(d[:4], "big") % 768] += 1
+        want[int.from_bytes(d[4:8], "big") % 768] += 1 if d[8] % 2 == 0 else -1
+    norm = sum(x * x for x in want) ** 0.5
+    assert np.allclose(E.embed_words("Cat, dog-cat a x1", 768), [x / norm for x in want], atol=1e-12)
+    got = E.embed(spark.createDataFrame([(1, "cat"), (2, None)], "i long, text string")).orderBy("i").collect()
+    assert np.allclose(got[0].embedding, E.embed_words("cat", 768), atol=1e-7) and not any(got[1].embedding)
     with pytest.raises(Exception, match="zeros"):
         spark.range(1).select(E.normalised(F.array(F.lit(0.0)))).collect()
     with pytest.raises(Exception, match="finite"):

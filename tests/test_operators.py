@@ -1,7 +1,12 @@
+import random
+import re
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from lakelore.functions.english import stem
+from lakelore.functions.text import STOPWORDS
 from lakelore.operators import access, chunking as C, evaluation, ingest, redaction as R, results, retrieval
 from tests.conftest import rows
 
@@ -20,6 +25,41 @@ def _chunks(spark):
 def _questions(spark, scope):
     return spark.createDataFrame([(1, "common word3", [1.0, 7.0], scope)], "query_id long, text string, embedding array<double>, scope array<string>")
 
+def test_search_is_english(spark):
+    """Stems meet, stop words don't count, a question of stop words alone matches nothing; scores are those of a plain count."""
+    texts = ["The policy of the house", "Policies and more policies", "A dog runs", "running dogs", "what is this", None]
+    chunks = spark.createDataFrame([(i, i, "s", t, None, "active") for i, t in enumerate(texts)], "chunk_id long, document_id long, source_id string, text string, embedding array<double>, lifecycle_status string")
+    asked = spark.createDataFrame([(1, "policies", None, None), (2, "the run of a dog", None, None), (3, "what is the", None, None)], "query_id long, text string, embedding array<double>, scope array<string>")
+    words = [[stem(w) for w in re.findall(r"\w+", (t or "").lower()) if w not in STOPWORDS] for t in texts]
+    want = {}
+    for q, t in ((1, "policies"), (2, "run dog")):
+        for c, has in enumerate(words):
+            if n := sum(has.count(stem(w)) for w in t.split()):
+                want[q, c] = round(n * 0.1, 6)
+    wanted = retrieval.asked_lexemes(asked).select("lexeme").distinct()
+    for posted in (retrieval.postings(chunks), retrieval.postings(chunks, wanted=wanted)):
+        assert {(r.query_id, r.chunk_id): r.score for r in retrieval.sparse_top(asked, posted, 9).collect()} == want
+    assert {(1, 0), (1, 1), (2, 2), (2, 3)} == set(want)
+    found = retrieval.hybrid(asked, chunks, posted=retrieval.postings(chunks)).collect()
+    assert {(r.query_id, r.chunk_id) for r in found} == set(want) and all(r.keyword_coverage == 1 for r in found)
+
+
+def test_dense_top_is_the_plain_one(spark, monkeypatch):
+    """Ties by chunk_id, scopes, blocks of queries, and chunks that match nothing."""
+    rng = random.Random(31)
+    vector = lambda: [float(rng.randint(-2, 2)) for _ in range(3)]
+    chunks = [(i, f"s{i % 3}", vector() if i % 11 else None if i % 2 else [1.0]) for i in range(200)]
+    asked = [(q, vector(), rng.choice([None, [], ["s1"], ["s0", "s2"]])) for q in range(12)]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = []
+    for q, v, scope in asked:
+        scored = [(-round(cosine(v, c), 6), i) for i, s, c in chunks if c and len(c) == 3 and any(c) and any(v) and (scope is None or s in scope)]
+        want += [(q, i, k + 1) for k, (_, i) in enumerate(sorted(scored)[:7])]
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 5 * 3 * 8)
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, scope array<string>")
+    rows = spark.createDataFrame(chunks, "chunk_id long, source_id string, embedding array<double>").repartition(3)
+    assert sorted((r.query_id, r.chunk_id, r.rank) for r in retrieval.dense_top(queries, rows, 7).collect()) == sorted(want)
+
 
 def test_withdrawn_is_never_served_and_takes_no_place(spark):
     found = retrieval.hybrid(_questions(spark, None), _chunks(spark), retrieval.Fusion(top_k=8))
@@ -229,3 +269,41 @@ def test_windows_of_a_long_document_are_an_error(spark):
     assert [(r.document_id, r.text) for r in R.scan_windows(docs, chars=2).orderBy("document_id", "window").collect()] == [(1, "ab"), (1, "cd"), (1, "e"), (2, "")]
     with pytest.raises(Exception, match="windows"):
         R.scan_windows(docs, chars=2, most=2).collect()
+
+
+def test_chunks_within_a_budget_of_bpe_tokens(spark):
+    """Every word of the text is in a chunk, each chunk within its size beside its overlap, and tails and heads are whole characters."""
+    import public_tokenizers
+    import tiktoken
+
+    measure = C.Bpe.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(41)
+    words = [rng.choice(["alpha", "naïve", "漢字", "x" * 9, "1234", "été"]) + rng.choice(["", ".", ","]) for _ in range(3000)]
+    text = "\n\n".join(" ".join(words[i : i + 37]) for i in range(0, 3000, 37))
+    docs = spark.createDataFrame([(1, "t", text), (2, None, None)], "document_id long, title string, markdown string")
+    got = C.chunk_documents(docs, C.Budget(size=200, overlap=20, most=300), measure).orderBy("ordinal").collect()
+    assert all(r.token_count <= 260 and r.token_count == measure.count(r.text) for r in got) and len(got) > 30
+    joined = " ".join(r.text for r in got)
+    assert all(p.strip() in joined for p in text.split("\n\n"))
+    assert measure.tail("漢字", 1) in ("", "字") and measure.head("漢字", 1) in ("", "漢") and measure.tail("a b", 9) == "a b"
+    assert isinstance(C._encoding(measure.ranks, measure.pattern), tiktoken.Encoding)
+
+
+def test_sections_by_a_plain_stack():
+    """Headings above each line, found anew for every section."""
+    rng = random.Random(42)
+    for _ in range(200):
+        lines = [rng.choice(["# a", "## b", "### c", "###### f", "text", "", "```", "#no"]) for _ in range(rng.randint(0, 14))]
+        want, stack, body, code = [], [], [], False
+        for line in [*lines, "# end"]:
+            mark = line.startswith("```")
+            head = re.match(r"(#{1,6})\s+(.+)", line) if not (code or mark) or line == "# end" else None
+            code ^= mark
+            if head:
+                if "\n".join(body).strip():
+                    want.append(([t for _, t in stack], "\n".join(body).strip()))
+                stack = [x for x in stack if x[0] < len(head[1])] + [(len(head[1]), head[2])]
+                body = []
+            else:
+                body.append(line)
+        assert C.sections("\n".join(lines)) == (want or [([], "\n".join(lines).strip())])

@@ -49,12 +49,21 @@ def edges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+def sums(codes: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial of all bytes up to each place; between() makes hashes of any stretches of it."""
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers()[0][: len(codes)], out=out[1:])
+    return out
+
+
+def between(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch: the polynomial of its bytes, mixed with its length."""
+    return mixed((total[ends] - total[starts]) * powers()[1][starts] + (ends - starts).astype(np.uint64) * ODD[2])
+
+
 def stretches(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each stretch of ``codes``: a polynomial of its bytes, mixed with its length."""
-    up, down = powers()
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * ODD[2])
+    """A hash of each stretch of ``codes``."""
+    return between(sums(codes), starts, ends)
 
 
 def _of_block(data: bytes) -> np.ndarray:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, identified, settle, worker_memory
-from .hashing import BLOCK, ODD, blocks, edges, mixed, stretches
+from .hashing import BLOCK, ODD, between, blocks, edges, stretches, sums
 
 #: The trait of a word that repeats the one before.
 REPEATS = np.uint64(1)
@@ -51,16 +51,16 @@ def _of_block(codes: np.ndarray, lower: np.ndarray) -> tuple[list[np.ndarray], i
     turn = np.concatenate([[True], shape[1:] != shape[:-1]])
     turn[starts] = True
     before = np.concatenate([[0], np.cumsum(turn)])
-    found.append(mixed(stretches(shape[turn], before[starts], before[ends]) + ODD[0]))
+    found.append(stretches(shape[turn], before[starts], before[ends]) ^ ODD[0])
     # Letters: all of a word's, and the first 3, 4 and 5 of longer ones.
     letter = _LETTER[codes]
     before = np.concatenate([[0], np.cumsum(letter)])
-    first, last, letters = before[starts], before[ends], lower[letter]
+    first, last, letters = before[starts], before[ends], sums(lower[letter])
     some = last > first
-    found.append(mixed(stretches(letters, first[some], last[some]) + ODD[1]))
+    found.append(between(letters, first[some], last[some]) ^ ODD[1])
     for n in (3, 4, 5):
-        longer = last - first > n
-        found.append(mixed(stretches(letters, first[longer], first[longer] + n) + ODD[3]))
+        longer = first[last - first > n]
+        found.append(between(letters, longer, longer + n) ^ ODD[3])
     return found, len(starts)
 
 

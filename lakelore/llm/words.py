@@ -35,16 +35,17 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.alphabet)
         ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        if len(self) >= self.keep:
-            self.clear()
-        self[piece] = ids
+        if len(piece) <= 64:  # so what is kept is bounded in bytes too
+            if len(self) >= self.keep:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, vocabulary: str, keep: int = 150_000):
+    def __init__(self, vocabulary: str, keep: int = 400_000):
         """vocabulary: the tokenizer's JSON text, not a path, so executors need no file of their own."""
         from tokenizers import Tokenizer
 

@@ -69,6 +69,7 @@ class Scratch:
         for b in self.shared:
             b.destroy()
         self.paths, self.shared = [], []
+        _released()
 
 
 #: What operators keep in a Python worker from task to task, by operator.
@@ -161,6 +162,16 @@ def join_one(big: DataFrame, small: DataFrame, keys: list[str], count: str = "n"
     return big.join(F.broadcast(hot), keys).unionByName(dealt)
 
 
+#: Cells of a table, at most, with which it is broadcast to a join: some MB.
+FEW = 600_000
+
+
+def if_few(small: DataFrame, each: Column | int = 3) -> DataFrame:
+    """A settled table, to be broadcast if it is counted and small; ``each``: cells of a row. Else the join deals both sides by key."""
+    cells = small.agg(F.sum(each if isinstance(each, Column) else F.lit(each))).first()[0] or 0
+    return F.broadcast(small) if cells <= FEW else small
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, with underscores until no column has it."""
     while name.lower() in {c.lower() for c in docs.columns}:

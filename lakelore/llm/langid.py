@@ -18,9 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch, worker_memory
+from .common import Scratch, if_few, settle, worker_memory
 
 UNDETERMINED = "und"
 #: Classes of hashed n-grams.
@@ -155,7 +155,7 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     def cut(of: DataFrame) -> DataFrame:
         return of.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= per_lang)
 
-    last = cut(rows.select("lang", "hash")).groupBy("lang").agg(F.max("hash").alias("last"))  # one row per language
+    last = if_few(settle(cut(rows.select("lang", "hash")).groupBy("lang").agg(F.max("hash").alias("last"))))  # one row per language
     return cut(rows.join(last, "lang").where("hash <= last")).select("lang", "text")
 
 
@@ -168,8 +168,11 @@ def _with_letters(batches: Iterator) -> Iterator:
             yield batch.filter(pa.array([counts(t.as_py(), 1).any() for t in batch.column(1)], pa.bool_()))
 
 
-def _summed(known: DataFrame, buckets: int) -> Sums:
-    """Sums of the sample, made by tasks of some thousand rows each; the driver adds them up one at a time."""
+def _solved(known: DataFrame, buckets: int, work: Scratch) -> Model:
+    """solve() over the sums of a sample. Tasks of some thousand rows sum up their own; one task, of fixed size, adds these up a part
+    at a time and solves, with the one thread that Spark gives a task's linear algebra. The driver gets the model."""
+    import pickle
+
     n = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
 
     def run(batches: Iterator) -> Iterator:
@@ -191,30 +194,22 @@ def _summed(known: DataFrame, buckets: int) -> Sums:
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([products.tobytes()])], names=["lang", "sum"])
 
-    out = Sums(n, {k: np.zeros(buckets) for k in n}, np.zeros((buckets, buckets)))
-    tasks = max(1, -(-sum(n.values()) // 5000))
-    for r in known.repartition(tasks, F.xxhash64("text")).mapInArrow(run, "lang string, sum binary").toLocalIterator():
-        if r.lang is None:
-            out.products += np.frombuffer(r.sum, np.float32).reshape(buckets, buckets)
-        else:
-            out.features[r.lang] += np.frombuffer(r.sum)
-    return out
-
-
-def _solved(spark: SparkSession, sums: Sums, work: Scratch) -> Model:
-    """solve() in a task: of fixed size, and with the one thread that Spark gives a task's linear algebra."""
-    import pickle
-
-    shared = work.broadcast(sums)
-
-    def run(batches: Iterator) -> Iterator:
+    def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         with worker_memory("langid"):
-            for _ in batches:
-                yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(solve(shared.value))]})
+            out = Sums(n, {k: np.zeros(buckets) for k in n}, np.zeros((buckets, buckets)))
+            for batch in batches:
+                for lang, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if lang is None:
+                        out.products += np.frombuffer(part.as_buffer(), np.float32).reshape(buckets, buckets)
+                    else:
+                        out.features[lang] += np.frombuffer(part.as_buffer())
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(solve(out))]})
 
-    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "model binary").first().model)
+    tasks = max(1, -(-sum(n.values()) // 5000))
+    parts = work.settle(known.repartition(tasks, F.xxhash64("text")).mapInArrow(run, "lang string, sum binary"))
+    return pickle.loads(parts.coalesce(1).mapInArrow(add, "model binary").first().model)
 
 
 def _right(known: DataFrame, model: Model) -> dict[str, np.ndarray]:
@@ -240,11 +235,11 @@ def _right(known: DataFrame, model: Model) -> dict[str, np.ndarray]:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300, buckets: int = BUCKETS) -> Model:
     """Train on a sample of ``per_lang`` rows a language (see sample()); rows without a letter teach nothing. No rows: no languages.
 
-    The driver gets languages x buckets and buckets x buckets numbers, whatever the number of rows.
+    The driver gets languages x bits and buckets x bits numbers, whatever the number of rows.
     """
     work = Scratch(docs.sparkSession)
     known = work.settle(sample(docs, doc_id, text, lang, per_lang).mapInArrow(_with_letters, "lang string, text string"))
-    model = _solved(docs.sparkSession, _summed(known, buckets), work)
+    model = _solved(known, buckets, work) if known.limit(1).count() else solve(Sums({}, {}, np.zeros((buckets, buckets))))
     out = trusted(model, _right(known, model)) if model.langs else model
     work.drop()
     return out

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch, filled, free_name, join_one, settle, with_row_id
+from .common import Scratch, filled, free_name, if_few, join_one, settle, with_row_id
 
 #: What is trimmed from a line, and what a word is made of.
 _SPACE, _WORD = " \t\n\x0b\f\r", r"[^\x20\x09-\x0D]+"
@@ -90,8 +90,8 @@ def without(parts: Column, gone: Column) -> Column:
 def with_gone(docs: DataFrame, row: str, gone: DataFrame, counts: dict[str, Column], name: str) -> DataFrame:
     """``docs`` with ``name``, the stretches (__row, since, to) to delete in order, null if there is none, and ``counts`` over them."""
     each = gone.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("since", "to"))).alias("gone"), *[c.alias(n) for n, c in counts.items()])
-    each = each.select(F.col("__row").alias(row), F.col("gone").alias(name), *[F.col(n).alias(name + n) for n in counts])
-    return docs.join(each, row, "left")
+    each = settle(each.select(F.col("__row").alias(row), F.col("gone").alias(name), *[F.col(n).alias(name + n) for n in counts]))
+    return docs.join(if_few(each, 2 * F.size(name) + 4), row, "left")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

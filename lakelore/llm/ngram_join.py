@@ -32,7 +32,7 @@ from fractions import Fraction
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, filled, identified, join_one, settle, worker_memory
+from .common import Scratch, filled, identified, if_few, join_one, settle, worker_memory
 from .components import components
 from .hashing import ODD, mixed, word_hashes
 
@@ -149,8 +149,9 @@ def _profile(rows: DataFrame) -> DataFrame:
     return rows.select("__row.file", "__row.row", "text").mapInArrow(run, "file long, row long, n long, id binary, short long, part long, slot long, counts binary")
 
 
-def _counters(blocks: DataFrame, work: Scratch, fan: int = 256) -> np.ndarray:
-    """The sum of all tasks' counters, held at 2**32 - 1: at most ``fan`` of a slot meet in one group, in as many rounds as that takes."""
+def _rarity(blocks: DataFrame, work: Scratch, fan: int = 256) -> np.ndarray:
+    """A class of rarity for each counter, from the sum of all tasks' counters, held at 2**32 - 1. At most ``fan`` blocks of a slot
+    meet in one group, in as many rounds as that takes; the driver gets 8 MB at any size of the corpus."""
 
     def add(some):
         import pyarrow as pa
@@ -161,15 +162,22 @@ def _counters(blocks: DataFrame, work: Scratch, fan: int = 256) -> np.ndarray:
             total = np.where(total > np.uint32(2**32 - 1) - more, np.uint32(2**32 - 1), total + more)
         return pa.table({"part": some.column("part")[:1], "slot": some.column("slot")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
+    def classed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [classes_of(np.frombuffer(zlib.decompress(c.as_py()), np.uint32)).tobytes() for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["slot", "classes"])
+
     tasks = (blocks.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         blocks = work.settle(blocks.withColumn("part", F.floor(F.col("part") / fan)).groupBy("slot", "part").applyInArrow(add, "part long, slot long, counts binary"))
         tasks = -(-tasks // fan)
         if tasks <= 1:
             break
-    found = np.zeros((SLOTS, COUNTERS // SLOTS), np.uint32)
-    for r in blocks.toLocalIterator():  # 64 rows, 32 MB in all at any size of the corpus
-        found[r.slot] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
+    found = np.zeros((SLOTS, COUNTERS // SLOTS), np.uint8)
+    for r in blocks.select("slot", "counts").mapInArrow(classed, "slot long, classes binary").toLocalIterator():
+        found[r.slot] = np.frombuffer(r.classes, np.uint8)
     return found.reshape(-1)
 
 
@@ -208,8 +216,6 @@ def _prefixes(rows: DataFrame, shared, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "token long, short long, n int, pos int")
 
 
-#: Names, at most, that are broadcast to a scan: 24 bytes each.
-FEW = 200_000
 #: Bytes of sets in a batch that a task sends on.
 _BATCH = 8 << 20
 
@@ -236,8 +242,7 @@ def _sets(rows: DataFrame, chosen: DataFrame, shared) -> DataFrame:
             if ids:
                 yield out()
 
-    named = F.broadcast(chosen) if chosen.count() <= FEW else chosen
-    return rows.select("__row", "text").join(named, "__row").select("id", "text").mapInArrow(run, "id binary, set binary")
+    return rows.select("__row", "text").join(if_few(chosen), "__row").select("id", "text").mapInArrow(run, "id binary, set binary")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, shared, work: Scratch) -> DataFrame:
@@ -311,7 +316,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     rows = identified(docs, {"doc_id": F.col(f"`{doc_id}`"), "text": filled(F.col(f"`{text}`"))}, row)
     work = Scratch(docs.sparkSession)
     profile = work.settle(_profile(rows))
-    shared = work.broadcast(classes_of(_counters(profile.where("counts is not null").select("part", "slot", "counts"), work)))  # 8 MB at any size
+    shared = work.broadcast(_rarity(profile.where("counts is not null").select("part", "slot", "counts"), work))
     each = profile.where("file is not null").select(F.struct("file", "row").alias("__row"), "n", "id", "short")
     named = each.where("n > 0").groupBy("short", "id").agg(F.min("__row").alias("__row"))
     nodes = work.settle(named)

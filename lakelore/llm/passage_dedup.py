@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, filled, free_name, join_one, settle, with_row_id
+from .common import Scratch, filled, free_name, if_few, join_one, settle, with_row_id
 from .line_dedup import dedup_lines, stretches, with_gone, without
 
 _SPACE, _SPACES, _WORD = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
@@ -76,7 +76,7 @@ def later_passages(rows: DataFrame, min_words: int = 50) -> DataFrame:
 
     left = told.where("not whole")
     edges = join_one(left, several(left), ["g"]).groupBy("__row").agg(F.collect_set("at").alias("ats"))
-    near = rows.join(edges, "__row").select("__row", "doc_id", "ats", _hashes(filled(F.col("text"))).alias("h"))
+    near = rows.join(if_few(work.settle(edges), F.size("ats") + 3), "__row").select("__row", "doc_id", "ats", _hashes(filled(F.col("text"))).alias("h"))
     begins = F.flatten(F.transform("ats", lambda p: F.sequence(F.greatest(p - before, F.lit(0)), F.least(p, F.size(h) - min_words))))
     near = near.select("__row", "doc_id", "h", F.array_distinct(begins).alias("begins"))
 

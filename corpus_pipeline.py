@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakelore.llm import langid, ngram_join, passage_dedup, quality
-from lakelore.llm.common import free_name, settle, with_row_id
+from lakelore.llm.common import free_name, if_few, settle, with_row_id
 from lakelore.llm.queries import packed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,10 +21,11 @@ _WORD = r"text rlike '[^\\x20\\x09-\\x0D]'"
 
 
 def _those(docs: DataFrame, judged: Callable[[DataFrame, str], DataFrame], stays: str) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` (given them and the name of their row ids) marks by ``stays``."""
+    """The rows of ``docs`` but those that ``judged`` (given them and the name of their row ids) does not mark by ``stays``."""
     row = free_name(docs, "__row")
     rows = with_row_id(docs, row)
-    return rows.join(judged(rows, row).where(stays).select(row), row, "left_semi").select(*COLUMNS)
+    gone = settle(judged(rows, row).where(f"not {stays}").select(row))
+    return rows.join(if_few(gone), row, "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

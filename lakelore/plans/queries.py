@@ -563,28 +563,48 @@ def corpus_screen(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.screen_inventory(hits, [n for n, _ in identifiers.SCREEN_PATTERNS])
 
 
+def _may_hold(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, doc_id, text: documents with the rarest word of a benchmark item, whatever stands between its words. The first and
+    last word may be cut within a document's word, so they don't choose."""
+    items = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens"))
+    inner = F.array_except(F.array_distinct("tokens"), F.array(F.element_at("tokens", 1), F.element_at("tokens", -1)))
+    words = items.where("size(tokens) > 0").select("item_id", F.explode(inner).alias("lexeme"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    has = docs.select("doc_id", F.explode(T.lexemes(F.col("text"))).alias("lexeme")).join(words.select("lexeme").distinct(), "lexeme", "left_semi")
+    rarest = words.join(has.groupBy("lexeme").agg(F.count("*").alias("n")), "lexeme").groupBy("item_id").agg(F.min_by("lexeme", F.struct("n", "lexeme")).alias("lexeme"))
+    return has.join(rarest, "lexeme").join(docs, "doc_id").select("item_id", "doc_id", "text")
+
+
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_exact(spark: SparkSession, d: str) -> DataFrame:
     """Which documents hold a quote: documents with its rarest word, then the text itself."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    words = items.select("item_id", "quote", F.explode(T.lexemes(F.col("quote"))).alias("lexeme"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    has = docs.select("doc_id", F.explode(T.lexemes(F.col("text"))).alias("lexeme"))
-    wanted = words.select("lexeme").distinct()
-    common = has.join(wanted, "lexeme").groupBy("lexeme").agg(F.count("*").alias("n"))
-    # The first and last word may be cut within a document's word, so they don't choose.
-    inner = words.where(~F.array_contains(F.array(F.element_at(T.tokens(F.col("quote")), 1), F.element_at(T.tokens(F.col("quote")), -1)), F.col("lexeme")))
-    rarest = inner.join(common, "lexeme").groupBy("item_id", "quote").agg(F.min_by("lexeme", F.struct("n", "lexeme")).alias("lexeme"))
-    return has.join(rarest, "lexeme").join(docs, "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
+    return _may_hold(spark, d).join(items, "item_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
 
 
-@query()
+#: A text's steps of folding, in SQL: white space; typographic characters; marks.
+_PLAIN = "replace(translate({0}, '‘’‚“”„–—−', '''''''\"\"\"---'), '…', '...')"
+_FOLDED = {
+    "whitespace": "trim(regexp_replace({0}, '\\s+', ' ', 'g'))",
+    "unicode": f"trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'))",
+    "markdown": f"trim(regexp_replace(regexp_replace({_PLAIN}, '[*_`#>\\[\\]]', '', 'g'), '\\s+', ' ', 'g'))",
+}
+
+
+@query(f"""
+WITH q AS (SELECT item_id, CASE item_id % 4 WHEN 1 THEN replace(text, ' ', '  ') WHEN 2 THEN translate(text, '-"', '–”') WHEN 3 THEN '**' || text || '**' ELSE text END AS quote FROM benchmark),
+f AS (SELECT *, {", ".join(f"{x.format('quote')} AS q_{n}" for n, x in _FOLDED.items())} FROM q),
+t AS (SELECT doc_id, text, {", ".join(f"{x.format('text')} AS t_{n}" for n, x in _FOLDED.items())} FROM documents)
+SELECT item_id, doc_id, CASE WHEN contains(text, quote) THEN 'exact' WHEN contains(t_whitespace, q_whitespace) THEN 'whitespace' WHEN contains(t_unicode, q_unicode) THEN 'unicode' ELSE 'markdown' END AS rung, q_markdown AS words
+FROM f JOIN t ON contains(t_markdown, q_markdown)""")
 def quote_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """How quotes with doubled spaces are found, and that their spans lead to the source's own words."""
-    items = table(spark, d, "benchmark").select("item_id", F.replace(F.col("text"), F.lit(" "), F.lit("  ")).alias("quote"))
-    texts = quote_exact(spark, d).join(items, "item_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    found = texts.select("item_id", "doc_id", "text", claims.located(F.col("quote"), F.col("text")).alias("at"))
-    return found.select("item_id", "doc_id", "at.rung", F.expr("substring(text, at.start + 1, at.end - at.start)").alias("words"))
+    """How quotes are found that are as they were, with doubled spaces, with typographic dashes and quotes, or marked bold; and the words that their spans lead to."""
+    quote = F.expr("case item_id % 4 when 1 then replace(text, ' ', '  ') when 2 then translate(text, '-\"', '–”') when 3 then concat('**', text, '**') else text end")
+    items = table(spark, d, "benchmark").select("item_id", quote.alias("quote"))
+    found = _may_hold(spark, d).join(items, "item_id").select("item_id", "doc_id", "text", claims.located(F.col("quote"), F.col("text")).alias("at")).where("at.rung <> 'none'")
+    words = F.regexp_replace(F.expr("substring(text, at.start + 1, at.end - at.start)"), r"[*_`#>\[\]]", "")
+    plain = F.replace(F.translate(words, "‘’‚“”„–—−", "'''\"\"\"---"), F.lit("…"), F.lit("..."))
+    return found.select("item_id", "doc_id", "at.rung", F.trim(F.regexp_replace(plain, r"\s+", " ")).alias("words"))
 
 
 @query()

@@ -153,11 +153,11 @@ def join_one(big: DataFrame, small: DataFrame, keys: list[str], count: str = "n"
     Keys that more than a ``share``-th of all rows have, ``share`` at most, are broadcast, so the rows of a hot key stay in
     the tasks they are in. The others are dealt by key.
     """
-    total = small.agg(F.sum(count)).first()[0] or 0
-    least = max(total / share, 1000)
-    hot = small.where(F.col(count) > least).drop(count)
-    if not hot.limit(1).count():
+    total, most = small.agg(F.sum(count), F.max(count)).first()
+    least = max((total or 0) / share, 1000)
+    if (most or 0) <= least:
         return big.join(small.drop(count), keys)
+    hot = small.where(F.col(count) > least).drop(count)
     dealt = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(count) <= least).drop(count), keys)
     return big.join(F.broadcast(hot), keys).unionByName(dealt)
 

@@ -208,7 +208,7 @@ def _solved(known: DataFrame, buckets: int, work: Scratch) -> Model:
             yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(solve(out))]})
 
     tasks = max(1, -(-sum(n.values()) // 5000))
-    parts = work.settle(known.repartition(tasks, F.xxhash64("text")).mapInArrow(run, "lang string, sum binary"))
+    parts = work.settle(known.coalesce(tasks).mapInArrow(run, "lang string, sum binary"))  # a part has 16 MB, so few are made
     return pickle.loads(parts.coalesce(1).mapInArrow(add, "model binary").first().model)
 
 

@@ -151,14 +151,15 @@ def join_one(big: DataFrame, small: DataFrame, keys: list[str], count: str = "n"
     """Inner join with a settled table of one row per key, of which ``count`` says how many rows of ``big`` have the key.
 
     Keys that more than a ``share``-th of all rows have, ``share`` at most, are broadcast, so the rows of a hot key stay in
-    the tasks they are in. The others are dealt by key.
+    the tasks they are in. The others are dealt by key, at any size (a hint says so): such a table grows with the data, and a
+    plan that broadcasts it while it is small would tell nothing of how it runs when it is not.
     """
     total, most = small.agg(F.sum(count), F.max(count)).first()
     least = max((total or 0) / share, 1000)
     if (most or 0) <= least:
-        return big.join(small.drop(count), keys)
+        return big.join(small.drop(count).hint("merge"), keys)
     hot = small.where(F.col(count) > least).drop(count)
-    dealt = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(count) <= least).drop(count), keys)
+    dealt = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(count) <= least).drop(count).hint("merge"), keys)
     return big.join(F.broadcast(hot), keys).unionByName(dealt)
 
 

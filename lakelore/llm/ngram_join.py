@@ -261,7 +261,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, sh
     wanted = both.select(F.col("a").alias("id")).union(both.select("b")).distinct()
     sets = work.settle(_sets(rows, work.settle(nodes.select("__row", "id").join(wanted, "id", "left_semi")), shared))
     of = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"))
-    return work.settle(both.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(same, "a binary, b binary"))
+    return work.settle(if_few(both).join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(same, "a binary, b binary"))
 
 
 def _may_link(small: str, large: str, percent: int) -> Column:

@@ -109,7 +109,7 @@ class DacFile:
         return self.stretch(int(self.firsts[k]), int(self.firsts[k + 1]))
 
 
-def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, ids_per_file: int = 1_000_000) -> DataFrame:
+def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, ids_per_file: int = 4_000_000) -> DataFrame:
     """Encode whole texts (null: empty), append ``end_id`` and write files in ascending doc_id order.
 
     Returns the manifest: part, seq, path, n_docs, n_ids, start (ids before the file). Null doc_ids come
@@ -156,9 +156,12 @@ def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, i
 
     dealt = docs.select("doc_id", filled(F.col("text")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = settle(dealt.mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long"))
-    # One row per file, so even a corpus of 100 TB leaves this window some hundred thousand small rows.
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # What lies before a file: all files of earlier tasks, of which there is one row each, and the earlier files of its own.
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = manifest.groupBy("part").agg(F.sum("n_ids").alias("size"))
+    before = sizes.select("part", F.coalesce(F.sum("size").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n_ids").over(earlier(Window.partitionBy("part").orderBy("seq"))), F.lit(0))
+    return manifest.withColumn("within", within).join(before, "part").select(*manifest.columns, (F.col("before") + F.col("within")).alias("start"))
 
 
 def read(spark: SparkSession, manifest: DataFrame, out: str | None = None, with_ids: bool = False) -> DataFrame:

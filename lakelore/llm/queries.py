@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dac, exact_dedup, langid, line_dedup, ngram_join, packing, passage_dedup, quality, syncmers
+from . import ball_tree, bpe, chat, dac, exact_dedup, langid, line_dedup, ngram_join, packing, passage_dedup, quality, syncmers, vector_codes, warc
 from .common import documents
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -83,6 +83,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(docs, tokenizer(BYTES), keep_ids=False)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.read(spark, warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -96,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_passages": op8_passages,
         "op9_token_files": op9_token_files,
         "op10_bpe": op10_bpe,
+        "op11_warc": op11_warc,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_ball_tree": op13_ball_tree,
     }
 
 
@@ -158,5 +173,59 @@ FROM (
 """
 
 
+#: Payloads are compared as they are.
+_OP11 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+), f AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p
+)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds over x (r, part, pos, x) from b0 (part, entry, pos, c): a{k} assigns, b{k + 1} moves. Every distance is computed."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT r, part, entry, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN b{k} USING (part, pos) GROUP BY ALL) GROUP BY r, part
+)""")
+        if k < rounds:
+            out.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, c) AS c FROM b{k}
+  LEFT JOIN (SELECT part, entry, pos, sum(x) AS s, count(*) AS n FROM a{k} JOIN x USING (r, part) GROUP BY ALL) USING (part, entry, pos)
+)""")
+    return ", ".join(out)
+
+
+_OP12 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS q FROM embeddings WHERE {_SOUND}
+), x AS MATERIALIZED (
+  SELECT r, i // w AS part, i % w AS pos, x FROM (SELECT r, len(q) // 8 AS w, unnest(q) AS x, generate_subscripts(q, 1) - 1 AS i FROM kept)
+), b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x AS c FROM x WHERE r <= 16), {_lloyd(6)}
+, e AS (SELECT r, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b6) AS codebooks_sha256
+FROM e JOIN kept USING (r)
+"""
+
+_OP13 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND {_SOUND}
+), x AS MATERIALIZED (SELECT r, 0 AS part, unnest(q) AS x, generate_subscripts(q, 1) AS pos FROM kept),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x AS c FROM x WHERE r <= 40), {_lloyd(5)}
+SELECT vec_id, entry::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY entry))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a5 JOIN kept USING (r) JOIN (SELECT entry, sha256(string_agg(c::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM b5 GROUP BY entry) USING (entry)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op5_chat": _OP5, "op8_line_dedup": _OP8}
+    return {"op11_warc": _OP11, "op12_vector_codes": _OP12, "op13_ball_tree": _OP13, "op2_exact_dedup": _OP2, "op5_chat": _OP5, "op8_line_dedup": _OP8}

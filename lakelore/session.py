@@ -25,13 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in unit tests without one a folder under the warehouse."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get().rstrip("/")
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that driver and executors share (``spark.checkpoint.dir``): lineage ends there.
-
-    Only where a session has no such folder (unit tests in local mode) one under the warehouse is set.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(at)
+    """``df`` computed once and kept in the shared folder: lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

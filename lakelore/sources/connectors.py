@@ -2,8 +2,8 @@
 
 ``ChangeFeed`` reads a feed of pages: JSON files ``page-00000.json``, ``page-00001.json``, ... in a folder, as an exporter
 lands them. Each page holds ``items``: documents (external_id, title, modified_at, mime_type, content, metadata), tombstones
-(external_id, deleted) and oversized ones (external_id, skipped). A batch read takes the whole feed; a stream's offset is
-the next page and item, and moves past rows only when they are handed over, so a limit never loses what follows it on a page.
+(external_id, deleted) and oversized ones (external_id, skipped); and, if the exporter tells them, the ``cursor`` it was asked with, the
+``next`` one, and whether it is ``done``. A batch read takes the whole feed; a stream takes a number of pages a batch.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+#: Pages of a run, before a continuation takes the next ones; bytes of a document, at most.
+PAGES_PER_RUN, MAX_BYTES = 5, 25 << 20
 DOCUMENTS = "external_id string, title string, modified_at string, mime_type string, content binary, metadata string, change string, position long"
 
 
@@ -32,10 +34,10 @@ def _pages(path: str) -> list[str]:
     return sorted(i.path for i in own.get_file_info(fs.FileSelector(at)) if re.search(r"/page-\d+\.json$", i.path))
 
 
-def _items(path: str, name: str) -> list[dict]:
+def _page(path: str, name: str) -> dict:
     own, _ = _fs(path)
     with own.open_input_stream(name) as f:
-        return json.loads(f.read())["items"]
+        return json.loads(f.read())
 
 
 def _row(item: dict, limit: int, page: int, place: int) -> tuple:
@@ -60,38 +62,43 @@ class _Batch(DataSourceReader):
         return [_Page(p, i) for i, p in enumerate(_pages(self.path))] or [_Page("", 0)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        for i, item in enumerate(_items(self.path, partition.name) if partition.name else ()):
+        for i, item in enumerate(_page(self.path, partition.name)["items"] if partition.name else ()):
             yield _row(item, self.limit, partition.number, i)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, limit: int, most: int):
-        self.path, self.limit, self.most = path, limit, most
+class _PageNames(SimpleDataSourceStreamReader):
+    """Names of the next pages; an offset is the number of pages handed over. Nothing of a page is read here."""
+
+    def __init__(self, path: str, most: int):
+        self.path, self.most = path, most
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"page": 0, "item": 0}
-
-    def _walk(self, start: dict, most: int | None, end: dict | None = None) -> tuple[list[tuple], dict]:
-        rows: list[tuple] = []
-        names, page, item = _pages(self.path), start["page"], start["item"]
-        while page < len(names) and (most is None or len(rows) < most) and (end is None or (page, item) < (end["page"], end["item"])):
-            items = _items(self.path, names[page])
-            stop = len(items) if end is None or page < end["page"] else end["item"]
-            stop = stop if most is None else min(stop, item + most - len(rows))
-            rows += [_row(items[i], self.limit, page, i) for i in range(item, stop)]
-            page, item = (page + 1, 0) if stop >= len(items) else (page, stop)
-        return rows, {"page": page, "item": item}
+        return {"page": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._walk(start, self.most)
-        return iter(rows), end
+        names = _pages(self.path)[start["page"] :][: self.most]
+        return self.readBetweenOffsets(start, end := {"page": start["page"] + len(names)}), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter(self._walk(start, None, end)[0])
+        return iter([(name, start["page"] + i) for i, name in enumerate(_pages(self.path)[start["page"] : end["page"]])])
+
+
+class FeedPages(DataSource):
+    """spark.readStream.format("lakelore-feed-pages"): name, page of each landed page; options path, maxPages a batch."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lakelore-feed-pages"
+
+    def schema(self) -> str:
+        return "name string, page long"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return _PageNames(self.options["path"], int(self.options.get("maxPages", PAGES_PER_RUN)))
 
 
 class ChangeFeed(DataSource):
-    """spark.read.format("lakelore-feed") or readStream: options path, maxBytes (larger documents are skipped), maxItems a batch."""
+    """spark.read.format("lakelore-feed"): options path, maxBytes (larger documents are skipped)."""
 
     @classmethod
     def name(cls) -> str:
@@ -101,10 +108,31 @@ class ChangeFeed(DataSource):
         return DOCUMENTS
 
     def reader(self, schema) -> DataSourceReader:
-        return _Batch(self.options["path"], int(self.options.get("maxBytes", 25 << 20)))
+        return _Batch(self.options["path"], int(self.options.get("maxBytes", MAX_BYTES)))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _Stream(self.options["path"], int(self.options.get("maxBytes", 25 << 20)), int(self.options.get("maxItems", 250)))
+
+def stream_feed(spark: SparkSession, path: str, max_pages: int = PAGES_PER_RUN, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """A streamed feed, ``max_pages`` pages a batch: the rows of ChangeFeed, and per page a row of change "page" behind its others.
+
+    The driver tells the pages' names; each page is read by the task that it is dealt to. The metadata of a "page" row are the page's own: its
+    cursor, the next one, whether it is the last, how many items it holds.
+    """
+    spark.dataSource.register(FeedPages)
+    pages = spark.readStream.format(FeedPages.name()).option("path", path).option("maxPages", max_pages).load()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = pa.schema([("external_id", pa.string()), ("title", pa.string()), ("modified_at", pa.string()), ("mime_type", pa.string()), ("content", pa.binary()), ("metadata", pa.string()), ("change", pa.string()), ("position", pa.int64())])
+        for batch in batches:
+            for name, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = _page(path, name)
+                about = {k: page.get(k) for k in ("cursor", "next", "done")} | {"items": len(page["items"])}
+                rows = [_row(item, max_bytes, number, i) for i, item in enumerate(page["items"])]
+                rows.append((None, None, None, None, None, json.dumps(about), "page", number << 32 | 0xFFFFFFFF))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return pages.repartition(max_pages, "page").mapInArrow(run, DOCUMENTS)
 
 
 #: Kinds of source and how each is read. Hosted ones land their change feed in files first.

@@ -2,8 +2,8 @@
 
 Writing: each row becomes a record of its own, in files of a bounded size under names of the task's own attempt; only
 files of the manifest count, so lost and repeated tasks do no harm. Of rows with equal payloads of ``least`` bytes or more one is
-the response, the others are revisits that name it and hold no payload. Equal means of equal SHA-256 and length; groups are summed up
-before they are shuffled and the rows of a hot payload stay in the tasks they are in.
+the response, the others are revisits that name it and hold no payload. Equal means of equal SHA-256; digests are
+summed up before they are shuffled, and the rows of a hot payload stay in the tasks they are in.
 
 Reading: a record, or the gzip member that holds it, is checked whole: version line, header, length, end mark, the member's own
 checksum, digests of block and payload. After a failed check the reader looks for the next place at which a record or member
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import identified, join_one, settle, shared_dir, shared_fs, worker_memory
+from .common import identified, if_few, join_one, settle, shared_dir, shared_fs, worker_memory
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 #: Bytes of a record's header, at most, and of what is read from a file at once.
@@ -72,15 +72,13 @@ def page_record(row: dict, page_id: int | None, url: str | None, payload: bytes,
 
 
 def _firsts(rows: DataFrame, least: int) -> DataFrame:
-    """``rows`` with first: the row that a revisit refers to, null for responses."""
-    short = rows.where(F.octet_length("payload") < least)
-    long = rows.where(F.octet_length("payload") >= least).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    """``rows`` with first: the row that a revisit refers to, null for responses. Digests travel, and payloads only where revisits are many."""
+    keys = rows.where(F.octet_length("payload") >= least).select("__row", "page_id", "url", F.unhex(F.sha2("payload", 256)).alias("key"))
     best = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.col("__row").alias("row"), "url")).alias("best")
-    groups = settle(long.groupBy("key").agg(F.count("*").alias("n"), best))
-    marked = join_one(long, groups, ["key"])
-    first = F.when(F.col("best.row") != F.col("__row"), F.struct("best.page_id", "best.row", "best.url"))
-    marked = marked.select(*rows.columns, first.alias("first"))
-    return marked.unionByName(short.withColumn("first", F.lit(None).cast(marked.schema["first"].dataType)))
+    groups = settle(keys.groupBy("key").agg(F.count("*").alias("n"), best).where("n > 1"))
+    found = join_one(keys.select("__row", "key"), groups, ["key"]).where(F.col("best.row") != F.col("__row"))
+    revisits = settle(found.select("__row", F.struct("best.page_id", "best.row", "best.url").alias("first")))
+    return rows.join(if_few(revisits, 5 + F.coalesce(F.length("first.url"), F.lit(0)) / 8), "__row", "left")
 
 
 def write(

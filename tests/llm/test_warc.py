@@ -44,7 +44,7 @@ def _got(df):
 def test_pages_round_trip(spark, compress):
     rows = _pages()
     pages = spark.createDataFrame(rows, PAGES).withColumns({"key": F.lit("clash"), "first": F.lit(1), "best": F.lit(2), "n": F.lit(3), "payload": F.lit("x")}).repartition(3)
-    manifest = warc.write(pages, compress=compress, bytes_per_file=20_000)
+    manifest = warc.write(pages, compress=compress, bytes_per_file=2_000)
     assert manifest.count() > 3 and manifest.agg(F.sum("n_records")).first()[0] == len(rows)
     found = warc.read(spark, manifest, with_payload=True).cache()
     assert warc.gaps(found).isEmpty()

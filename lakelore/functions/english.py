@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .text import tokens
 
@@ -100,6 +100,16 @@ def _stemmed(words):
     return words.map(lambda ws: [stem(w) for w in ws])
 
 
+@F.pandas_udf(T.StringType())
+def _stem(words):
+    return words.map(stem)
+
+
+def stems(words: DataFrame) -> DataFrame:
+    """lexeme, stem of a table of different words (lexeme)."""
+    return words.select("lexeme", _stem("lexeme").alias("stem"))
+
+
 def english_tokens(text: Column) -> Column:
     """Stems of a text's tokens, in order."""
     return _stemmed(tokens(text))

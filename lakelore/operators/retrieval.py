@@ -17,8 +17,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..functions.english import english_tokens
+from ..functions.english import english_tokens, stems
 from ..session import settled
+from .segments import if_few
 
 #: Bytes of query vectors, at most, that are sent to every task at once; more queries go in blocks of that size.
 QUERY_BYTES = 32 << 20
@@ -57,13 +58,13 @@ def in_scope(scope: Column, source_id: Column) -> Column:
     return scope.isNull() | F.coalesce(F.array_contains(scope, source_id), F.lit(False))
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
+def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The best k per query; Spark cuts each task's rows to k before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-class _Best:
+class Best:
     """The k best chunks of each query among those seen so far, by score, then chunk_id."""
 
     def __init__(self, queries: int, k: int):
@@ -89,7 +90,7 @@ class _Best:
         self.least[self.query[last]] = self.score[last]
 
 
-def _in_scope(scopes: list[frozenset | None], sources: list) -> np.ndarray:
+def scoped(scopes: list[frozenset | None], sources: list) -> np.ndarray:
     """queries x chunks: whether a query may see a chunk; each different scope meets each different source once."""
     kinds = {s: i for i, s in enumerate(dict.fromkeys(scopes))}
     places = {s: i for i, s in enumerate(dict.fromkeys(sources))}
@@ -120,7 +121,7 @@ def dense_top(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) ->
             import pyarrow as pa
 
             ids, q, scopes = shared.value
-            norm, best, types = np.linalg.norm(q, axis=1), _Best(len(ids), k), None
+            norm, best, types = np.linalg.norm(q, axis=1), Best(len(ids), k), None
             for batch in batches:
                 types = batch.schema.field(0).type
                 good = pa.array([len(v) == q.shape[1] and not v.values.null_count for v in batch.column(2)], pa.bool_())
@@ -130,7 +131,7 @@ def dense_top(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) ->
                 x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     scores = np.round((q @ x.T) / (norm[:, None] * np.linalg.norm(x, axis=1)[None, :]), digits) + 0.0
-                seen = np.isfinite(scores) & _in_scope(scopes, batch.column(1).to_pylist())
+                seen = np.isfinite(scores) & scoped(scopes, batch.column(1).to_pylist())
                 best.add(np.where(seen, scores, -np.inf), np.array(batch.column(0).to_pylist()))
             if len(best.query):
                 columns = [pa.array([ids[i] for i in best.query]), pa.array(best.chunk.tolist(), types), pa.array(best.score)]
@@ -138,16 +139,22 @@ def dense_top(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) ->
 
         part = source.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
-    return _ranked(found if found is not None else spark.createDataFrame([], schema), k)
+    return ranked(found if found is not None else spark.createDataFrame([], schema), k)
 
 
 def postings(chunks: DataFrame, analyse: Analysis = english_tokens, wanted: DataFrame | None = None) -> DataFrame:
-    """lexeme, chunk_id, source_id, places: how often a chunk has each token. Write it as a table where many batches are asked.
+    """lexeme, chunk_id, source_id, places: how often a chunk has each token. Where many batches are asked, keep a LexicalIndex.
 
-    wanted: only these lexemes (one column), as one batch of queries needs; the others go before anything is grouped.
+    wanted: only these lexemes (one column), as one batch of queries needs; the others go before anything is grouped. English
+    stems are found once for each different word, not for each place of it.
     """
-    words = chunks.select("chunk_id", "source_id", F.explode(analyse(F.col("text"))).alias("lexeme"))
-    if wanted is not None:
+    plain = T.tokens if analyse is english_tokens else analyse
+    words = chunks.select("chunk_id", "source_id", F.explode(plain(F.col("text"))).alias("lexeme"))
+    if analyse is english_tokens:
+        known = stems(words.select("lexeme").distinct())
+        known = settled(known if wanted is None else known.join(wanted.withColumnRenamed("lexeme", "stem"), "stem", "left_semi"))
+        words = words.join(if_few(known, 2), "lexeme").withColumn("lexeme", F.col("stem"))
+    elif wanted is not None:
         words = words.join(wanted, "lexeme", "left_semi")
     return words.groupBy("lexeme", "chunk_id", "source_id").agg(F.count("*").alias("places"))
 
@@ -160,7 +167,7 @@ def asked_lexemes(queries: DataFrame, analyse: Analysis = english_tokens) -> Dat
 def sparse_top(queries: DataFrame, posted: DataFrame, k: int, analyse: Analysis = english_tokens) -> DataFrame:
     """query_id, chunk_id, score, rank: chunks with any of a query's lexemes, by a tenth of the places they match."""
     hits = posted.join(asked_lexemes(queries, analyse), "lexeme").where(in_scope(F.col("scope"), F.col("source_id")))
-    return _ranked(hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("places") * 0.1, 6).alias("score")), k)
+    return ranked(hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("places") * 0.1, 6).alias("score")), k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, options: Fusion) -> DataFrame:
@@ -184,23 +191,30 @@ def best_per_query(fused: DataFrame, k: int) -> DataFrame:
 
 def hybrid(
     queries: DataFrame, chunks: DataFrame, options: Fusion | None = None, keep: Column | None = None, optional: str = "pre", model: tuple[str, str] | None = None,
-    analyse: Analysis = english_tokens, posted: DataFrame | None = None,
+    analyse: Analysis = english_tokens, posted: DataFrame | None = None, lexical: Callable[[DataFrame, int], DataFrame] | None = None, near: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Fused search: query_id, rank, chunk_id, document_id, source_id, score, dense_score, sparse_score, keyword_coverage.
 
     ``keep`` is an optional filter over columns of ``chunks``. optional="pre" applies it before the pools are cut (whole
     results); "post" applies it to the fused pools, and for queries left with fewer than top_k rows again to the largest pools.
     ``posted``: stored postings of the chunks that may be seen, analysed alike; else the batch's lexemes are posted here.
+    ``lexical`` and ``near``: the search of a LexicalIndex or VectorIndex of the chunks that may be seen, in place of scans; not with
+    an optional filter before the pools.
     """
     options = options or Fusion()
     seen = visible(chunks, *(model or ()))
     if keep is not None and optional == "pre":
+        if lexical is not None or near is not None:
+            raise ValueError("an index knows no optional filter: use optional='post'")
         seen = seen.where(keep)
         posted = None if posted is None else posted.join(seen.select("chunk_id"), "chunk_id", "left_semi")
 
     def search(some: DataFrame, pool: int) -> DataFrame:
-        lexical = posted if posted is not None else postings(seen, analyse, asked_lexemes(some, analyse).select("lexeme").distinct())
-        fused = fuse(dense_top(some, seen, pool), sparse_top(some, lexical, pool, analyse), options)
+        if lexical is not None:
+            words = lexical(some, pool)
+        else:
+            words = sparse_top(some, posted if posted is not None else postings(seen, analyse, asked_lexemes(some, analyse).select("lexeme").distinct()), pool, analyse)
+        fused = fuse(near(some, pool) if near is not None else dense_top(some, seen, pool), words, options)
         if keep is not None and optional == "post":
             fused = fused.join(seen.where(keep).select("chunk_id"), "chunk_id", "left_semi")
         return best_per_query(fused, options.top_k)

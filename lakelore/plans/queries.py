@@ -6,6 +6,7 @@ mark withdrawn documents, benchmark items are questions, events are logs, custom
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import answers, claims, embedding, english, identifiers, text as T
 from ..functions.sheets import sheet_type
 from ..operators import access, audit, chunking, evaluation, ingest, redaction, results, retrieval
-from ..session import table
+from ..operators.lexical_index import LexicalIndex
+from ..operators.vector_index import LISTS, VectorIndex, recall
+from ..session import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,6 +134,55 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens)
 
 
+def _index(spark: SparkSession, d: str) -> LexicalIndex:
+    """An index of the visible chunks, built in steps: some are added later, some are taken out and added again, and all is merged once."""
+    index = LexicalIndex(spark, f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}", T.tokens, buckets=4)
+    seen = retrieval.visible(chunks(spark, d))
+    index.add(seen.where("chunk_id % 3 <> 0"))
+    index.remove(seen.where("chunk_id % 7 = 1").select("chunk_id"))
+    index.merge()
+    index.add(seen.where("chunk_id % 3 = 0"))
+    index.replace(seen.where("chunk_id % 7 = 1"))
+    return index
+
+
+@query(_parts() + _SPARSE.format(pool=12) + "SELECT * FROM sparse")
+def sparse_index(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).search(questions(spark, d), 12)
+
+
+@query(_hybrid_sql("['src0', concat('src', b.item_id % 20)]"))
+def hybrid_index(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.hybrid(questions(spark, d, "array('src0', concat('src', item_id % 20))"), chunks(spark, d), analyse=T.tokens, lexical=_index(spark, d).search)
+
+
+def _vectors(spark: SparkSession, d: str) -> VectorIndex:
+    index = VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    seen = retrieval.visible(chunks(spark, d))
+    index.train(seen)
+    index.add(seen.where("chunk_id % 3 <> 0"))
+    index.remove(seen.where("chunk_id % 7 = 1").select("chunk_id"))
+    index.merge()
+    index.add(seen.where("chunk_id % 3 = 0"))
+    index.remove(seen.where("chunk_id % 7 = 1").select("chunk_id"))
+    index.add(seen.where("chunk_id % 7 = 1"))
+    return index
+
+
+@query(_parts() + _DENSE.format(pool=12) + "SELECT * FROM dense")
+def dense_index(spark: SparkSession, d: str) -> DataFrame:
+    """With every list read, the index gives what the exact scan does."""
+    return _vectors(spark, d).search(questions(spark, d), 12, probes=LISTS)
+
+
+@query()
+def dense_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the ten nearest the index finds, of each question and each vector as one, reading few lists."""
+    seen = retrieval.visible(chunks(spark, d))
+    asked = seen.where("embedding is not null").select(F.col("chunk_id").alias("query_id"), "embedding", F.lit(None).cast("array<string>").alias("scope"))
+    return recall(_vectors(spark, d).search(asked, 10), retrieval.dense_top(asked, seen, 10))
+
+
 @query(_hybrid_sql("['src0', concat('src', b.item_id % 20)]"))
 def hybrid_scoped(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hybrid(questions(spark, d, "array('src0', concat('src', item_id % 20))"), chunks(spark, d), analyse=T.tokens)

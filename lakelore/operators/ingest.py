@@ -72,8 +72,8 @@ def invalidate(documents: DataFrame, which: Column) -> DataFrame:
 
 
 def claim_uploads(pending: DataFrame, n: int) -> DataFrame:
-    """The n oldest uploads that are pending."""
-    return pending.where("status = 'pending'").orderBy("created_at", "id").limit(n)
+    """The n oldest uploads that are pending, as ingested. Where several claim at once, see claims.Claims."""
+    return pending.where("status = 'pending'").orderBy("created_at", "id").limit(n).withColumn("status", F.lit("ingested"))
 
 
 def job_counters(deltas: DataFrame) -> DataFrame:
@@ -167,7 +167,12 @@ def retryable(log: DataFrame, attempts: int = 5, most: int = 50) -> DataFrame:
     resolved = log.where("action in ('ingested', 'blocked')").groupBy(*key).agg(F.max("created_at").alias("at"))
     failed = log.where("action = 'failed'").join(resolved, key, "left").where("at is null or created_at > at")
     groups = failed.groupBy(*key).agg(F.count("*").alias("failures"), F.min("created_at").alias("first_failed"))
-    return _first(groups.where(F.col("failures") < attempts), most, "first_failed", "external_id")
+    return longest_failing(groups.where(F.col("failures") < attempts), most)
+
+
+def longest_failing(failing: DataFrame, most: int) -> DataFrame:
+    """Per source the ``most`` documents that have failed for longest."""
+    return _first(failing, most, "first_failed", "external_id")
 
 
 def _first(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:

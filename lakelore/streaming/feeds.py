@@ -64,10 +64,7 @@ class DocumentTable:
 
     def _rows(self, changes: list[dict]) -> DataFrame:
         """Changes with their versions: those of a fresh folder have the version of its entry."""
-        stored = self.spark.read.schema(f"{self.schema}, deleted boolean, version long").parquet(*[f"{self.log.path}/{c['folder']}" for c in changes])
-        folder = F.regexp_extract(F.col("_metadata.file_path"), "/(changes-[0-9a-f]+)/", 1)
-        known = F.from_json(F.lit(json.dumps({c["folder"]: c["version"] for c in changes if c.get("version") is not None})), "map<string,long>")
-        return stored.withColumn("version", F.coalesce("version", F.get(F.transform(F.array(folder), lambda f: known[f]), F.lit(0))))
+        return self.log.rows([c["folder"] for c in changes], f"{self.schema}, deleted boolean", {c["folder"]: c["version"] for c in changes if c.get("version") is not None})
 
     def read(self, version: int | None = None) -> DataFrame:
         """The documents as of a version: of each the newest change, or the base. A document keeps its lifecycle until it is deleted."""

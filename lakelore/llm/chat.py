@@ -23,8 +23,8 @@ from .common import free_name
 _CONTROL = r"/?s>|t>|/?INST\]|OUT\]|/?ROLE\]|END\]"
 _BLOCK = r"(?s)(?:\[INST\]|\[OUT\]|\[ROLE\].*?\[/ROLE\]).*?(?:\[/INST\]|</s>|\[END\])"
 _OPEN = r"^(?s)(?:\[INST\]|\[OUT\]|\[ROLE\].*?\[/ROLE\])"
-#: A conversation has 2**24 turns at most.
-_DOUBLINGS = 24
+#: An array has fewer than 2**31 elements.
+_DOUBLINGS = 31
 _CLOSE = r"(?:\[/INST\]|</s>|\[END\])$"
 
 

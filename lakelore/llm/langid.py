@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from .common import Scratch, if_few, settle, worker_memory
 
@@ -152,10 +152,12 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text), F.lit("train")).alias("hash"))
     least = Window.partitionBy("lang").orderBy("hash")
 
-    def cut(of: DataFrame) -> DataFrame:
-        return of.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= per_lang)
+    def cut(of: DataFrame, by: WindowSpec = least) -> DataFrame:
+        return of.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_lang)
 
-    last = if_few(settle(cut(rows.select("lang", "hash")).groupBy("lang").agg(F.max("hash").alias("last"))))  # one row per language
+    # Each task hands on ``per_lang`` rows of a language; they are cut in 256 parts first, so a language of most rows is no single task.
+    parts = Window.partitionBy("lang", F.pmod(F.hash("hash"), F.lit(256))).orderBy("hash")
+    last = if_few(settle(cut(cut(rows.select("lang", "hash"), parts).select("lang", "hash")).groupBy("lang").agg(F.max("hash").alias("last"))))  # one row per language
     return cut(rows.join(last, "lang").where("hash <= last")).select("lang", "text")
 
 

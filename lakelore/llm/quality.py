@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, identified, settle, worker_memory
+from .common import Scratch, identified, if_few, join_one, settle, worker_memory
 from .hashing import BLOCK, ODD, between, blocks, edges, stretches, sums
 
 #: The trait of a word that repeats the one before.
@@ -260,8 +260,12 @@ def posteriors(scored: DataFrame, host: str = "host", path: str = "path") -> Dat
     between = spread(hosts, "host_n", "host_")
     among = spread(paths, "n", "")
     sites = paths.join(hosts.withColumnRenamed(host, "__host"), F.col(host).eqNullSafe(F.col("__host"))).drop("__host")
-    sites = sites.select(F.col(host).alias("__host"), F.col(path).alias("__path"), "n", "host_n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "host_sum")])
-    out = scored.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")))
+    keys = {"__no_host": F.col(host).isNull(), "__host": F.coalesce(F.col(host).cast("string"), F.lit("")), "__no_path": F.col(path).isNull(), "__path": F.coalesce(F.col(path).cast("string"), F.lit(""))}
+    sites = settle(sites.select(*[c.alias(n) for n, c in keys.items()], "n", F.col("n").alias("rows"), "host_n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "host_sum")]))
+    few = if_few(sites, 12)
+    # Few sites are broadcast; of many, those that hold much of the rows, and the others are dealt by key.
+    out = scored.withColumns(keys)
+    out = join_one(out, sites, list(keys), "rows") if few is sites else out.join(few.drop("rows"), list(keys))
     for k in TARGETS:
         mean, variance = between[k]
         by_host, by_path = _strength(mean, variance), _strength(mean, max(among[k][1] - variance, 0.0))
@@ -270,7 +274,7 @@ def posteriors(scored: DataFrame, host: str = "host", path: str = "path") -> Dat
         prior = (F.col(f"sum_{k}") - p + by_path * rate) / (F.col("n") - 1 + by_path)
         odds = _logit(p) - _logit(F.lit(mean)) + _logit(prior)
         out = out.withColumn(k, F.round(1 / (1 + F.exp(-odds)), 6)).withColumn(f"site_{k}", F.round(prior, 6))
-    return out.drop("__host", "__path", "n", "host_n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "host_sum")])
+    return out.drop(*keys, "n", "host_n", *[f"{x}_{k}" for k in TARGETS for x in ("sum", "host_sum")])
 
 
 def classify(

@@ -24,8 +24,15 @@ SCREEN_PATTERNS = (
     ("tax-form-with-data", r"(?i)\b(?:form\s*)?(?:1040|1120S?|1065|941|940|W-2|1099-[A-Z]{1,4}|K-1)\b"),
     ("client-file-language", r"(?i)\b(?:dear\s+(?:mr|mrs|ms|dr)\b|engagement\s+letter|invoice\s+(?:no|number|#)|taxpayer\s+name)"),
 )
-_VOCABULARY = r"(?i)\b(ssn|ssns|social\s+security|tin|itin|taxpayer\s+id)\b"
-_BARE = r"\b\d{9}\b"
+# Words that tell a taxpayer's number, and a bare run of its length.
+VOCABULARY = r"(?i)\b(ssn|ssns|social\s+security|tin|itin|taxpayer\s+id)\b"
+BARE = r"\b\d{9}\b"
+
+
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose word boundaries know ASCII letters, digits and underscores only, as the patterns mean them: what follows an accented letter is at one."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
 
 
 def luhn(digits: Column) -> Column:
@@ -49,7 +56,7 @@ def mask(value: Column) -> Column:
 
 def taxpayer_labels(text: Column) -> Column:
     """Labels of the patterns found, in their order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(label)) for label, p in TAXPAYER_PATTERNS]))
+    return F.array_compact(F.array(*[F.when(text.rlike(ascii_bounds(p)), F.lit(label)) for label, p in TAXPAYER_PATTERNS]))
 
 
 def identifying(labels: Column) -> Column:
@@ -59,10 +66,11 @@ def identifying(labels: Column) -> Column:
 
 def density_sweep(original: Column, redacted: Column, least: int = 3) -> Column:
     """Mask every bare nine-digit run if the original holds ``least`` of them and identifier words."""
-    dense = original.rlike(_VOCABULARY) & (F.regexp_count(original, F.lit(_BARE)) >= least)
-    return F.when(dense, F.regexp_replace(redacted, _BARE, "[REDACTED-SSN]")).otherwise(redacted)
+    bare = ascii_bounds(BARE)
+    dense = original.rlike(ascii_bounds(VOCABULARY)) & (F.regexp_count(original, F.lit(bare)) >= least)
+    return F.when(dense, F.regexp_replace(redacted, bare, "[REDACTED-SSN]")).otherwise(redacted)
 
 
 def screen_counts(text: Column) -> dict[str, Column]:
     """Hits per pattern of the corpus screen."""
-    return {name: F.regexp_count(text, F.lit(p)) for name, p in SCREEN_PATTERNS}
+    return {name: F.regexp_count(text, F.lit(ascii_bounds(p))) for name, p in SCREEN_PATTERNS}

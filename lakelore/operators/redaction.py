@@ -6,11 +6,40 @@ with low confidence and never masked. Scanning that fails leaves null, which eve
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import lru_cache, reduce
 
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..functions.identifiers import BARE, IDENTIFYING, TAXPAYER_PATTERNS, VOCABULARY, ascii_bounds, taxpayer_labels
+from ..sources.commits import Folder
+
+
+# What a pattern's \\s stands for.
+_SPACES = r"\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def compiled(pattern: str) -> regex.Pattern:
+    """A pattern as it is meant: letters, digits and word boundaries are ASCII, white space is any. So a number behind an accented letter is found."""
+    out, inside = [], False
+    for part in regex.findall(r"(?s)\\.|.", pattern):
+        if part == r"\s":
+            part = _SPACES if inside else f"[{_SPACES}]"
+        elif part in ("[", "]"):
+            inside = part == "["
+        out.append(part)
+    return regex.compile("(?a)" + "".join(out))
+
+
+@lru_cache(1000)
+def _pattern(pattern: str) -> regex.Pattern:
+    return compiled(pattern)
 
 
 def luhn(value: str) -> bool:
@@ -41,7 +70,7 @@ class Rule:
         """Why the rule can't be used; empty if it can."""
         out = []
         try:
-            if regex.compile(self.pattern).match("") is not None:
+            if compiled(self.pattern).match("") is not None:
                 out.append("matches the empty text")
         except regex.error as e:
             out.append(f"no pattern: {e}")
@@ -63,8 +92,7 @@ PACK = (
     Rule("card", r"\b(?:\d[ -]?){12,18}\d\b", "luhn"),
 )
 MASKED = ("ssn", "ein", "routing", "card", "account")
-_VOCABULARY = regex.compile(r"(?i)\b(ssn|ssns|social\s+security|tin|itin|taxpayer\s+id)\b")
-_BARE = regex.compile(r"\b\d{9}\b")
+_VOCABULARY, _BARE = compiled(VOCABULARY), compiled(BARE)
 
 
 def checked(pack: tuple[Rule, ...]) -> tuple[Rule, ...]:
@@ -79,6 +107,58 @@ def checked(pack: tuple[Rule, ...]) -> tuple[Rule, ...]:
     return pack
 
 
+def fingerprint(pack: tuple[Rule, ...]) -> str:
+    """Tells one set of rules from another, whatever it is called."""
+    return hashlib.sha256(json.dumps([asdict(r) for r in pack], sort_keys=True).encode()).hexdigest()
+
+
+#: The version of what a rule may say. A pack names the least one it needs.
+CONTRACT = "1.0.0"
+
+
+@dataclass(frozen=True)
+class Pack:
+    """Rules as they were read, under their name and version."""
+
+    id: str
+    version: str
+    rules: tuple[Rule, ...]
+
+
+def meets(wanted: str, version: str = CONTRACT) -> bool:
+    """Whether ``version`` is what a caret range asks for: of its major number, and no older. Ranges of 0.x mean something else and are refused."""
+    asked, there = re.fullmatch(r"\^(\d+)\.(\d+)\.(\d+)", wanted.strip()), re.fullmatch(r"(\d+)\.(\d+)\.(\d+)", version)
+    if asked is None:
+        raise ValueError(f"no caret range like ^1.0.0: {wanted!r}")
+    if there is None:
+        raise ValueError(f"no version: {version!r}")
+    least, have = [int(x) for x in asked.groups()], [int(x) for x in there.groups()]
+    if least[0] == 0:
+        raise ValueError(f"a range of 0.x: {wanted!r}")
+    return have[0] == least[0] and have >= least
+
+
+def read_pack(spark: SparkSession, folder: str, contract: str = CONTRACT) -> Pack:
+    """The pack in a folder's pack.json: {"pack": {id, version, requires}, "rules": [{id, pattern, ignore_case, check, context, window}]}.
+
+    An error if there is none, it says anything else, it needs another contract, or a rule can't be used.
+    """
+    try:
+        found = json.loads(Folder(spark, folder).read("pack.json"))
+    except Exception as e:  # py4j hands over any Java exception as one kind
+        raise ValueError(f"no pack can be read in {folder}: {str(e).splitlines()[0][:200]}") from None
+    if not isinstance(found, dict) or set(found) != {"pack", "rules"} or not isinstance(found["pack"], dict) or set(found["pack"]) != {"id", "version", "requires"}:
+        raise ValueError("a pack has pack (id, version, requires) and rules")
+    if not meets(found["pack"]["requires"], contract):
+        raise ValueError(f"{found['pack']['id']} needs contract {found['pack']['requires']}, this is {contract}")
+    rules = []
+    for r in found["rules"]:
+        if not isinstance(r, dict) or not {"id", "pattern"} <= set(r) <= {"id", "pattern", "ignore_case", "check", "context", "window"}:
+            raise ValueError(f"not a rule: {r}")
+        rules.append(Rule(r["id"], ("(?i)" if r.get("ignore_case") else "") + r["pattern"], r.get("check"), r.get("context"), r.get("window", 60)))
+    return Pack(found["pack"]["id"], found["pack"]["version"], checked(tuple(rules)))
+
+
 @dataclass(frozen=True)
 class Match:
     rule: str
@@ -92,9 +172,9 @@ def scan(text: str, pack: tuple[Rule, ...] = PACK) -> list[Match]:
     """All matches by place, in code points."""
     out = []
     for r in pack:
-        for m in regex.finditer(r.pattern, text):
+        for m in _pattern(r.pattern).finditer(text):
             near = text[max(0, m.start() - r.window) : m.end() + r.window]
-            high = (r.check is None or CHECKS[r.check](m[0])) and (r.context is None or regex.search(CONTEXTS[r.context], near) is not None)
+            high = (r.check is None or CHECKS[r.check](m[0])) and (r.context is None or _pattern(CONTEXTS[r.context]).search(near) is not None)
             sample = m[0][0] + "X" * (len(m[0]) - 2) + m[0][-1] if len(m[0]) > 2 else "X" * len(m[0])
             out.append(Match(r.id, m.start(), m.end(), high, sample))
     return sorted(out, key=lambda m: m.start)
@@ -133,46 +213,85 @@ _CELL, _LINE = "\x1f", "\x1e"
 
 
 def redact_grid(rows: list[list[str]], pack: tuple[Rule, ...] = PACK) -> tuple[list[list[str]], dict[str, int]]:
-    """A grid is redacted as one text, so words of one cell tell another's number; its shape must survive."""
-    flat, counts = redact(_LINE.join(_CELL.join(c.replace(_CELL, " ").replace(_LINE, " ") for c in r) for r in rows), pack)
+    """A grid is redacted as one text, so words of one cell tell another's number; its shape must survive, and no cell may hold a separator."""
+    if any(mark in (c or "") for r in rows for c in r for mark in (_CELL, _LINE)):
+        raise ValueError("a cell holds a separator")
+    flat, counts = redact(_LINE.join(_CELL.join(c or "" for c in r) for r in rows), pack)
     out = [r.split(_CELL) for r in flat.split(_LINE)] if rows else []
     if [len(r) or 1 for r in rows] != [len(r) for r in out]:
         raise ValueError("redaction changed the shape of a table")
-    return [r if rows[i] else [] for i, r in enumerate(out)], counts
-
-
-def redact_documents(documents: DataFrame, pack: tuple[Rule, ...] = PACK, columns: tuple[str, ...] = ("title", "markdown")) -> DataFrame:
-    """``documents`` with those columns masked, and redaction: counts by kind over them, null if scanning failed.
-
-    The columns of a document that failed are null too: nothing of it may be shown.
+    return [[None if was is None else c for was, c in zip(before, after, strict=True)] if before else [] for before, after in zip(rows, out, strict=True)], counts
+
+
+def redact_tables(tables: list[dict], pack: tuple[Rule, ...] = PACK) -> tuple[list[dict], dict[str, int]]:
+    """Tables (headers, rows, and any of markdown, caption, sheet_name) masked, and counts by kind. A table's Markdown shows its
+    cells once more, so it is masked and not counted."""
+    out, counts = [], Counter()
+    for t in tables:
+        grid, found = redact_grid([t.get("headers") or [], *(t.get("rows") or [])], pack)
+        counts.update(found)
+        new = dict(t) | {"headers": grid[0] if t.get("headers") is not None else None, "rows": grid[1:] if t.get("rows") is not None else None}
+        for name in ("caption", "sheet_name"):
+            if t.get(name) is not None:
+                new[name], found = redact(t[name], pack)
+                counts.update(found)
+        if t.get("markdown") is not None:
+            new["markdown"] = redact(t["markdown"], pack)[0]
+        out.append(new)
+    return out, dict(counts)
+
+
+def redact_document(title: str | None, markdown: str | None, tables: list[dict] | None, pack: tuple[Rule, ...] = PACK) -> tuple[str | None, str | None, list[dict] | None, dict[str, int]]:
+    """A document masked as a whole, and counts by kind: those of its title, and of its text or its tables, whichever has more, as a text
+    shows its tables."""
+    new_title, in_title = (None, {}) if title is None else redact(title, pack)
+    new_text, in_text = (None, {}) if markdown is None else redact(markdown, pack)
+    new_tables, in_tables = (None, {}) if tables is None else redact_tables(tables, pack)
+    kinds = {*in_title, *in_text, *in_tables}
+    return new_title, new_text, new_tables, {k: in_title.get(k, 0) + max(in_text.get(k, 0), in_tables.get(k, 0)) for k in kinds}
+
+
+def redact_documents(documents: DataFrame, pack: tuple[Rule, ...] | Pack = PACK, title: str = "title", markdown: str = "markdown", tables: str | None = None) -> DataFrame:
+    """``documents`` with these columns masked; redaction: counts by kind, null if scanning failed; redaction_pack: the pack's fingerprint.
+
+    tables: a column of arrays of structs with headers, rows and any of markdown, caption, sheet_name; what else a struct has is left as it is. The columns of
+    a document that failed are null: nothing of it may be shown.
     """
-    checked(pack)
-    names = list(documents.columns)
+    rules = checked(pack.rules if isinstance(pack, Pack) else pack)
+    mark = fingerprint(rules)
+    names, masked = list(documents.columns), [c for c in (title, markdown, tables) if c is not None]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = {c: [] for c in columns}
-            all_counts: list[list[tuple[str, int]] | None] = []
-            for values in zip(*[batch.column(names.index(c)).to_pylist() for c in columns], strict=True):
+            done: list[tuple] = []
+            of = lambda c: batch.column(names.index(c)).to_pylist() if c is not None else [None] * batch.num_rows  # noqa: B023,E731
+            for values in zip(of(title), of(markdown), of(tables), strict=True):
                 try:
-                    done = [redact(v, pack) if v is not None else (None, {}) for v in values]
-                    total: dict[str, int] = {}
-                    for _, found in done:
-                        for k, n in found.items():
-                            total[k] = total.get(k, 0) + n
-                    all_counts.append(sorted(total.items()))
+                    *new, counts = redact_document(*values, rules)
+                    done.append((*new, sorted(counts.items())))
                 except Exception:  # noqa: BLE001  fail closed, whatever the reason
-                    done = [(None, {})] * len(columns)
-                    all_counts.append(None)
-                for c, (t, _) in zip(columns, done, strict=True):
-                    texts[c].append(t)
-            arrays = [pa.array(texts[c], pa.string()) if c in texts else batch.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(all_counts, pa.map_(pa.string(), pa.int32()))], names=[*names, "redaction"])
+                    done.append((None, None, None, None))
+            by = {c: [d[i] for d in done] for i, c in enumerate((title, markdown, tables)) if c is not None}
+            arrays = [pa.array(by[c], batch.schema.field(i).type) if c in masked else batch.column(i) for i, c in enumerate(names)]
+            arrays += [pa.array([d[3] for d in done], pa.map_(pa.string(), pa.int32())), pa.array([mark] * len(done), pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "redaction", "redaction_pack"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(run, f"{schema}, redaction map<string,int>")
+    return documents.mapInArrow(run, f"{schema}, redaction map<string,int>, redaction_pack string")
+
+
+def to_scan_again(documents: DataFrame, pack: tuple[Rule, ...] | Pack = PACK) -> DataFrame:
+    """Documents that were never redacted, or under other rules, or whose scan failed."""
+    mark = fingerprint(pack.rules if isinstance(pack, Pack) else pack)
+    return documents.where(F.col("redaction").isNull() | ~F.col("redaction_pack").eqNullSafe(F.lit(mark)))
+
+
+def downloadable(documents: DataFrame) -> DataFrame:
+    """Documents whose original may be handed out: it is stored, and scanning found nothing to mask. Nothing is handed out unscanned."""
+    masked = F.aggregate(F.map_values("redaction"), F.lit(0), lambda a, n: a + n)
+    return documents.where(F.col("storage_key").isNotNull() & F.coalesce(masked == 0, F.lit(False)))
 
 
 def scan_target(title: Column, markdown: Column, tables: Column) -> Column:
@@ -196,14 +315,13 @@ def verdicts(judged: DataFrame) -> DataFrame:
 
 def generation_screen(passages: DataFrame, policy: str = "warn") -> DataFrame:
     """Passages without those that hold an identifier (any policy but off) or, under "block", any label; with labels."""
-    from ..functions.identifiers import identifying, taxpayer_labels
-
     if policy not in ("block", "warn", "off"):
         raise ValueError(policy)
-    rows = passages.withColumn("labels", taxpayer_labels(F.col("text")))
-    if policy == "off":
-        return rows
-    return rows.where(F.size(identifying(F.col("labels")) if policy == "warn" else F.col("labels")) == 0)
+    rows = passages
+    if policy != "off":  # only the patterns that decide are looked for here, the others in what stays
+        decide = [p for label, p in TAXPAYER_PATTERNS if policy == "block" or label in IDENTIFYING]
+        rows = rows.where(~F.coalesce(reduce(Column.__or__, [F.col("text").rlike(ascii_bounds(p)) for p in decide]), F.lit(False)))
+    return rows.withColumn("labels", taxpayer_labels(F.col("text")))
 
 
 def extraction_gate(documents: DataFrame, flags: DataFrame, decisions: DataFrame, signed_off_by: str | None, fingerprint: str | None, expected: str) -> DataFrame:

@@ -6,6 +6,7 @@ mark withdrawn documents, benchmark items are questions, events are logs, custom
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import answers, claims, embedding, english, identifiers, text as T
 from ..functions.sheets import sheet_type
 from ..operators import access, audit, chunking, evaluation, ingest, redaction, results, retrieval
+from ..operators.claims import Claims
 from ..operators.lexical_index import LexicalIndex
 from ..operators.vector_index import LISTS, VectorIndex, recall
 from ..session import shared_folder, table
@@ -103,6 +105,23 @@ def _hybrid_sql(scope: str = "CAST(NULL AS VARCHAR[])", keep: str = "", filter:
     return _parts(scope, keep) + _DENSE.format(pool=pool) + _SPARSE.format(pool=pool) + _FUSED.format(filter=filter) + _RESULT
 
 
+#: Documents as they are nowhere in the tables: eleven of twelve hold a number, a label, a heading, a fence or a table, by their doc_id.
+_PLANTED = """CASE doc_id % 12 WHEN 0 THEN concat(coalesce(text, ''), ' on file 123-45-', 1000 + doc_id % 9000, '.')
+  WHEN 1 THEN concat('EIN 12-3456789 stands first. ', coalesce(text, '')) WHEN 2 THEN concat(coalesce(text, ''), ' The taxpayer owed $1,2', doc_id)
+  WHEN 3 THEN concat('# Form 1040 shows $5,000', chr(10), coalesce(text, '')) WHEN 4 THEN concat(coalesce(text, ''), ' A 1099-MISC for $600, a W-2 of $70,000; SSN on file: 12345', 1000 + doc_id % 9000)
+  WHEN 5 THEN concat('## Schedule C: $300', chr(10), '# Title ', doc_id, ' ', chr(10), coalesce(text, ''))
+  WHEN 6 THEN concat('Taxpayer ID list 123456789, 98765', 1000 + doc_id % 9000, ' and 111222333. ', coalesce(text, ''))
+  WHEN 7 THEN concat(coalesce(text, ''), ' runs 123456789, 987654321 and 111222333, and 12 3456789x')
+  WHEN 8 THEN concat('```', chr(10), '# no heading', chr(10), '```', chr(10), '| a | b |', chr(10), '|---|:-:|', chr(10), '| ', doc_id, ' | x |', chr(10), coalesce(text, ''))
+  WHEN 9 THEN concat(coalesce(text, ''), chr(10), '| one |', chr(10), '| --- |', chr(10), chr(10), '| no rule |', chr(10), '| two |', chr(10), '|-|', chr(10), '| 1 |', chr(10), '| 2 |')
+  WHEN 10 THEN concat('Dear Mrs Smith, routing number: 021000021, account no. 000123456. Engagement letter for 000-12-3456 and 666-12-3456. ', coalesce(text, '')) ELSE text END"""
+_PLANTED_DOCS = f"(SELECT * EXCLUDE (text), {_PLANTED} AS text FROM documents)"
+
+
+def planted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").withColumn("text", F.expr(_PLANTED.replace("chr(10)", "char(10)")))
+
+
 # ---- retrieval ----------------------------------------------------------------------------------------------------------
 
 
@@ -491,21 +510,36 @@ def count_by_source(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id AS id, ts AS created_at, event_type AS status FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 25")
+@query("SELECT event_id AS id, ts AS created_at, 'ingested' AS status FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 25")
 def claim_uploads(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.when(F.col("event_type") == "signup", "pending").otherwise("ingested").alias("status"))
-    return ingest.claim_uploads(log, 25).withColumn("status", F.lit("signup"))
+    return ingest.claim_uploads(log, 25)
 
 
-_CLASSES = """
+@query("""
+WITH u AS (SELECT event_id AS id, ts AS created_at, 's' || (user_id % 3) AS source_id, row_number() OVER (ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'signup')
+SELECT id, CASE WHEN n <= 10 AND n % 2 = 0 THEN 'ingested' WHEN n > 10 AND source_id = 's1' AND k - (SELECT count(*) FROM u WHERE n <= 10 AND source_id = 's1') <= 5 THEN 'claimed' ELSE 'pending' END AS status FROM u""")
+def upload_claims(spark: SparkSession, d: str) -> DataFrame:
+    """States of uploads after two workers' claims: the first finished every second of its ten before its lease ran out, the second holds five of one source."""
+    events = table(spark, d, "events").where("event_type = 'signup'")
+    staged = events.select(F.col("event_id").alias("id"), F.concat(F.lit("s"), F.col("user_id") % 3).alias("source_id"), F.col("ts").alias("created_at"))
+    leases = Claims(spark, f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}", lease=60)
+    first = leases.claim(staged, 10, "a", now=0)
+    order = Window.orderBy("created_at", "id")  # ten rows
+    leases.finish(first.withColumn("n", F.row_number().over(order)).where("n % 2 = 0"), "a", now=30)
+    leases.claim(staged.join(first.select("id"), "id", "left_anti"), 5, "b", now=50, source_id="s1")
+    return leases.uploads(staged, now=70).select("id", "status")
+
+
+_CLASSES = f"""
 SELECT doc_id, source_class, CASE WHEN source_class = 'D' OR card THEN 'D' WHEN toxic THEN 'C' ELSE source_class END AS doc_class FROM (
   SELECT d.doc_id, CASE d.lang WHEN 'en' THEN 'A' WHEN 'de' THEN 'A' WHEN 'fr' THEN 'B' ELSE 'D' END AS source_class, coalesce(l.toxic, 0) = 1 AS toxic,
-    regexp_matches(d.text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AS card FROM documents d LEFT JOIN labels l USING (doc_id))"""
+    regexp_matches(d.text, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AS card FROM {_PLANTED_DOCS} d LEFT JOIN labels l USING (doc_id))"""
 
 
 @query(f"SELECT doc_id, doc_class, doc_class IN ('C', 'D') AS quarantined FROM ({_CLASSES})")
 def classify_document(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    docs = planted(spark, d).join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
     kind = F.expr("case lang when 'en' then 'general' when 'de' then 'sop' when 'fr' then 'research' else 'client_confidential' end")
     found = F.when(F.col("text").rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), F.array(F.lit("ssn"))).otherwise(F.array().cast("array<string>"))
     judged = ingest.document_class(ingest.source_class(kind), found, F.lit(False), F.coalesce(F.col("toxic") == 1, F.lit(False)))
@@ -519,7 +553,7 @@ SELECT source_id, 0::BIGINT AS skipped, count(*) FILTER (s = 'blocked') AS block
 FROM (SELECT *, CASE WHEN source_class IN ('C', 'D') THEN 'blocked' WHEN n_chars < 100 THEN 'failed' WHEN doc_class IN ('C', 'D') THEN 'quarantined' WHEN n_chars < 1000 AND doc_id IN (SELECT vec_id FROM embeddings) THEN 'unchanged' ELSE 'indexed' END AS s FROM c)
 GROUP BY source_id""")
 def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    docs = planted(spark, d).join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
     docs = docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("embedded")), "doc_id", "left")
     kind = F.expr("case lang when 'en' then 'general' when 'de' then 'sop' when 'fr' then 'research' else 'client_confidential' end")
     found = F.when(F.col("text").rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), F.array(F.lit("ssn"))).otherwise(F.array().cast("array<string>"))
@@ -556,14 +590,23 @@ def url_host_allow(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.col("host").endswith(".example.com") | F.col("host").endswith(".example.org"))
 
 
-@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^#[ \t]+(.+)$', 1)), ''), source) AS title FROM documents")
+@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^#[ \t]+(.+)$', 1)), ''), source) AS title FROM " + _PLANTED_DOCS)
 def title_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.title(F.lit(None).cast("string"), F.col("text"), F.concat("source", F.lit(".md"))).alias("title"))
+    return planted(spark, d).select("doc_id", T.title(F.lit(None).cast("string"), F.col("text"), F.concat("source", F.lit(".md"))).alias("title"))
 
 
-@query()
+#: By lines: a table begins with a row between pipes that a rule follows and that no row before it belongs to.
+_TABLES = rf"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM {_PLANTED_DOCS}),
+k AS (SELECT *, regexp_matches(line, '^\|.*\|[ \t]*$') AS piped, regexp_matches(line, '^\|[ \t:|-]*-[ \t:|-]*\|[ \t]*$') AS rule FROM l),
+n AS (SELECT *, piped AND coalesce(lead(rule) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM k),
+s AS (SELECT *, sum(CASE WHEN begins OR NOT piped THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM n)
+SELECT doc_id, count(DISTINCT part) FILTER (begins) AS tables FROM s GROUP BY doc_id"""
+
+
+@query(_TABLES)
 def table_scan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(T.markdown_tables(F.col("text"))).alias("tables"))
+    return planted(spark, d).select("doc_id", F.size(T.markdown_tables(F.col("text"))).cast("long").alias("tables"))
 
 
 @query("SELECT page_id, left(trim(replace(replace(url, '/', '_'), '\"', '')), 200) AS name FROM pages")
@@ -592,16 +635,19 @@ def aba_scan(spark: SparkSession, d: str) -> DataFrame:
 _LABELS = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{label}' END" for label, p in identifiers.TAXPAYER_PATTERNS)
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter([{_LABELS}], lambda x: x IS NOT NULL), ',') AS labels FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_filter([{_LABELS}], lambda x: x IS NOT NULL), ',') AS labels FROM {_PLANTED_DOCS}")
 def taxpayer_labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(identifiers.taxpayer_labels(F.col("text")), ",").alias("labels"))
+    return planted(spark, d).select("doc_id", F.array_join(identifiers.taxpayer_labels(F.col("text")), ",").alias("labels"))
 
 
-@query(r"""
-SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '(?i)\b(ssn|ssns|social\s+security|tin|itin|taxpayer\s+id)\b') AND len(regexp_extract_all(text, '\b[0-9]{9}\b')) >= 3
-  THEN regexp_replace(text, '\b[0-9]{9}\b', '[REDACTED-SSN]', 'g') ELSE text END) AS swept FROM documents""")
+_SWEPT = f"""SELECT doc_id, text, CASE WHEN regexp_matches(text, '{identifiers.VOCABULARY}') AND len(regexp_extract_all(text, '{identifiers.BARE}')) >= 3
+  THEN regexp_replace(text, '{identifiers.BARE}', '[REDACTED-SSN]', 'g') ELSE text END AS swept FROM {_PLANTED_DOCS}"""
+
+
+@query(f"SELECT doc_id, swept <> text AS changed, sha256(swept) AS swept FROM ({_SWEPT})")
 def density_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2(identifiers.density_sweep(F.col("text"), F.col("text")), 256).alias("swept"))
+    rows = planted(spark, d).select("doc_id", "text", identifiers.density_sweep(F.col("text"), F.col("text")).alias("swept"))
+    return rows.select("doc_id", (F.col("swept") != F.col("text")).alias("changed"), F.sha2("swept", 256).alias("swept"))
 
 
 @query("SELECT doc_id, sha256('v2' || chr(10) || text) AS content_hash, sha256(source || '/' || lang || '::' || text) AS chunk_hash FROM documents")
@@ -609,10 +655,28 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", ingest.content_hash(F.col("text")).alias("content_hash"), ingest.chunk_hash(F.array("source", "lang"), F.col("text")).alias("chunk_hash"))
 
 
-@query()
+def _screened(name: str, pattern: str) -> str:
+    """A pattern's hits in SQL. DuckDB has no look-ahead: what the first pattern's ones leave out goes afterwards."""
+    if "(?!" not in pattern:
+        return f"len(regexp_extract_all(text, '{pattern}')) AS \"{name}\""
+    plain = re.sub(r"\(\?![^)]*\)", "", pattern)
+    left_out = "list_filter(regexp_extract_all(text, '" + plain + "'), lambda x: NOT (x[1:3] IN ('000', '666') OR x[1] = '9' OR x[5:6] = '00' OR x[8:11] = '0000'))"
+    return f'len({left_out}) AS "{name}"'
+
+
+_NAMES = [n for n, _ in identifiers.SCREEN_PATTERNS]
+_PART = "sum(('0x' || substr(content_hash, {at}, 8))::BIGINT)::HUGEINT::VARCHAR"
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, sha256('v2' || chr(10) || coalesce(text, '')) AS content_hash, {", ".join(_screened(n, p) for n, p in identifiers.SCREEN_PATTERNS)} FROM {_PLANTED_DOCS})
+SELECT {", ".join(f'sum("{n}")::BIGINT AS "{n}"' for n in _NAMES)}, count(*) FILTER ({" + ".join(f'"{n}"' for n in _NAMES)} > 0) AS flagged, count(*) AS documents,
+  sha256(concat_ws(',', {", ".join(_PART.format(at=1 + 8 * i) for i in range(4))})) AS fingerprint FROM h"""
+)
 def corpus_screen(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "documents").select("doc_id", ingest.content_hash(F.col("text")).alias("content_hash"), *[c.alias(n) for n, c in identifiers.screen_counts(F.col("text")).items()])
-    return evaluation.screen_inventory(hits, [n for n, _ in identifiers.SCREEN_PATTERNS])
+    counts = [c.cast("long").alias(n) for n, c in identifiers.screen_counts(F.coalesce("text", F.lit(""))).items()]
+    hits = planted(spark, d).select("doc_id", ingest.content_hash(F.col("text")).alias("content_hash"), *counts)
+    return evaluation.screen_inventory(hits, _NAMES)
 
 
 def _may_hold(spark: SparkSession, d: str) -> DataFrame:
@@ -842,16 +906,54 @@ def chunk_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("markdown"))
-    return redaction.redact_documents(docs)
+    docs = planted(spark, d).select("doc_id", F.col("source").alias("title"), F.col("text").alias("markdown"))
+    return redaction.redact_documents(docs).drop("redaction_pack")
+
+
+def _numbered_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a document with a sheet: every third names a number beside what it is, every fifth shows its sheet in its text too."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.array(F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")))).alias("lines"))
+    more = F.array(F.array(F.lit("SSN of the client"), F.concat(F.lit("123-45-"), (1000 + F.col("l_orderkey") % 9000).cast("string"))), F.array(F.lit("EIN"), F.lit("12-3456789")))
+    rows = F.when(F.col("l_orderkey") % 3 == 0, F.concat("lines", more)).otherwise(F.col("lines"))
+    headers = F.array(F.lit("line"), F.lit("part"))
+    sheet = F.struct(F.concat(F.lit("Order "), F.col("l_orderkey")).alias("sheet_name"), headers.alias("headers"), F.col("rows"), T.markdown_table(headers, F.col("rows")).alias("markdown"), F.lit("kept").alias("note"))
+    shown = F.when(F.col("l_orderkey") % 5 == 0, F.array_join(F.transform("rows", lambda r: F.array_join(r, ": ")), chr(10))).otherwise("")
+    return lines.select("l_orderkey", rows.alias("rows")).select(
+        F.col("l_orderkey").alias("document_id"), F.concat(F.lit("Order of 12-345"), (1000 + F.col("l_orderkey") % 9000).cast("string")).alias("title"), shown.alias("markdown"), F.array(sheet).alias("tables"),
+    )
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS id, count(*) AS n, string_agg(l_linenumber || '|' || l_partkey, chr(10) ORDER BY l_linenumber::VARCHAR, l_partkey::VARCHAR) AS cells FROM lineitem GROUP BY 1)
+SELECT id AS document_id, 'Order of [REDACTED-EIN]' AS title, CASE WHEN id % 3 = 0 THEN 'ein=2,ssn=1' ELSE 'ein=1' END AS redaction,
+  cells || CASE WHEN id % 3 = 0 THEN chr(10) || 'SSN of the client|[REDACTED-SSN]' || chr(10) || 'EIN|[REDACTED-EIN]' ELSE '' END AS cells,
+  CASE WHEN id % 5 > 0 THEN '' ELSE replace(cells, '|', ': ') || CASE WHEN id % 3 = 0 THEN chr(10) || 'SSN of the client: [REDACTED-SSN]' || chr(10) || 'EIN: [REDACTED-EIN]' ELSE '' END END AS markdown,
+  id % 3 = 0 AS masked FROM l""")
+def redact_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with nested sheets masked as a whole: a sheet that its text shows too counts once, and its Markdown is masked alike."""
+    found = redaction.redact_documents(_numbered_sheets(spark, d), tables="tables")
+    sheet = F.col("tables")[0]
+    counts = F.array_join(F.array_sort(F.transform(F.map_entries("redaction"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    cells = F.array_join(F.transform(sheet["rows"], lambda r: F.array_join(r, "|")), chr(10))
+    masked = F.contains(sheet["markdown"], F.lit("[REDACTED-SSN]")) & (sheet["note"] == "kept")
+    return found.select("document_id", "title", counts.alias("redaction"), cells.alias("cells"), "markdown", masked.alias("masked"))
+
+
+@query(f"""
+SELECT doc_id FROM {_PLANTED_DOCS} WHERE doc_id % 4 <> 3 AND NOT regexp_matches(text, '\\b[0-9]{{3}}[-\\s][0-9]{{2}}[-\\s][0-9]{{4}}\\b|\\b[0-9]{{2}}[-\\s][0-9]{{7}}\\b') AND doc_id % 12 NOT IN (4, 6, 10)
+  AND NOT regexp_matches(text, '\\b([0-9][ -]?){{12,18}}[0-9]\\b')""")
+def downloads(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose originals may be handed out: stored, and nothing in them was masked. Texts with a long run of digits are left aside."""
+    docs = planted(spark, d).where(~F.col("text").rlike(r"\b(\d[ -]?){12,18}\d\b")).select("doc_id", F.lit(None).cast("string").alias("title"), F.col("text").alias("markdown"), F.when(F.col("doc_id") % 4 != 3, F.concat(F.lit("k/"), F.col("doc_id"))).alias("storage_key"))
+    return redaction.downloadable(redaction.redact_documents(docs)).select("doc_id")
 
 
 @query(f"""
-SELECT doc_id, array_to_string(labels, ',') AS labels FROM (SELECT doc_id, list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS labels FROM documents)
+SELECT doc_id, array_to_string(labels, ',') AS labels FROM (SELECT doc_id, list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS labels FROM {_PLANTED_DOCS})
 WHERE NOT list_has_any(labels, [{", ".join(f"'{x}'" for x in identifiers.IDENTIFYING)}])""")
 def generation_screen(spark: SparkSession, d: str) -> DataFrame:
     """Documents as passages: those that hold an identifier are dropped, the rest keep their labels."""
-    kept = redaction.generation_screen(table(spark, d, "documents").select("doc_id", "text"))
+    kept = redaction.generation_screen(planted(spark, d).select("doc_id", "text"))
     return kept.select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import answers, claims, embedding, english, identifiers, text as T
 from ..functions.sheets import sheet_type
-from ..operators import access, audit, chunking, evaluation, ingest, redaction, results, retrieval
+from ..operators import access, audit, chunking, evaluation, ingest, quotes, redaction, results, retrieval
 from ..operators.claims import Claims
+from ..operators.embedding_store import EmbeddingStore
 from ..operators.lexical_index import LexicalIndex
 from ..operators.vector_index import LISTS, VectorIndex, recall
 from ..session import shared_folder, table
@@ -272,6 +273,28 @@ def embed_hashing(spark: SparkSession, d: str) -> DataFrame:
     return embedding.embed(table(spark, d, "documents").select("doc_id", "text"))
 
 
+@query("""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' changed' ELSE text END AS text FROM t)
+SELECT 1 AS run, (SELECT count(DISTINCT text) FROM t WHERE doc_id % 3 <> 0) AS computed, 'none' AS active
+UNION ALL SELECT 2, (SELECT count(DISTINCT text) FROM t WHERE text NOT IN (SELECT text FROM t WHERE doc_id % 3 <> 0)), 'words-64'
+UNION ALL SELECT 3, 0, 'words-64' UNION ALL SELECT 4, (SELECT count(DISTINCT text) FROM c WHERE text NOT IN (FROM t SELECT text)), 'words-64'
+UNION ALL SELECT 5, (SELECT count(DISTINCT text) FROM c), 'words-64' UNION ALL SELECT 6, 0, 'words-32'""")
+def embedding_versions(spark: SparkSession, d: str) -> DataFrame:
+    """How many vectors each run computes, and the model that searches see before it: some documents, all, all again, some changed, under a new model, again."""
+    store = EmbeddingStore(spark, f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashed = lambda rows: rows.withColumn("chunk_hash", ingest.chunk_hash(F.array().cast("array<string>"), F.col("text")))
+    whole = hashed(docs)
+    changed = hashed(docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))))
+    runs = []
+    for n, (rows, size) in enumerate([(whole.where("doc_id % 3 <> 0"), 64), (whole, 64), (whole, 64), (changed, 64), (changed, 32), (changed, 32)], 1):
+        active = store.active()
+        runs.append((n, store.refresh(rows, "local", f"words-{size}", lambda r, size=size: embedding.embed(r, dimensions=size)), active[1] if active else "none"))
+        if n in (1, 5):
+            store.activate("local", f"words-{size}")
+    return spark.createDataFrame(runs, "run int, computed long, active string")
+
+
 # ---- after retrieval ----------------------------------------------------------------------------------------------------
 
 _TURNS = "SELECT conv_id AS query_id, turn + 1 AS rank, conv_id * 1000 + turn AS chunk_id, role AS document_id, turn AS ordinal, text FROM conversations"
@@ -680,15 +703,8 @@ def corpus_screen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _may_hold(spark: SparkSession, d: str) -> DataFrame:
-    """item_id, doc_id, text: documents with the rarest word of a benchmark item, whatever stands between its words. The first and
-    last word may be cut within a document's word, so they don't choose."""
-    items = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens"))
-    inner = F.array_except(F.array_distinct("tokens"), F.array(F.element_at("tokens", 1), F.element_at("tokens", -1)))
-    words = items.where("size(tokens) > 0").select("item_id", F.explode(inner).alias("lexeme"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    has = docs.select("doc_id", F.explode(T.lexemes(F.col("text"))).alias("lexeme")).join(words.select("lexeme").distinct(), "lexeme", "left_semi")
-    rarest = words.join(has.groupBy("lexeme").agg(F.count("*").alias("n")), "lexeme").groupBy("item_id").agg(F.min_by("lexeme", F.struct("n", "lexeme")).alias("lexeme"))
-    return has.join(rarest, "lexeme").join(docs, "doc_id").select("item_id", "doc_id", "text")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return quotes.candidates(items, table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -876,9 +892,13 @@ def sheets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT l_orderkey, CASE WHEN count(*) >= 5 THEN 'tabular' ELSE 'freeform' END AS sheet_type FROM lineitem GROUP BY l_orderkey")
+@query("""
+SELECT l_orderkey, CASE WHEN (l_orderkey % 5)::DOUBLE / (2 * count(*)) >= 0.2 THEN 'financial_model' WHEN l_orderkey % 7 = 0 THEN 'narrative' WHEN count(*) >= 5 THEN 'tabular' ELSE 'freeform' END AS sheet_type
+FROM lineitem GROUP BY l_orderkey""")
 def sheet_classify(spark: SparkSession, d: str) -> DataFrame:
-    return sheets(spark, d).select("l_orderkey", sheet_type(F.col("headers"), F.col("rows"), F.lit(0)).alias("sheet_type"))
+    """Sheets with up to four formulas, every seventh with a long cell."""
+    long = F.when(F.col("l_orderkey") % 7 == 0, F.transform("rows", lambda r: F.array(F.rpad(r[0], 201, "x"), r[1]))).otherwise(F.col("rows"))
+    return sheets(spark, d).select("l_orderkey", sheet_type(F.col("headers"), long, F.col("l_orderkey") % 5).alias("sheet_type"))
 
 
 @query()

@@ -903,7 +903,7 @@ def sheet_classify(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), F.col("text").alias("markdown"))
+    docs = planted(spark, d).select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), F.col("text").alias("markdown"))
     return chunking.chunk_documents(docs)
 
 

@@ -253,6 +253,23 @@ def top_relevance(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_relevance(retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens))
 
 
+@query(_parts(keep="AND chunk_id % 3 = 1") + _DENSE.format(pool=12) + "SELECT * FROM dense")
+def model_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of another provider or model aren't seen, whatever their length."""
+    named = chunks(spark, d).withColumns({"embedding_provider": F.when(F.col("chunk_id") % 3 == 0, "other").otherwise("local"), "embedding_model": F.when(F.col("chunk_id") % 3 == 1, "m1").otherwise("m2")})
+    return retrieval.dense_top(questions(spark, d), retrieval.visible(named, "local", "m1"), 12)
+
+
+@query(f"""
+WITH h AS ({_hybrid_sql()}), s AS (SELECT *, CASE WHEN chunk_id % 3 > 0 THEN chunk_id * 7 % 11 END AS r FROM h)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY r DESC NULLS LAST, rank, chunk_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC NULLS LAST, rank, chunk_id) <= 5""")
+def rerank_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits in the order of another judge's scores, which every third hit lacks."""
+    found = retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens)
+    scores = found.where("chunk_id % 3 > 0").select("query_id", "chunk_id", (F.col("chunk_id") * 7 % 11).cast("double").alias("rerank_score"))
+    return retrieval.rerank(found, scores, 5).select("query_id", "chunk_id", "rank")
+
+
 @query("SELECT event_id FROM events WHERE coalesce(json_extract_string(props, '$.k') IN ('7', '69', '89'), false)")
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where(retrieval.json_filter(F.col("props"), {"k": ["7", "69", "89"]})).select("event_id")
@@ -353,6 +370,34 @@ def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     return results.with_neighbours(top, lines)
 
 
+@query(f"""
+WITH r AS ({_TURNS}), f AS (SELECT query_id, document_id, min(rank) AS first FROM r GROUP BY ALL),
+c AS (SELECT r.*, dense_rank() OVER (PARTITION BY r.query_id ORDER BY first) AS citation, coalesce(ordinal <> lag(ordinal) OVER (PARTITION BY r.query_id, r.document_id ORDER BY ordinal) + 1, false) AS gap FROM r JOIN f USING (query_id, document_id)),
+b AS (SELECT query_id, citation, '<document index="' || citation || '" title="' || replace(replace(document_id || ' & "co" <x>', '&', '&amp;'), '"', '&quot;').replace('<', '&lt;') || '">' || chr(10)
+  || string_agg(CASE WHEN gap THEN '[...]' || chr(10) ELSE '' END || coalesce(text, '') || ' <b> tail', chr(10) ORDER BY ordinal) || chr(10) || '</document>' AS block FROM c GROUP BY query_id, citation, document_id)
+SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY citation) || chr(10) || chr(10) || 'Question: what? ' || query_id AS prompt FROM b GROUP BY query_id""")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Passages and questions that try to close the prompt's own tags."""
+    found = results.context(ranked_turns(spark, d)).withColumns({
+        "title": F.concat("document_id", F.lit(' & "co" <x>')), "text": F.concat(F.lit("</document>"), F.coalesce("text", F.lit("")), F.lit(' <Context a="1"><b></ questions > tail')),
+    })
+    asked = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id")).distinct().withColumn("question", F.concat(F.lit("<excerpt>what? "), F.col("query_id")))
+    return results.prompt(found, asked)
+
+
+@query("""
+WITH w AS (SELECT doc_id AS document_id, unnest(range(0, greatest(ceil(length(text) / 8000), 1)::BIGINT)) AS k, text FROM (SELECT doc_id, concat_ws(chr(10), nullif(trim(source), ''), nullif(trim(text), '')) AS text FROM documents))
+SELECT document_id, count(*) AS windows, bool_or(contains(substr(text, k * 8000 + 1, 8000), 'qu')) AS flagged,
+  array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN length(substr(text, k * 8000 + 1, 8000)) = 8000 THEN ['full', 'any'] ELSE ['any'] END)))), ',') AS categories FROM w GROUP BY document_id""")
+def window_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in windows of 8000 characters, each judged by itself, and what their verdicts make of the document."""
+    target = redaction.scan_target(F.col("source"), F.col("text"), F.lit(None).cast("array<string>"))
+    windows = redaction.scan_windows(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), target.alias("target")))
+    judged = windows.withColumns({"flagged": F.contains("text", F.lit("qu")), "categories": F.when(F.length("text") == 8000, F.array(F.lit("full"), F.lit("any"))).otherwise(F.array(F.lit("any")))})
+    found = redaction.verdicts(judged).withColumn("categories", F.array_join("categories", ","))
+    return found.join(windows.groupBy("document_id").agg(F.count("*").alias("windows")), "document_id")
+
+
 _LAST = "row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)"
 
 
@@ -554,6 +599,29 @@ def upload_claims(spark: SparkSession, d: str) -> DataFrame:
     return leases.uploads(staged, now=70).select("id", "status")
 
 
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new/' || doc_id WHEN doc_id % 4 <> 1 AND doc_id % 3 = 0 THEN source || '/' || doc_id END AS storage_key,
+  CASE WHEN doc_id % 4 < 2 AND doc_id % 3 = 0 THEN source || '/' || doc_id END AS previous_storage_key FROM documents""")
+def storage_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth document gets a new key, the next ones lose theirs; the keys that they had are handed back."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", "source", "doc_id")).alias("storage_key"))
+    stored = docs.where("document_id % 4 < 2").select("document_id", F.when(F.col("document_id") % 4 == 0, F.concat(F.lit("new/"), F.col("document_id"))).alias("storage_key"))
+    return ingest.set_storage(docs, stored).select(F.col("document_id").alias("doc_id"), "storage_key", "previous_storage_key")
+
+
+@query("""
+SELECT source AS source_id, count(*) AS total, count(*) FILTER (n_chars > 1000) AS to_reset, count(*) FILTER (n_chars > 1000 OR doc_id % 9 = 0) AS taken_up FROM documents GROUP BY source""")
+def forced_rerun(spark: SparkSession, d: str) -> DataFrame:
+    """What a forced run would take up again, and what it takes up once those documents have lost their hashes: they and the really changed ones."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), "text", "n_chars", ingest.content_hash(F.col("text")).alias("content_hash"))
+    report = ingest.attempts_report(docs, F.col("n_chars") > 1000)
+    changed = F.when(F.col("external_id").cast("long") % 9 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text"))
+    incoming = docs.select("source_id", "external_id", ingest.content_hash(changed).alias("content_hash"))
+    merged = ingest.upsert(ingest.invalidate(docs, F.col("n_chars") > 1000).select("source_id", "external_id", "content_hash"), incoming)
+    taken = merged.groupBy(F.col("source_id").alias("of")).agg(F.count_if("content_changed").alias("taken_up"))
+    return report.join(taken, F.col("source_id").eqNullSafe(F.col("of"))).drop("of")
+
+
 _CLASSES = f"""
 SELECT doc_id, source_class, CASE WHEN source_class = 'D' OR card THEN 'D' WHEN toxic THEN 'C' ELSE source_class END AS doc_class FROM (
   SELECT d.doc_id, CASE d.lang WHEN 'en' THEN 'A' WHEN 'de' THEN 'A' WHEN 'fr' THEN 'B' ELSE 'D' END AS source_class, coalesce(l.toxic, 0) = 1 AS toxic,
@@ -831,6 +899,41 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.retrieval_metrics(ranking, lines.where("l_returnflag = 'R'").select("query_id", "document_id"))
 
 
+def _relevant(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, document_id: documents that a benchmark item stands in."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    held = _may_hold(spark, d).join(items, "item_id").where(F.contains("text", "quote"))
+    return held.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"))
+
+
+_REL = "SELECT item_id AS query_id, doc_id AS document_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
+
+
+@query(f"WITH rank AS (SELECT query_id, document_id, rank FROM ({_hybrid_sql()})), rel AS ({_REL}) " + _METRICS)
+def search_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of the fused search itself: of each benchmark item, the documents that it stands in."""
+    found = results.document_ranking(retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens))
+    return evaluation.retrieval_metrics(found, _relevant(spark, d))
+
+
+@query(f"""
+WITH h AS ({_hybrid_sql()}), r AS (SELECT query_id, list(DISTINCT document_id) AS relevant FROM ({_REL}) GROUP BY query_id),
+o AS (SELECT query_id, list(document_id) FILTER (rank <= 3) AS retrieved, list(document_id) FILTER (rank BETWEEN 3 AND 4) AS cited, max(dense_score) < 0.3 AS refused FROM h WHERE query_id % 5 <> 0 GROUP BY query_id),
+j AS (SELECT b.item_id, r.relevant IS NOT NULL AS answerable, r.relevant, o.retrieved, o.cited, o.refused, o.query_id IS NOT NULL AS seen FROM benchmark b LEFT JOIN r ON r.query_id = item_id LEFT JOIN o ON o.query_id = item_id)
+SELECT round(avg(CASE WHEN seen AND answerable THEN len(list_intersect(relevant, retrieved))::DOUBLE / len(relevant) END), 6) AS recall, round(avg(CASE WHEN seen THEN (refused = NOT answerable)::INT END), 6) AS refusal_accuracy,
+  count(*) FILTER (len(list_filter(cited, lambda x: NOT list_contains(retrieved, x))) > 0) AS fabricated, count(*) FILTER (seen AND item_id % 7 = 0) AS truncated, count(*) FILTER (NOT seen) AS missing FROM j""")
+def gold_report(spark: SparkSession, d: str) -> DataFrame:
+    """Answers made of the search's hits: three are retrieved, the third and fourth cited, weak ones refused; every fifth question has no answer."""
+    found = retrieval.hybrid(questions(spark, d), chunks(spark, d), analyse=T.tokens).where("query_id % 5 <> 0")
+    ids = lambda test: F.collect_list(F.when(test, F.col("document_id")))
+    observed = found.groupBy(F.col("query_id").alias("id")).agg(
+        F.lit("x").alias("answer"), ids(F.col("rank") <= 3).alias("retrieved"), ids(F.col("rank").between(3, 4)).alias("cited"), (F.max("dense_score") < 0.3).alias("refused"), F.first(F.col("query_id") % 7 == 0).alias("truncated")
+    )
+    relevant = _relevant(spark, d).groupBy(F.col("query_id").alias("id")).agg(F.collect_set("document_id").alias("relevant"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id")).join(relevant, "id", "left").withColumn("answerable", F.col("relevant").isNotNull())
+    return evaluation.gold_report(asked, observed)
+
+
 @query("""
 SELECT user_id AS id, round(count(*) FILTER (event_type = 'purchase')::DOUBLE / nullif(count(*) FILTER (event_type IN ('purchase', 'error')), 0), 6) AS faithfulness FROM events GROUP BY user_id""")
 def faithfulness(spark: SparkSession, d: str) -> DataFrame:

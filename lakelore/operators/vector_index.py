@@ -4,6 +4,9 @@ Centroids are trained once, on a bounded sample. A list lies in a folder of its
 holds much of the corpus has many blocks, so it is many tasks. A query goes to the lists whose centroids are nearest to it, and there with the other
 queries of a block: each block of a list is multiplied with each block of queries that asks for the list. Scores are those of
 retrieval.dense_top(), which stays the exact way; what is approximate is which lists are read.
+
+How many lists a query reads is measured, not guessed: when centroids are trained, the nearest neighbours of some sampled chunks among the others are looked
+for, and enough lists are read to hold ``RECALL`` of them. Where vectors fall into groups that are a few lists, where they don't it is many.
 """
 
 from __future__ import annotations
@@ -19,7 +22,9 @@ from . import retrieval
 from .segments import Segments
 
 #: Chunks of a block and queries of a block, about; rows to train on and lists, at most.
-BLOCK, QUERIES, SAMPLE, LISTS = 512, 64, 16_384, 1024
+BLOCK, QUERIES, SAMPLE, LISTS = 1024, 256, 16_384, 1024
+#: Sampled chunks whose neighbours are looked for, among so many others, and the share of these neighbours that must be found.
+ASKED, AMONG, RECALL = 256, 4096, 0.95
 #: Bytes of a batch's query vectors with which they are broadcast.
 FEW_BYTES = 16 << 20
 
@@ -34,6 +39,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
+def probes_for(some: np.ndarray, centroids: np.ndarray, k: int = 10) -> int:
+    """The fewest lists, nearest first, in which ``RECALL`` of the k nearest others of some vectors lie."""
+    x, c = _unit(some), _unit(centroids)
+    asked = x[:ASKED]
+    near = asked @ x.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -np.inf  # itself
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1
+    found = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(asked @ c.T), axis=1, kind="stable"), axis=1)  # of each list in a query's order
+    lists = (x @ c.T).argmax(1)[found]
+    return int(np.quantile(np.take_along_axis(place, lists, axis=1), RECALL, method="higher")) + 1
+
+
 class VectorIndex(Segments):
     """Chunks (chunk_id, source_id, embedding) under a folder. Null vectors, vectors of zeros, of another length than the centroids or with components that aren't
     finite match nothing and are left out."""
@@ -50,7 +70,8 @@ class VectorIndex(Segments):
         model = KMeans(k=lists, maxIter=10, seed=seed, distanceMeasure="cosine", featuresCol="v").fit(rows.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v")))
         centroids = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         folder = self.log.write(self.spark.createDataFrame(centroids, "list int, centroid array<double>").coalesce(1), "centroids")
-        return self.log.commit({"kind": "centroids", "folders": [folder], "centroids": folder})
+        some = np.array([r.embedding for r in rows.limit(AMONG).collect()], float)
+        return self.log.commit({"kind": "centroids", "folders": [folder], "centroids": folder, "probes": probes_for(some, np.array([c for _, c in centroids]))})
 
     def _centroids(self) -> np.ndarray:
         named = [e["centroids"] for e in self.log.entries() if "centroids" in e]
@@ -60,7 +81,8 @@ class VectorIndex(Segments):
         return np.array([r.centroid for r in rows])
 
     def _about(self) -> dict:
-        return {"centroids": [e["centroids"] for e in self.log.entries() if "centroids" in e][-1]}
+        """What each entry repeats of the centroids: their folder, and how many lists a query reads."""
+        return [{k: e[k] for k in ("centroids", "probes")} for e in self.log.entries() if "centroids" in e][-1]
 
     def _listed(self, chunks: DataFrame) -> DataFrame:
         """chunks with list."""
@@ -131,7 +153,7 @@ class VectorIndex(Segments):
         sizes = {r[0]: r[1] for r in self.scan(self.live(), ["list", F.size("ids").alias("n")]).groupBy("list").agg(F.sum("n")).collect()}  # a row a list
         centroids = _unit(self._centroids())
         shared = self.spark.sparkContext.broadcast((centroids, np.array([sizes.get(i, 0) for i in range(len(centroids))])))
-        wanted, least = 8 * ef_search(k), probes
+        wanted, least, usual = ef_search(k), probes, self._about()["probes"]
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
@@ -147,7 +169,7 @@ class VectorIndex(Segments):
                         raise ValueError(f"a query vector has {q.shape[1]} components, the index {c.shape[1]}")
                     order = np.argsort(-(_unit(q) @ c.T), axis=1, kind="stable")
                     enough = (np.cumsum(n[order], axis=1) < wanted).sum(1) + 1
-                    take = np.minimum(np.maximum(enough, 8) if least is None else np.full(len(q), least), len(c))
+                    take = np.minimum(np.maximum(enough, usual) if least is None else np.full(len(q), least), len(c))
                     rows = np.repeat(np.arange(len(q)), take)
                     lists = np.concatenate([order[i, : take[i]] for i in range(len(q))]) if len(q) else np.zeros(0, int)
                     yield pa.RecordBatch.from_arrays([*some.take(pa.array(rows)).columns, pa.array(lists, pa.int32())], names=["query_id", "scope", "embedding", "list"])
@@ -158,7 +180,7 @@ class VectorIndex(Segments):
     def search(self, queries: DataFrame, k: int, probes: int | None = None, digits: int = 6) -> DataFrame:
         """query_id, chunk_id, score, rank, as retrieval.dense_top() gives them for the chunks of the lists that are read.
 
-        probes: lists of a query; else the fewest nearest ones, eight or more, that hold eight times ef_search(k) chunks. A query vector that isn't finite, or of
+        probes: lists of a query; else as many as were measured to be enough, or more if those hold fewer than ef_search(k) chunks. A query vector that isn't finite, or of
         another length, is an error.
         """
         schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id long, score double"
@@ -168,7 +190,9 @@ class VectorIndex(Segments):
         per_list = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("groups"), F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"))
         facts = per_list.collect()  # a row a list
         groups = asked.join(F.broadcast(per_list.select("list", "groups")), "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")))
-        groups = groups.groupBy("list", "group").agg(F.collect_list(F.struct("query_id", "scope", "embedding")).alias("queries")).drop("group")
+        one = F.sort_array(F.collect_list(F.struct("query_id", "scope", "embedding")))
+        field = lambda n: F.transform("rows", lambda r: r[n])
+        groups = groups.groupBy("list", "group").agg(one.alias("rows")).select("list", field("query_id").alias("asked"), field("scope").alias("scopes"), F.flatten(field("embedding")).alias("wanted"))
         blocks = self._live_blocks(["ids", "sources", "vectors"], sorted(r["list"] for r in facts))
         if sum(r["n"] * r["width"] * 8 for r in facts) <= FEW_BYTES:
             pairs = blocks.join(F.broadcast(groups), "list")
@@ -180,24 +204,28 @@ class VectorIndex(Segments):
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
+            def part(column, i: int, kind) -> np.ndarray:
+                """A row's list as numbers, without a Python object for each."""
+                begin, end = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
+                return column.values[begin:end].to_numpy(zero_copy_only=False).astype(kind)
+
             for batch in batches:
-                for row in (r for i in range(0, batch.num_rows, 8) for r in batch.slice(i, 8).to_pylist()):
-                    ids = np.array(row["ids"])
-                    x = np.array(row["vectors"], np.float32).astype(float).reshape(len(ids), -1)
-                    q = np.array([a["embedding"] for a in row["queries"]], float)
-                    scopes = [None if a["scope"] is None else frozenset(a["scope"]) for a in row["queries"]]
+                ids_, sources, vectors, asked_, scopes_, wanted, gone = batch.columns
+                for i in range(batch.num_rows):
+                    ids, names = np.array(ids_[i].as_py()), asked_[i].as_py()
+                    x, q = part(vectors, i, float).reshape(len(ids), -1), part(wanted, i, float).reshape(len(names), -1)
                     with np.errstate(divide="ignore", invalid="ignore"):
                         scores = np.round((q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]), digits) + 0.0
-                    seen = np.isfinite(scores) & retrieval.scoped(scopes, row["sources"])
-                    if row["gone"]:
-                        seen &= ~np.isin(ids, row["gone"])[None, :]
+                    scopes = [None if a is None else frozenset(a) for a in scopes_[i].as_py()]
+                    seen = np.isfinite(scores) & retrieval.scoped(scopes, sources[i].as_py())
+                    if gone[i].as_py():
+                        seen &= ~np.isin(ids, gone[i].as_py())[None, :]
                     best = retrieval.Best(len(q), k)
                     best.add(np.where(seen, scores, -np.inf), ids)
                     if len(best.query):
-                        names = [row["queries"][i]["query_id"] for i in best.query]
-                        yield pa.RecordBatch.from_pydict({"query_id": names, "chunk_id": best.chunk.tolist(), "score": best.score})
+                        yield pa.RecordBatch.from_pydict({"query_id": [names[j] for j in best.query], "chunk_id": best.chunk.tolist(), "score": best.score})
 
-        hits = pairs.select("ids", "sources", "vectors", "queries", "gone").mapInArrow(run, schema.replace("chunk_id long", f"chunk_id {kind}"))
+        hits = pairs.select("ids", "sources", "vectors", "asked", "scopes", "wanted", "gone").mapInArrow(run, schema.replace("chunk_id long", f"chunk_id {kind}"))
         return retrieval.ranked(hits, k)
 
 

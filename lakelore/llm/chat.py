@@ -76,7 +76,11 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
-    """``chats`` with turns (array of role, text) and loss_texts (array), read back from the strings and spans."""
+    """``chats`` with turns (array of role, text) and loss_texts (array), read back from the strings and spans.
+
+    A null string has null turns; repeated rows are read each; an empty table gives no rows; other columns pass through, whatever their names; very long
+    conversations take time by their length.
+    """
     found = free_name(chats, "__blocks")
     blocks = chats.withColumn(found, F.regexp_extract_all("formatted", F.lit(_BLOCK), F.lit(0)))
     body = lambda b: F.regexp_replace(F.regexp_replace(b, _OPEN, ""), _CLOSE, "")

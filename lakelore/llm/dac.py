@@ -165,7 +165,11 @@ def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, i
 
 
 def read(spark: SparkSession, manifest: DataFrame, out: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Rows of the files: doc_id, start, n_tokens, ids_crc32 (unsigned, of little-endian ids), ids on request."""
+    """Rows of the files: doc_id, start, n_tokens, ids_crc32 (unsigned, of little-endian ids), ids on request.
+
+    A row per document of the manifest's files, repeated ones each; null doc_ids as they were written; an empty manifest gives no rows. A file is read
+    whole by its task, so a very long document takes its task's memory; other columns of the manifest don't matter.
+    """
     root = out or shared_dir(spark)
 
     def run(batches: Iterator) -> Iterator:

@@ -250,7 +250,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and ambiguous. Null texts and those without a letter: ``und``, score 0.
 
-    Columns with the new names are replaced; other columns, repeated rows and any length pass through.
+    Of languages that decode alike the first by name is predicted, as ambiguous. Columns with the new names are replaced; other columns pass
+    through, repeated rows each; very long texts are read whole; an empty table gives no rows, a model without languages ``und`` for every row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: buckets x bits
     new = {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}

@@ -97,7 +97,7 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
 
     White space goes with the word before it, but for that after a passage's last word if it holds a line break. Every row stays;
     a null text stays null. Null doc_ids come first in the order. A column of ``docs`` with the new name is replaced, others pass
-    through whatever their names; an empty table gives no rows.
+    through whatever their names; an empty table gives no rows. Very long texts are an array of words within their task.
     """
     row = free_name(docs, "__row")
     rows = with_row_id(docs, row)
@@ -117,7 +117,7 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
 
 def dedup(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Operator 8 as a whole: dedup_lines(), then dedup_passages() over what it has left; ``docs`` with its text replaced and
-    new columns removed_lines, removed_words."""
+    new columns removed_lines, removed_words. Odd rows, ties, empty tables and very long texts as in those two."""
     lines = settle(dedup_lines(docs, min_words, doc_id, text))
     was, kept = free_name(lines, "__was"), [c for c in lines.columns if c != "removed_words"]
     found = dedup_passages(lines.withColumnRenamed("removed_words", was), min_words, doc_id, text)

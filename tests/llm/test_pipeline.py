@@ -14,7 +14,7 @@ from tests.llm.test_passages import brute_passages
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     got = queries()[name](spark, data)
     found = con.execute(oracle_sql()[name])

@@ -221,32 +221,41 @@ _BATCH = 8 << 20
 
 
 def _sets(rows: DataFrame, chosen: DataFrame, shared) -> DataFrame:
-    """id and set (tokens in order) of the rows named in ``chosen`` (__row, id)."""
+    """id, copies and set (tokens in order) of the rows named in ``chosen`` (__row, id, copies)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["id", "set"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(copies, pa.int64()), pa.array(sets, pa.binary())], names=["id", "copies", "set"])
 
         with worker_memory("ngram_join"):
-            classes, ids, sets, held = shared.value, [], [], 0
+            classes, ids, copies, sets, held = shared.value, [], [], [], 0
             for batch in batches:
-                for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                for i, c, t in zip(*batch.columns, strict=True):
                     ids.append(i.as_py())
+                    copies.append(c.as_py())
                     sets.append(tokens(shingles(t.as_py()), classes).tobytes())
                     held += len(sets[-1])
                     if held > _BATCH:
                         yield out()
-                        ids, sets, held = [], [], 0
+                        ids, copies, sets, held = [], [], [], 0
             if ids:
                 yield out()
 
-    return rows.select("__row", "text").join(if_few(chosen), "__row").select("id", "text").mapInArrow(run, "id binary, set binary")
+    return rows.select("__row", "text").join(if_few(chosen), "__row").select("id", "copies", "text").mapInArrow(run, "id binary, copies long, set binary")
+
+
+#: Pairs of a set, about, that meet one copy of it.
+_PAIRS_A_COPY = 64
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, shared, work: Scratch) -> DataFrame:
-    """Links a, b (digests) among candidate pairs x, y of shorts, each looked at once."""
+    """Links a, b (digests) among candidate pairs x, y of shorts, each looked at once.
+
+    Of a pair, ``a`` is the end with fewer pairs, so none of P pairs' ends is ``a`` more than sqrt(2 P) times: its set goes beside each
+    of them. The set of ``b``, which may be in most pairs, is copied once for every few of them, and these are dealt by copy.
+    """
 
     def same(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -256,12 +265,18 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, sh
                 good = [linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda old, k: nodes.select(F.col("short").alias(old), F.col("id").alias(k))
-    both = work.settle(pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b"))
-    wanted = both.select(F.col("a").alias("id")).union(both.select("b")).distinct()
-    sets = work.settle(_sets(rows, work.settle(nodes.select("__row", "id").join(wanted, "id", "left_semi")), shared))
-    of = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"))
-    return work.settle(if_few(both).join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(same, "a binary, b binary"))
+    degrees = pairs.select(F.explode(F.array("x", "y")).alias("short")).groupBy("short").agg(F.count("*").alias("n"))
+    ends = work.settle(nodes.select("short", "id").join(degrees, "short").select("short", "id", "n", F.struct("n", "id").alias("end")))
+    side = lambda old: ends.select(F.col("short").alias(old), F.col("end").alias(f"{old}_end"), "n")
+    met = join_one(join_one(pairs, side("x"), ["x"]), side("y"), ["y"])
+    both = work.settle(met.select(F.least("x_end", "y_end")["id"].alias("a"), F.greatest("x_end", "y_end")["id"].alias("b")))
+    hubs = work.settle(both.groupBy("b").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / _PAIRS_A_COPY)))
+    both = work.settle(join_one(both, hubs, ["b"]).select("a", "b", F.pmod(F.xxhash64("a"), "copies").alias("copy")))
+    wanted = both.select(F.col("a").alias("id"), F.lit(0).cast("long").alias("copies")).union(hubs.select("b", "copies")).groupBy("id").agg(F.max("copies").alias("copies"))
+    sets = work.settle(_sets(rows, work.settle(nodes.select("__row", "id").join(wanted, "id")), shared))
+    left = if_few(both, 4).join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    of_hubs = sets.where("copies > 0").select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("set").alias("set_b"))
+    return work.settle(left.join(of_hubs, ["b", "copy"]).select("a", "b", "set_a", "set_b").mapInArrow(same, "a binary, b binary"))
 
 
 def _may_link(small: str, large: str, percent: int) -> Column:
@@ -286,9 +301,9 @@ def _first_pairs(live: DataFrame, percent: int, work: Scratch) -> DataFrame:
 def _left_pairs(live: DataFrame, root: DataFrame, percent: int, work: Scratch) -> DataFrame:
     """Step 2: pairs x, y of sets of different components (root; null: unknown) that share a prefix token and may link."""
     rooted = work.settle(live.join(root, "short"))
-    groups = rooted.groupBy("token", "root").agg(F.count("*").alias("sets")).groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("sets", "root")).alias("largest"))
-    several = groups.where("parts > 1 or largest.root is null").select("token", F.col("largest.root").alias("main"))
-    spread = work.settle(rooted.join(several, "token"))
+    groups = rooted.groupBy("token", "root").agg(F.count("*").alias("sets")).groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("sets", "root")).alias("largest"), F.sum("sets").alias("sets"))
+    several = work.settle(groups.where("parts > 1 or largest.root is null").select("token", F.col("largest.root").alias("main"), "sets"))
+    spread = work.settle(join_one(rooted, several, ["token"], "sets"))
     rename = lambda d, p, size: d.select("token", size.alias("size"), *[F.col(c).alias(p + c) for c in ("short", "n", "pos", "root")])
     classes = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
     outside = rename(spread.where("not (root <=> main) or root is null"), "x_", classes)
@@ -323,9 +338,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
 
     # Prefixes whose token another set has too. A class is a little wider than what may link, so classes of linked sets are neighbours.
     prefixes = work.settle(_prefixes(rows, shared, percent))
-    several = prefixes.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a <> b").select("token")
+    several = prefixes.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("b"), F.count("*").alias("sets")).where("a <> b").select("token", "sets")
     size = F.floor(F.log("n") / F.lit(math.log(100 / percent * 1.000001))).cast("long")
-    live = work.settle(prefixes.join(several, "token", "left_semi").distinct().withColumn("size", size))
+    live = work.settle(join_one(prefixes, work.settle(several), ["token"], "sets").distinct().withColumn("size", size))
 
     tried = _first_pairs(live, percent, work)
     links = _links(tried, nodes, rows, percent, shared, work)

@@ -3,12 +3,13 @@
 A text is a row of words (runs of anything but ASCII white space; at most 64 characters each, so a text
 without spaces has words too). A run of k words is a closed syncmer if the least hash of its inner runs of s
 words stands at its first or last place. Whether it is depends on those k words alone, so equal
-passages have equal syncmers wherever they stand. A fingerprint holds one in ``share`` of a text's different syncmers, those of
-least hash, but ``least`` of them if it has as many; each with the place of its first occurrence. So it grows with its text. A
-text with words but no syncmer (there is one from 2k - s - 1 words on) has one anchor, all its words.
+passages have equal syncmers wherever they stand. A fingerprint (``fingerprints``) holds all different syncmers of its text, each
+with the place of its first occurrence. A text with words but no syncmer (there is one from 2k - s - 1 words on) has one anchor,
+all its words. ``with_anchors`` also makes samples: one in ``share`` of the syncmers, those of least hash, but ``least`` of them if
+there are as many.
 
-Likeness: of the least hashes of both fingerprints together, as many as the smaller one is sure to hold, the share found in both
-at places that agree: with no shift, with the same shift as another match, or with about the shift of one of the two matches before
+Likeness: of all hashes of both fingerprints together (of samples: the least of them, as many as the smaller one is sure to hold),
+the share found in both at places that agree: with no shift, with the same shift as another match, or with about the shift of one of the two matches before
 or after it (by a quarter of the words between them at most), as edits spread over a text move it bit by bit. It is found by
 sorting, so its time hardly grows faster than the fingerprints.
 """
@@ -29,12 +30,12 @@ _PLACE_BITS = 27
 _DRIFT = 4
 
 
-#: Syncmers that a fingerprint holds at least, if there are as many, and one in how many it holds of more.
+#: Syncmers that a sample holds at least, if there are as many, and one in how many it holds of more.
 LEAST, SHARE = 64, 4
 
 
 def with_anchors(rows: DataFrame, text: str, out: str, k: int = 5, s: int = 2, least: int = LEAST, share: int = SHARE) -> DataFrame:
-    """``rows`` with ``out``: the anchors of a text, an ascending array of longs. Each step is a column of its
+    """``rows`` with ``out``: the anchors of a text, an ascending array of longs; all of them if ``share`` is 1. Each step is a column of its
     own, as an expression within a lambda would be computed again for each element."""
     if not 0 < s < k:
         raise ValueError("0 < s < k")
@@ -57,6 +58,8 @@ def with_anchors(rows: DataFrame, text: str, out: str, k: int = 5, s: int = 2, l
     step = step.select(*keep, F.when(F.size(a) == 0, whole).otherwise(a).alias(found))
     first = lambda x, i: (i == 0) | (F.shiftright(x, _PLACE_BITS) != F.shiftright(F.get(a, F.greatest(i - 1, F.lit(0))), _PLACE_BITS))
     step = step.select(*keep, F.filter(a, first).alias(found))
+    if share == 1:
+        return step.select(*keep, a.alias(out))
     return step.select(*keep, F.slice(a, 1, F.greatest(F.lit(least), F.ceil(F.size(a) / share).cast("int"))).alias(out))
 
 
@@ -65,22 +68,31 @@ def as_string(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, F.hex), ",")
 
 
-def with_likeness(rows: DataFrame, left: str, right: str, out: str, least: int = LEAST) -> DataFrame:
-    """``rows`` with ``out``: likeness of two anchor arrays, 0 to 1; two empty ones are alike."""
+def with_likeness(rows: DataFrame, left: str, right: str, out: str, least: int | None = LEAST) -> DataFrame:
+    """``rows`` with ``out``: likeness of two anchor arrays, 0 to 1; two empty ones are alike. least: what samples hold at least;
+    None: the arrays hold all anchors, and all count."""
     both, last, n = (free_name(rows, f"__{x}") for x in ("both", "last", "n"))
     l, r, m = F.col(left), F.col(right), F.col(both)  # noqa: E741
     keep = [F.col(f"`{c}`") for c in rows.columns if c != out]
     hash_, place = (lambda x: F.shiftright(x, _PLACE_BITS)), (lambda x: x.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
     hashes = lambda c: F.transform(c, hash_)
-    # How many of the least hashes both are sure to hold, the number of those there are, and the last of them.
-    sure = F.least(F.greatest(F.size(l), F.lit(least)), F.greatest(F.size(r), F.lit(least)))
-    total = F.slice(F.sort_array(F.array_union(hashes(l), hashes(r))), 1, sure)
     sided = lambda c, side: F.transform(c, lambda x: F.struct(hash_(x).alias("hash"), F.lit(side).alias("side"), place(x).alias("at")))
-    step = rows.select(*keep, total.alias(last), F.sort_array(F.concat(sided(l, 0), sided(r, 1))).alias(both))
+    sorted_ = F.sort_array(F.concat(sided(l, 0), sided(r, 1))).alias(both)
     # In order of hash, a match is a row whose hash the next has too.
     after = lambda i: F.get(m, i + 1)
-    match = F.transform(m, lambda x, i: F.when((after(i)["hash"] == x["hash"]) & (x["hash"] <= F.element_at(F.col(last), -1)), F.struct((x["at"] - after(i)["at"]).alias("shift"), x["at"].alias("at"))))
-    step = step.select(*keep, F.size(last).alias(n), F.when(F.size(last) > 0, F.sort_array(F.array_compact(match))).alias(both))
+    shifted = lambda x, i: F.struct((x["at"] - after(i)["at"]).alias("shift"), x["at"].alias("at"))
+    if least is None:
+        step = rows.select(*keep, (F.size(l) + F.size(r)).alias(n), sorted_)
+        match = F.transform(m, lambda x, i: F.when(after(i)["hash"] == x["hash"], shifted(x, i)))
+        step = step.select(*keep, n, F.sort_array(F.array_compact(match)).alias(both))
+        step = step.select(*keep, (F.col(n) - F.size(m)).alias(n), both)
+    else:
+        # How many of the least hashes both are sure to hold, the number of those there are, and the last of them.
+        sure = F.least(F.greatest(F.size(l), F.lit(least)), F.greatest(F.size(r), F.lit(least)))
+        total = F.slice(F.sort_array(F.array_union(hashes(l), hashes(r))), 1, sure)
+        step = rows.select(*keep, total.alias(last), sorted_)
+        match = F.transform(m, lambda x, i: F.when((after(i)["hash"] == x["hash"]) & (x["hash"] <= F.element_at(F.col(last), -1)), shifted(x, i)))
+        step = step.select(*keep, F.size(last).alias(n), F.when(F.size(last) > 0, F.sort_array(F.array_compact(match))).alias(both))
     # In order of shift, neighbours tell whether another match has the same one.
     same = lambda x, i: F.coalesce(F.get(m, i - 1)["shift"] == x["shift"], F.lit(False)) | F.coalesce(F.get(m, i + 1)["shift"] == x["shift"], F.lit(False))
     step = step.select(*keep, n, F.sort_array(F.transform(m, lambda x, i: F.struct(x["at"].alias("at"), x["shift"].alias("shift"), (same(x, i) | (x["shift"] == 0)).alias("agrees")))).alias(both))
@@ -140,19 +152,19 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text: the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document. Null texts count as empty; an empty text has an empty fingerprint. An empty table gives no rows, a
+    document. A fingerprint holds all syncmers of its text, and likeness counts all of both. Null texts count as empty; an empty text has an empty fingerprint. An empty table gives no rows, a
     table of one row is its own next document. Repeated rows, and rows of one doc_id, follow each other by a hash of where they stand in the
     table, null doc_ids come last; many of one doc_id are dealt over many tasks. Very long texts are arrays of words within their task; one of
     2**27 words or more is an error. Other columns don't matter, whatever their names.
     """
     rows = identified(docs, {"doc_id": F.col(f"`{doc_id}`"), "text": filled(F.col(f"`{text}`"))})
-    rows = with_anchors(rows, "text", "anchors", k, s)
+    rows = with_anchors(rows, "text", "anchors", k, s, share=1)
     rows = with_next(rows, ["text", "anchors"], row="__row")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.expr("left(next_text, cast(floor(n_chars / 2) as int))")))
     rows = rows.select("doc_id", "n_chars", "anchors", "next_anchors", "edited", F.sha2("edited", 256).alias("edited_sha256"))
-    rows = with_anchors(rows, "edited", "edited_anchors", k, s).drop("edited")
-    rows = with_likeness(rows, "anchors", "edited_anchors", "near_edited")
-    rows = with_likeness(rows, "anchors", "next_anchors", "near_next")
+    rows = with_anchors(rows, "edited", "edited_anchors", k, s, share=1).drop("edited")
+    rows = with_likeness(rows, "anchors", "edited_anchors", "near_edited", least=None)
+    rows = with_likeness(rows, "anchors", "next_anchors", "near_next", least=None)
     return rows.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("anchors")).alias("fingerprint"), as_string(F.col("edited_anchors")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -163,6 +163,21 @@ def test_likeness_of_long_texts_with_scattered_edits(spark):
     assert min(got[:2]) > 0.75 and got[2] < 0.25 < share[2], (got, share)
 
 
+def test_fingerprints_hold_all_syncmers(spark):
+    rng = random.Random(31)
+    words = [f"f{rng.randrange(4000)}" for _ in range(900)]
+    texts = [" ".join(words)] + [" ".join([*words[:at], "new", *words[at + 1 :]]) for at in range(20, 880, 40)]
+    got = {r.doc_id: r for r in syncmers.fingerprints(frame(spark, texts)).collect()}
+    held = [[int(x, 16) for x in got[i].fingerprint.split(",")] for i in range(len(texts))]
+    for i in (0, 1, 9):
+        assert [(x >> syncmers._PLACE_BITS, x & ((1 << syncmers._PLACE_BITS) - 1)) for x in held[i]] == list(brute_anchors(spark, texts[i]).items())
+    assert len({got[i].fingerprint for i in got}) == len(texts)  # one changed word, wherever it stands, shows
+    for i in range(len(texts)):
+        after, edited = held[(i + 1) % len(texts)], [int(x, 16) for x in got[i].edited_fingerprint.split(",")]
+        assert got[i].near_next < 1 and abs(got[i].near_next - brute_likeness(held[i], after, 10**9)) < 1e-12
+        assert abs(got[i].near_edited - brute_likeness(held[i], edited, 10**9)) < 1e-12
+
+
 def test_odd_fingerprints(odd):
     assert syncmers.fingerprints(odd).count() == 11
 

@@ -17,8 +17,8 @@ of near copies from making a pair of each two, pairs are tried in two steps that
 2. In groups that still span several components, the sets outside the group's largest component with those sets of other
    components whose size class is the same or next. Pairs within a component are left out: their link would join nothing.
 
-Groups are summed up, never gathered: a group's rows meet only in joins with one row per key on the other side (step 1), or
-in joins that Spark splits (step 2). Sets are made again from the texts of those pairs only; a list of them is broadcast to the
+Groups of frequent tokens are summed up, never gathered: their rows meet only in joins with one row per key on the other side
+(step 1), or in joins that Spark splits (step 2). Rows of a rare token, of which there are few, are dealt by token once. Sets are made again from the texts of those pairs only; a list of them is broadcast to the
 scan if it is counted and short, else joined.
 """
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Scratch, filled, identified, if_few, join_one, settle, worker_memory
 from .components import components
@@ -216,6 +216,27 @@ def _prefixes(rows: DataFrame, shared, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "token long, short long, n int, pos int")
 
 
+#: The class of rarity of tokens that may be in any number of sets. Those of a class below are in fewer than 2**15.5, as counters never fall short.
+_OFTEN = _CLASSES - 1
+
+
+def _met(prefixes: DataFrame, classes: np.ndarray, work: Scratch) -> DataFrame:
+    """Rows of ``prefixes``, each once, whose token another set has too.
+
+    Tokens of a class below the last are in few sets at any size of the corpus: their rows travel once, by token, and are told apart
+    where they meet. Those of the last class are counted first and go through join_one, as their groups may be large.
+    """
+    own = Window.partitionBy("token")
+    met = lambda rows: rows.withColumns({"__a": F.min("short").over(own), "__b": F.max("short").over(own)}).where("__a <> __b").drop("__a", "__b").distinct()
+    if not (classes >= _OFTEN).any():
+        return met(prefixes)
+    prefixes = work.settle(prefixes)
+    often = F.shiftright("token", _HASH_BITS) >= _OFTEN
+    many = prefixes.where(often)
+    several = many.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("b"), F.count("*").alias("sets")).where("a <> b").select("token", "sets")
+    return met(prefixes.where(~often)).unionByName(join_one(many, work.settle(several), ["token"], "sets").distinct())
+
+
 #: Bytes of sets in a batch that a task sends on.
 _BATCH = 8 << 20
 
@@ -331,16 +352,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     rows = identified(docs, {"doc_id": F.col(f"`{doc_id}`"), "text": filled(F.col(f"`{text}`"))}, row)
     work = Scratch(docs.sparkSession)
     profile = work.settle(_profile(rows))
-    shared = work.broadcast(_rarity(profile.where("counts is not null").select("part", "slot", "counts"), work))
+    classes = _rarity(profile.where("counts is not null").select("part", "slot", "counts"), work)
+    shared = work.broadcast(classes)
     each = profile.where("file is not null").select(F.struct("file", "row").alias("__row"), "n", "id", "short")
     named = each.where("n > 0").groupBy("short", "id").agg(F.min("__row").alias("__row"))
     nodes = work.settle(named)
 
     # Prefixes whose token another set has too. A class is a little wider than what may link, so classes of linked sets are neighbours.
-    prefixes = work.settle(_prefixes(rows, shared, percent))
-    several = prefixes.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("b"), F.count("*").alias("sets")).where("a <> b").select("token", "sets")
     size = F.floor(F.log("n") / F.lit(math.log(100 / percent * 1.000001))).cast("long")
-    live = work.settle(join_one(prefixes, work.settle(several), ["token"], "sets").distinct().withColumn("size", size))
+    live = work.settle(_met(_prefixes(rows, shared, percent), classes, work).withColumn("size", size))
 
     tried = _first_pairs(live, percent, work)
     links = _links(tried, nodes, rows, percent, shared, work)

@@ -100,3 +100,18 @@ def test_pairs_of_a_hub_are_dealt(spark, dealt, monkeypatch):
         sizes = [r["count"] for r in links.groupBy(F.input_file_name()).count().collect()]
         assert sum(sizes) == 3000 and max(sizes) < 1000  # a link is written by the task that compared its sets
     work.drop()
+
+
+@pytest.mark.parametrize("often", [ngram_join._CLASSES - 1, 4, 0])
+def test_prefixes_are_dealt_once(spark, monkeypatch, often):
+    written, settle = [], common.Scratch.settle
+    monkeypatch.setattr(common.Scratch, "settle", lambda self, df: written.append(df.columns) or settle(self, df))
+    monkeypatch.setattr(ngram_join, "_OFTEN", often, raising=False)
+    # Six families of five, four of which have an own word; each text thrice, and texts that share a passage only.
+    texts = [" ".join([*[f"f{k}w{i}" for i in range(60)], *([f"own{m}"] if m else [])]) for k in range(6) for m in range(5)] * 3
+    texts += [" ".join([*[f"f0w{i}" for i in range(20)], *[f"p{k}w{i}" for i in range(40)]]) for k in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == {i: 5 * (i % 30 // 5) if i < 90 else i for i in range(99)}
+    # Only if there are frequent tokens are prefixes written, to be read for rare and for frequent ones.
+    assert (["token", "short", "n", "pos"] in written) == (often <= 4)

@@ -2,7 +2,8 @@
 
 Centroids are trained once, on a bounded sample. A list lies in a folder of its own, in blocks of about ``BLOCK`` chunks; a list that
 holds much of the corpus has many blocks, so it is many tasks. A query goes to the lists whose centroids are nearest to it, and there with the other
-queries of a block: each block of a list is multiplied with each block of queries that asks for the list. Scores are those of
+queries of a block: each block of a list is multiplied with each block of queries that asks for the list. A batch of many queries is dealt into groups that ask for
+much the same lists, and these meet shelves of lists (retrieval.top_of_pairs). Scores are those of
 retrieval.dense_top(), which stays the exact way; what is approximate is which lists are read.
 
 How many lists a query reads is measured, not guessed: when centroids are trained, the nearest neighbours of some sampled chunks among the others are looked
@@ -25,7 +26,7 @@ from .segments import Segments
 BLOCK, QUERIES, SAMPLE, LISTS = 1024, 256, 16_384, 1024
 #: Sampled chunks whose neighbours are looked for, among so many others, and the share of these neighbours that must be found.
 ASKED, AMONG, RECALL = 256, 4096, 0.95
-#: Bytes of a batch's query vectors with which they are broadcast.
+#: Bytes of a batch's query vectors, each as often as it reads a list, with which they are broadcast.
 FEW_BYTES = 16 << 20
 
 
@@ -142,14 +143,17 @@ class VectorIndex(Segments):
         covers = max(self.log.versions(), default=-1)
         if not self.live():
             return None
+        return self._merged(self._blocks(self._live_chunks()), "lists", ("list",), covers, **self._about())
+
+    def _live_chunks(self, lists: list[int] | None = None) -> DataFrame:
+        """chunk_id, source_id, embedding, list of what counts."""
         width = self._centroids().shape[1]
-        rows = self._live_blocks(["ids", "sources", "vectors"]).select("list", "gone", F.posexplode("ids").alias("at", "chunk_id"), "sources", "vectors")
+        rows = self._live_blocks(["ids", "sources", "vectors"], lists).select("list", "gone", F.posexplode("ids").alias("at", "chunk_id"), "sources", "vectors")
         rows = rows.where(~F.coalesce(F.array_contains("gone", F.col("chunk_id")), F.lit(False)))
-        rows = rows.select("chunk_id", F.get("sources", F.col("at")).alias("source_id"), F.slice("vectors", F.col("at") * width + 1, F.lit(width)).alias("embedding"), "list")
-        return self._merged(self._blocks(rows), "lists", ("list",), covers, **self._about())
+        return rows.select("chunk_id", F.get("sources", F.col("at")).alias("source_id"), F.slice("vectors", F.col("at") * width + 1, F.lit(width)).alias("embedding"), "list")
 
     def _asked(self, queries: DataFrame, k: int, probes: int | None) -> DataFrame:
-        """query_id, scope, embedding, list: each query with the lists that it reads."""
+        """query_id, scope, embedding, lists, reads: each query with the lists that it reads, nearest first, and as bits by number."""
         sizes = {r[0]: r[1] for r in self.scan(self.live(), ["list", F.size("ids").alias("n")]).groupBy("list").agg(F.sum("n")).collect()}  # a row a list
         centroids = _unit(self._centroids())
         shared = self.spark.sparkContext.broadcast((centroids, np.array([sizes.get(i, 0) for i in range(len(centroids))])))
@@ -170,12 +174,14 @@ class VectorIndex(Segments):
                     order = np.argsort(-(_unit(q) @ c.T), axis=1, kind="stable")
                     enough = (np.cumsum(n[order], axis=1) < wanted).sum(1) + 1
                     take = np.minimum(np.maximum(enough, usual) if least is None else np.full(len(q), least), len(c))
-                    rows = np.repeat(np.arange(len(q)), take)
-                    lists = np.concatenate([order[i, : take[i]] for i in range(len(q))]) if len(q) else np.zeros(0, int)
-                    yield pa.RecordBatch.from_arrays([*some.take(pa.array(rows)).columns, pa.array(lists, pa.int32())], names=["query_id", "scope", "embedding", "list"])
+                    lists, reads = [order[i, : take[i]] for i in range(len(q))], np.zeros(order.shape, bool)
+                    for i, read in enumerate(lists):
+                        reads[i, read] = True
+                    bits = [r.tobytes() for r in np.packbits(reads, axis=1)]
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, pa.list_(pa.int32())), pa.array(bits, pa.binary())], names=["query_id", "scope", "embedding", "lists", "reads"])
 
         rows = queries.where(F.col("embedding").isNotNull()).select("query_id", "scope", F.col("embedding").cast("array<double>").alias("embedding"))
-        return rows.mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, scope array<string>, embedding array<double>, list int").where(F.exists("embedding", lambda x: x != 0))
+        return rows.mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, scope array<string>, embedding array<double>, lists array<int>, reads binary").where(F.exists("embedding", lambda x: x != 0))
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, digits: int = 6) -> DataFrame:
         """query_id, chunk_id, score, rank, as retrieval.dense_top() gives them for the chunks of the lists that are read.
@@ -187,18 +193,17 @@ class VectorIndex(Segments):
         if not self.live():
             return retrieval.ranked(self.spark.createDataFrame([], schema), k)
         asked = settled(self._asked(queries, k, probes))
-        per_list = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("groups"), F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"))
-        facts = per_list.collect()  # a row a list
-        groups = asked.join(F.broadcast(per_list.select("list", "groups")), "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")))
+        if (asked.agg(F.sum(F.size("lists").cast("long") * F.size("embedding") * 8)).first()[0] or 0) > FEW_BYTES:
+            return retrieval.top_of_pairs(asked, self._live_chunks(), k, digits)
+        each = asked.select("query_id", "scope", "embedding", F.explode("lists").alias("list"))
+        per_list = each.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("groups"))
+        lists = sorted(r["list"] for r in per_list.collect())  # a row a list
+        groups = each.join(F.broadcast(per_list), "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")))
         one = F.sort_array(F.collect_list(F.struct("query_id", "scope", "embedding")))
         field = lambda n: F.transform("rows", lambda r: r[n])
         groups = groups.groupBy("list", "group").agg(one.alias("rows")).select("list", field("query_id").alias("asked"), field("scope").alias("scopes"), F.flatten(field("embedding")).alias("wanted"))
-        blocks = self._live_blocks(["ids", "sources", "vectors"], sorted(r["list"] for r in facts))
-        if sum(r["n"] * r["width"] * 8 for r in facts) <= FEW_BYTES:
-            pairs = blocks.join(F.broadcast(groups), "list")
-        else:  # each block is a key of its own, so a list that many ask for, or that holds much, is many tasks
-            keys = self.scan(self.live(), ["list", "block"])
-            pairs = blocks.join(groups.join(keys, "list"), ["segment", "list", "block"])
+        blocks = self._live_blocks(["ids", "sources", "vectors"], lists)
+        pairs = blocks.join(F.broadcast(groups), "list")
         kind = dict(blocks.select(F.explode("ids").alias("x")).dtypes)["x"]
 
         def run(batches: Iterator) -> Iterator:
@@ -214,14 +219,13 @@ class VectorIndex(Segments):
                 for i in range(batch.num_rows):
                     ids, names = np.array(ids_[i].as_py()), asked_[i].as_py()
                     x, q = part(vectors, i, float).reshape(len(ids), -1), part(wanted, i, float).reshape(len(names), -1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        scores = np.round((q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]), digits) + 0.0
-                    scopes = [None if a is None else frozenset(a) for a in scopes_[i].as_py()]
-                    seen = np.isfinite(scores) & retrieval.scoped(scopes, sources[i].as_py())
+                    sources_of = sources[i].as_py()
                     if gone[i].as_py():
-                        seen &= ~np.isin(ids, gone[i].as_py())[None, :]
-                    best = retrieval.Best(len(q), k)
-                    best.add(np.where(seen, scores, -np.inf), ids)
+                        left = ~np.isin(ids, gone[i].as_py())
+                        ids, x, sources_of = ids[left], x[left], [s for s, there in zip(sources_of, left, strict=True) if there]
+                    nearest = retrieval.Nearest(q, [None if a is None else frozenset(a) for a in scopes_[i].as_py()], k, digits)
+                    nearest.add(x, ids, sources_of)
+                    best = nearest.best
                     if len(best.query):
                         yield pa.RecordBatch.from_pydict({"query_id": [names[j] for j in best.query], "chunk_id": best.chunk.tolist(), "score": best.score})
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -156,6 +157,32 @@ def test_vector_index_grows_and_forgets(spark, tmp_path, monkeypatch):
     assert most < 60
 
 
+def test_many_queries_hold_few_scores_at_once(spark, monkeypatch):
+    """20000 queries by 3000 chunks: 480 MB as one matrix of scores. In groups, with ties, other lengths and nulls, they find what one by one they do."""
+    rng = np.random.default_rng(3)
+    q, x = rng.integers(-3, 4, (20_000, 4)).astype(float), rng.integers(-3, 4, (3000, 4)).astype(float)
+    tracemalloc.start()
+    nearest = retrieval.Nearest(q, [None] * len(q), 5, 6)
+    nearest.add(x, np.arange(len(x)), ["s"] * len(x))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    with np.errstate(invalid="ignore", divide="ignore"):
+        scores = np.round(q[:500] @ x.T / np.linalg.norm(q[:500], axis=1)[:, None] / np.linalg.norm(x, axis=1), 6) + 0.0
+    scores[:, ~x.any(1)] = -np.inf
+    want = {i: [int(j) for j in np.lexsort((np.arange(len(x)), -s))[:5]] for i, s in enumerate(scores) if q[i].any()}
+    found = {i: [int(c) for c in nearest.best.chunk[nearest.best.query == i]] for i in range(500) if q[i].any()}
+    assert found == want
+    for name, n in (("QUERY_BYTES", 64), ("GROUP", 90), ("SHELF", 50), ("STRIPE", 3), ("CELLS", 700), ("EXACT", 64)):
+        monkeypatch.setattr(retrieval, name, n)
+    asked = spark.createDataFrame([(i, q[i].tolist(), None) for i in range(500)] + [(500, [1.0] * 3, None), (501, None, None)], "query_id long, embedding array<double>, scope array<string>")
+    chunks = spark.createDataFrame([(i, "s", x[i].tolist()) for i in range(3000)] + [(3000, "s", [1.0, 2.0, 2.0]), (3001, "s", [None, 1.0, 1.0, 1.0])], "chunk_id long, source_id string, embedding array<double>")
+    got = rows(retrieval.dense_top(asked, chunks, 5).select("query_id", "rank", "chunk_id"))
+    assert got == sorted([(c, i, k + 1) for i, of in want.items() for k, c in enumerate(of)] + [(3000, 500, 1)], key=repr)
+    with pytest.raises(Exception, match="not finite"):
+        retrieval.dense_top(asked.withColumn("embedding", F.array_repeat(F.lit(float("nan")), 4)), chunks, 5).count()
+
+
 def test_lists_to_read_are_measured():
     """Few lists where vectors fall into groups, many where they don't; all there are at most."""
     rng = np.random.default_rng(1)

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from functools import lru_cache, reduce
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -93,6 +94,13 @@ PACK = (
 )
 MASKED = ("ssn", "ein", "routing", "card", "account")
 _VOCABULARY, _BARE = compiled(VOCABULARY), compiled(BARE)
+#: What every match of PACK and every bare run holds, within a cell: nine digits, at most one dash or white space between two.
+_NINE = rf"(?:[0-9][-{_SPACES}]?){{8}}[0-9]"
+_MAY_HOLD = re.compile(_NINE)
+#: The same, or a grid's separator, as Arrow writes it.
+_MAY_RE2 = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", _NINE) + r"|[\x1e\x1f]"
+#: For patterns of PACK a quicker one, which is found in every match of theirs. What stands before a number is looked for at each place of a text otherwise.
+_QUICK = dict(zip([r.pattern for r in PACK[:4]], [re.compile(p) for p in (rf"[0-9]{{3}}[-{_SPACES}][0-9]{{2}}[-{_SPACES}][0-9]{{4}}", "[0-9]{9}", rf"[0-9]{{2}}[-{_SPACES}][0-9]{{7}}", "[0-9]{9}")], strict=True))
 
 
 def checked(pack: tuple[Rule, ...]) -> tuple[Rule, ...]:
@@ -172,6 +180,8 @@ def scan(text: str, pack: tuple[Rule, ...] = PACK) -> list[Match]:
     """All matches by place, in code points."""
     out = []
     for r in pack:
+        if (quick := _QUICK.get(r.pattern)) is not None and quick.search(text) is None:
+            continue
         for m in _pattern(r.pattern).finditer(text):
             near = text[max(0, m.start() - r.window) : m.end() + r.window]
             high = (r.check is None or CHECKS[r.check](m[0])) and (r.context is None or _pattern(CONTEXTS[r.context]).search(near) is not None)
@@ -188,6 +198,8 @@ def kind(rule: str) -> str | None:
 def redact(text: str, pack: tuple[Rule, ...] = PACK, dense: int = 3) -> tuple[str, dict[str, int]]:
     """The text with its sure matches masked, and counts by kind. Overlapping matches are one, named by the first; touching ones
     stay two. If the text has identifier words and ``dense`` bare nine-digit runs, all that are left are masked."""
+    if pack is PACK and _MAY_HOLD.search(text) is None:
+        return text, {}
     spans: list[list] = []
     counts: dict[str, int] = {}
     for m in scan(text, pack):
@@ -251,6 +263,28 @@ def redact_document(title: str | None, markdown: str | None, tables: list[dict]
     return new_title, new_text, new_tables, {k: in_title.get(k, 0) + max(in_text.get(k, 0), in_tables.get(k, 0)) for k in kinds}
 
 
+def _may_hold(column, names: tuple[str, ...] = ("headers", "rows", "markdown", "caption", "sheet_name")) -> np.ndarray:
+    """For each value of an Arrow column whether a string in it may hold what PACK masks, or it may be one that can't be redacted at all."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return pc.match_substring_regex(column, _MAY_RE2).fill_null(False).to_numpy(zero_copy_only=False)
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        inner, of = column.flatten(), pc.list_parent_indices(column).to_numpy()
+        found = _may_hold(inner, names)
+        if pa.types.is_nested(inner.type):  # a row or table that is null is an error
+            found = found | inner.is_null().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(column), bool)
+        out[of[found]] = True
+        return out
+    if pa.types.is_struct(kind):
+        fields = [c for f, c in zip(kind, column.flatten(), strict=True) if f.name in names]
+        return reduce(np.logical_or, [_may_hold(c, names) for c in fields], np.zeros(len(column), bool))
+    return np.ones(len(column), bool)
+
+
 def redact_documents(documents: DataFrame, pack: tuple[Rule, ...] | Pack = PACK, title: str = "title", markdown: str = "markdown", tables: str | None = None) -> DataFrame:
     """``documents`` with these columns masked; redaction: counts by kind, null if scanning failed; redaction_pack: the pack's fingerprint.
 
@@ -264,18 +298,28 @@ def redact_documents(documents: DataFrame, pack: tuple[Rule, ...] | Pack = PACK,
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        used = PACK if rules == PACK else rules
         for batch in batches:
-            done: list[tuple] = []
-            of = lambda c: batch.column(names.index(c)).to_pylist() if c is not None else [None] * batch.num_rows  # noqa: B023,E731
-            for values in zip(of(title), of(markdown), of(tables), strict=True):
+            # What can't hold anything is passed on as it came, and only the rest turned into Python's objects.
+            given = [None if c is None else batch.column(names.index(c)) for c in (title, markdown, tables)]
+            hits = [np.zeros(batch.num_rows, bool) if c is None else _may_hold(c) if used is PACK else np.ones(batch.num_rows, bool) for c in given]
+            values = [iter([] if c is None else c.filter(pa.array(h)).to_pylist()) for c, h in zip(given, hits, strict=True)]
+            done: list[list | None] = [[]] * batch.num_rows
+            new: list[list] = [[], [], []]
+            places = [np.arange(batch.num_rows) for _ in given]  # of each value: in the batch, or behind it among the new ones
+            for i in np.nonzero(hits[0] | hits[1] | hits[2])[0]:
                 try:
-                    *new, counts = redact_document(*values, rules)
-                    done.append((*new, sorted(counts.items())))
+                    *masked_, counts = redact_document(*[next(v) if h[i] else None for v, h in zip(values, hits, strict=True)], used)
+                    done[i] = sorted(counts.items())
                 except Exception:  # noqa: BLE001  fail closed, whatever the reason
-                    done.append((None, None, None, None))
-            by = {c: [d[i] for d in done] for i, c in enumerate((title, markdown, tables)) if c is not None}
-            arrays = [pa.array(by[c], batch.schema.field(i).type) if c in masked else batch.column(i) for i, c in enumerate(names)]
-            arrays += [pa.array([d[3] for d in done], pa.map_(pa.string(), pa.int32())), pa.array([mark] * len(done), pa.string())]
+                    masked_, done[i] = (None, None, None), None
+                for j in range(3):
+                    if hits[j][i] or done[i] is None:
+                        places[j][i] = batch.num_rows + len(new[j])
+                        new[j].append(masked_[j])
+            by = {c: pa.concat_arrays([given[j], pa.array(new[j], given[j].type)]).take(pa.array(places[j])) if new[j] else given[j] for j, c in enumerate((title, markdown, tables)) if c is not None}
+            arrays = [by[c] if c in masked else batch.column(i) for i, c in enumerate(names)]
+            arrays += [pa.array(done, pa.map_(pa.string(), pa.int32())), pa.array([mark] * len(done), pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "redaction", "redaction_pack"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)

@@ -1,3 +1,5 @@
+import random
+
 """Redaction of whole documents, rule packs from files, the download gate, reports on quotes and question sets."""
 
 import json
@@ -119,3 +121,29 @@ def test_gold_issues(spark):
     asked = [("a", "q", None, None, True, ["d"]), ("b", " ", "x", "me", True, ["d"]), ("c", "q", "x", None, True, []), ("d", "q", None, None, False, []), ("e", "q", None, None, True, ["d"]), ("e", None, "x", "me", True, ["d"])]
     got = rows(evaluation.gold_issues(spark.createDataFrame(asked, schema)))
     assert got == [("b", ["empty query"]), ("c", ["unverified answer", "no relevant document"]), ("e", ["duplicate id", "empty query"]), ("e", ["duplicate id"])]
+
+
+def test_what_holds_nothing_is_not_scanned_and_the_rest_alike(spark, monkeypatch):
+    """Texts and tables of random pieces, nulls at every level included, are masked as when every rule is looked for in each; without nine digits none is."""
+    rng = random.Random(4)
+    pieces = ["SSN", " ", "123456789", "021000021", "123-45-6789", "12\u30003456789", "4111 1111 1111 1111", "é", "12345678", "-", "routing ", "9", "\n", "1", "Social Security no. ", "x", "taxpayer id "]
+    text = lambda: None if rng.random() < 0.1 else "".join(rng.choices(pieces, k=rng.randint(0, 5))) + "\x1f" * (rng.random() < 0.02)
+    some = lambda f, n: None if rng.random() < 0.05 else [f() for _ in range(rng.randint(0, n))]
+    one = lambda: None if rng.random() < 0.03 else {"headers": some(text, 2), "rows": some(lambda: some(text, 3), 3), "markdown": text(), "caption": text(), "note": rng.choice(["123-45-6789", None])}
+    docs = [(i, text(), text(), some(one, 2)) for i in range(600)]
+    plain = (*R.PACK,)
+    want = {}
+    for i, *values in docs:
+        try:
+            *new, counts = R.redact_document(*values, plain)
+        except Exception:
+            new, counts = [None] * 3, None
+        want[i] = (*new, counts)
+    table = "struct<headers: array<string>, rows: array<array<string>>, markdown: string, caption: string, note: string>"
+    got = R.redact_documents(spark.createDataFrame(docs, f"id int, title string, markdown string, tables array<{table}>").repartition(3), tables="tables").collect()
+    assert {r.id: (r.title, r.markdown, None if r.tables is None else [None if t is None else t.asDict() for t in r.tables], r.redaction) for r in got} == want
+    assert sum(w[3] is None for w in want.values()) > 5 and sum(bool(w[3]) for w in want.values()) > 50 and sum(w[3] == {} for w in want.values()) > 50
+    monkeypatch.setattr(R, "scan", lambda *a: 1 / 0)
+    assert R.redact("Order 12-34567 of 2024-05-06") == ("Order 12-34567 of 2024-05-06", {}) and R.redact_grid([["1", "15519"], ["2", "40000"]]) == ([["1", "15519"], ["2", "40000"]], {})
+    with pytest.raises(ZeroDivisionError):
+        R.redact("123-45-6789")

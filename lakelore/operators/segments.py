@@ -29,14 +29,15 @@ class Segments:
         entries = self.log.entries()
         return [e for i, e in enumerate(entries) if e["kind"] == "segment" or e["kind"] == "merged" and i == 0]
 
-    def _added(self, rows: DataFrame, name: str, partition_by: tuple[str, ...], writer: str | None, batch: int | None, **about: object) -> int | None:
+    def _added(self, rows: DataFrame, name: str, partition_by: tuple[str, ...], writer: str | None, batch: int | None, beside: tuple[str, ...] = (), **about: object) -> int | None:
+        """beside: folders that were written for the segment, besides that of ``rows``."""
         folder = self.log.write(rows, name, partition_by)
-        return self.log.commit({"kind": "segment", "folders": [folder], "schema": rows.schema.json()} | about, writer, batch)
+        return self.log.commit({"kind": "segment", "folders": [folder, *beside], "schema": rows.schema.json()} | about, writer, batch)
 
-    def _merged(self, rows: DataFrame, name: str, partition_by: tuple[str, ...], covers: int, **about: object) -> int | None:
+    def _merged(self, rows: DataFrame, name: str, partition_by: tuple[str, ...], covers: int, beside: tuple[str, ...] = (), **about: object) -> int | None:
         """rows: those of all segments up to ``covers``, without what was taken out by then."""
         folder = self.log.write(rows, name, partition_by)
-        entry = {"kind": "merged", "snapshot": True, "covers": covers, "folders": [folder], "schema": rows.schema.json(), "batches": self.log.batches(self.log.entries(covers))}
+        entry = {"kind": "merged", "snapshot": True, "covers": covers, "folders": [folder, *beside], "schema": rows.schema.json(), "batches": self.log.batches(self.log.entries(covers))}
         return self.log.commit(entry | about)
 
     def removed(self) -> DataFrame | None:

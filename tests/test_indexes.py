@@ -2,6 +2,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,30 @@ def test_a_frequent_word_is_in_many_files(spark, tmp_path):
     assert blocks.agg(F.max("n")).first()[0] < 3 * lexical_index.RANGE and blocks.select("file").distinct().count() > 1
 
 
+def test_blocks_are_made_where_chunks_are_dealt(spark, tmp_path, monkeypatch):
+    """Chunks are dealt once, by range; how they come in batches and over how many tasks changes nothing; a segment without its tokens merges too."""
+    monkeypatch.setattr(lexical_index, "TOKENS", 3000)
+    chunks, queries = _chunks(spark, 400), _queries(spark)
+    index = LexicalIndex(spark, str(tmp_path / "i"), T.tokens)
+    index.add(chunks)
+    plan = index._blocks(index.live()[0]["folders"][1])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1 and "Aggregate" not in plan
+    dealt = [(t, r, i, f"s{i}", words) for t, r, i, words in ((1, 0, 1, ["b", "a", "b"]), (1, 0, 2, ["a"]), (1, 1, 3, ["a", "c", "c"]), (2, 1, 4, ["c", "a"]), (2, 1, 5, ["a"]))]
+    whole = pa.RecordBatch.from_pylist([dict(zip(("tier", "range", "chunk_id", "source_id", "tokens"), d, strict=True)) for d in dealt])
+    for size in (1, 2, 3, 5):
+        made = [b for batch in lexical_index._blocks_of(whole.slice(i, size) for i in range(0, 5, size)) for b in batch.to_pylist()]
+        got = {(b["tier"], b["range"], b["lexeme"]): (b["most"], b["n"], [(p["chunk_id"], p["source_id"], p["places"]) for p in b["postings"]]) for b in made}
+        assert len(made) == len(got) and got == {
+            (1, 0, "a"): (1, 2, [(1, "s1", 1), (2, "s2", 1)]), (1, 0, "b"): (2, 1, [(1, "s1", 2)]), (1, 1, "a"): (1, 1, [(3, "s3", 1)]),
+            (1, 1, "c"): (2, 1, [(3, "s3", 2)]), (2, 1, "a"): (1, 2, [(4, "s4", 1), (5, "s5", 1)]), (2, 1, "c"): (1, 1, [(4, "s4", 1)]),
+        }
+    live = index.live
+    monkeypatch.setattr(index, "live", lambda: [e | {"folders": e["folders"][:1]} for e in live()])
+    index.remove(chunks.where("chunk_id % 7 = 0"))
+    index.merge()
+    assert len(live()) == 1 and rows(index.search(queries, 9)) == _plain(queries, chunks.where("chunk_id % 7 <> 0"), 9)
+
+
 def test_english_index_and_distinct_stems(spark, tmp_path):
     """Stems found once for each word give the postings of stemming each place."""
     chunks, queries = _chunks(spark, 120), _queries(spark)

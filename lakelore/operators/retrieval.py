@@ -351,9 +351,12 @@ def hybrid(
         short = queries.join(enough, "query_id", "left_anti")
         if short.limit(1).count():
             top = top.join(enough, "query_id", "left_semi").unionByName(search(short, options.most))
-    # Coverage analyses the texts found, not those of all chunks.
+    # Coverage analyses the texts found, not those of all chunks; a semi join goes below the joins that chunks are made of, so no other text is moved.
+    top = settled(top)
+    hits = if_few(settled(top.select("chunk_id").distinct()), 1)
     asked = queries.select("query_id", F.array_distinct(analyse(F.col("text"))).alias("asked"))
-    found = top.join(chunks.select("chunk_id", "document_id", "source_id", "text"), "chunk_id").join(asked, "query_id")
+    texts = chunks.select("chunk_id", "document_id", "source_id", "text").join(hits, "chunk_id", "left_semi")
+    found = top.join(texts, "chunk_id").join(asked, "query_id")
     found = found.withColumn("has", F.array_distinct(analyse(F.col("text"))))
     return found.select(
         "query_id", "rank", "chunk_id", "document_id", "source_id", "score", "dense_score", "sparse_score", F.round(T.coverage(F.col("asked"), F.col("has")), 6).alias("keyword_coverage")

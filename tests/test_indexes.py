@@ -232,3 +232,13 @@ def test_hybrid_over_indexes(spark, tmp_path):
     assert rows(got) == rows(retrieval.hybrid(queries, chunks, analyse=T.tokens))
     with pytest.raises(ValueError):
         retrieval.hybrid(queries, chunks, keep=F.lit(True), lexical=words.search)
+
+
+def test_only_texts_that_were_found_are_joined(spark):
+    """Chunks whose vectors come from another table: what wasn't found is left out before its text is dealt to that join."""
+    made, queries = _chunks(spark, 100, vectors=8), _queries(spark, vectors=8)
+    texts = made.drop("embedding").withColumns({"document_id": F.col("chunk_id"), "lifecycle_status": F.lit("active")})
+    chunks = texts.join(made.select("chunk_id", "embedding"), "chunk_id", "left")
+    got = retrieval.hybrid(queries, chunks, retrieval.Fusion(top_k=2), analyse=T.tokens)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("LeftOuter") < plan.find("LeftSemi") and got.count() == 2 * queries.where("scope is null or size(scope) > 0").count()
